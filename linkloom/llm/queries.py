@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import quality_rules, simhash, source_mixing, sql, token_output
+from .common import fresh_path, table
 from .token_counts import count_tokens
 
+#: Weights of sources in turn, the share of all words to take, and the most copies of a source (op9).
+MIX = {"weights": [3, 1, 2], "share": 1.5, "cap": 2.0}
+
 
 def vocabulary(name: str) -> bytes:
     """A public vocabulary file, read on the driver and sent with the tasks."""
@@ -16,12 +20,41 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").selectExpr("doc_id as id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"), **MIX)
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json").decode(), end_id=2)
+    return token_output.token_index(spark, path)
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_simhash": op4_simhash,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_source_mixing": sql.mix_sql(**MIX, rounds=source_mixing.ROUNDS),
+}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, simhash, source_mixing, sql, token_output
+from . import quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, warc
 from .common import fresh_path, table
 from .token_counts import count_tokens
 
@@ -25,6 +26,11 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").selectExpr("doc_id as id")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses_from_pages(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
+    return warc.derivatives(responses, with_records=False).withColumnRenamed("key", "page_id").withColumn("refers_to", F.col("response_id"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
@@ -37,6 +43,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
@@ -48,13 +62,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_topk_search": op8_topk_search,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL = {
+    "op8_topk_search": sql.topk_sql(k=10, scale=1024, every=100),
     "op9_source_mixing": sql.mix_sql(**MIX, rounds=source_mixing.ROUNDS),
 }

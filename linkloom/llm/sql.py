@@ -49,3 +49,15 @@ def mix_sql(weights: list[float], share: float, cap: float, rounds: int, seed: i
 SELECT doc_id, r.source, size, source_size, target, size * (copies + (CASE WHEN c.rid IS NULL THEN 0 ELSE 1 END)) AS taken
 FROM rows r JOIN allotted a ON r.source IS NOT DISTINCT FROM a.source LEFT JOIN ({chosen}) c ON r.rid = c.rid"""
     )
+
+
+def topk_sql(k: int, scale: int, every: int, rows: str = "embeddings") -> str:
+    """Exact top-k inner products of every ``every``-th vector with all others."""
+    return f"""WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM {rows}
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, warc
+from . import quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, warc
 from .common import fresh_path, table
 from .token_counts import count_tokens
 
@@ -43,6 +43,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id as id", "quality as label")
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), labels)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
     "op8_topk_search": op8_topk_search,
     "op9_source_mixing": op9_source_mixing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, warc
+from . import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, warc
 from .common import fresh_path, table
 from .token_counts import count_tokens
 
@@ -35,6 +35,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -69,6 +74,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,

@@ -163,11 +163,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each near-duplicate class: the one with the least id.
 
-    Among rows that repeat that id the least by all columns stays. Rows of
-    classes without any id are all dropped but the least.
+    Of rows that repeat that id the least by all other columns stays. Rows
+    without an id name no class and all stay.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    first = found.groupBy("component_id").agg(F.min(id_col).alias("_chosen")).select("_chosen")
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["_chosen"]), "left_semi")
+    chosen = found.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_chosen")).distinct()
     others = [c for c in docs.columns if c != id_col]
-    return kept.groupBy(id_col).agg(F.min(F.struct(*others)).alias("_row")).select(id_col, "_row.*").select(*docs.columns)
+    named = docs.join(chosen, docs[id_col] == chosen["_chosen"], "left_semi")
+    one = named.groupBy(id_col).agg(F.min(F.struct(*others)).alias("_row"))
+    one = one.select(*(F.col(f"_row.`{c}`").alias(c) if c != id_col else F.col(c) for c in docs.columns))
+    return one.union(docs.filter(F.col(id_col).isNull()))

@@ -16,8 +16,8 @@ from .common import WORD, cut, staged
 
 #: Rounds; those after the first fill what is left with documents that still fit.
 ROUNDS = 3
-#: Bits of the bins at each of the two levels on which a source's cut is searched.
-BIN_BITS = 10
+#: Bits of the bins in which a source's cut is searched.
+BIN_BITS = 16
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -51,27 +51,22 @@ def _with(rows: DataFrame, per_source: DataFrame, how: str = "left") -> DataFram
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
-    """Per source (source, bin, cut) where its running size passes its gap.
+    """Per source (source, bin, cut, used) where its running size passes its gap.
 
     ``rows`` has source, size, gap, rank and fine, the rank's bin. Sizes are
-    summed by coarse bins, then by the fine bins of the coarse bin in which
-    the gap is passed, so that only rows of one fine bin in 2 ** (2 * BIN_BITS)
-    are ever ordered together. A source that fits whole has no row.
+    summed by bins before running sums are taken, so that only rows of the one
+    bin in 2 ** BIN_BITS in which the gap is passed are ever ordered together.
+    A source that fits whole has no row.
     """
-
-    def passed(some: DataFrame, name: str) -> DataFrame:
-        sums = some.groupBy("source", name).agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first("base").alias("base"))
-        reach = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy(name))
-        over = sums.withColumn("reach", reach).filter("reach > gap")
-        return over.groupBy("source").agg(F.min(name).alias(f"{name}_at"), F.min_by(F.col("reach") - F.col("words"), name).alias("base"))
-
-    rows = rows.withColumn("coarse", F.shiftright("fine", BIN_BITS))
-    outer = passed(rows.withColumn("base", F.lit(0).cast("bigint")), "coarse")
-    inner = passed(_with(rows, outer, "inner").filter("coarse = coarse_at"), "fine")
-    few = _with(rows, inner, "inner").filter("fine = fine_at")
-    reach = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank"))
-    cut_at = F.max(F.when(F.col("reach") <= F.col("gap"), F.col("rank")))
-    return few.withColumn("reach", reach).groupBy("source").agg(F.first("fine_at").alias("bin"), cut_at.alias("cut"))
+    sums = rows.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    reach = F.sum("words").over(Window.partitionBy("source").orderBy("fine"))
+    over = sums.withColumn("reach", reach).filter("reach > gap")
+    passed = over.groupBy("source").agg(F.min("fine").alias("bin"), F.min_by(F.col("reach") - F.col("words"), "fine").alias("base"))
+    few = _with(rows, passed, "inner").filter("fine = bin")
+    fits = few.withColumn("reach", F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank")))
+    inside = F.col("reach") <= F.col("gap")
+    used = F.coalesce(F.max(F.when(inside, F.col("reach"))), F.first("base"))
+    return fits.groupBy("source").agg(F.first("bin").alias("bin"), F.max(F.when(inside, F.col("rank"))).alias("cut"), used.alias("used"))
 
 
 def mix(
@@ -110,24 +105,28 @@ def mix(
     gap = F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("bigint")
     per = cut(per.withColumn("gap", gap))
     odds = F.try_divide("gap", F.col("source_size") - F.col("gap")) * F.col("favour")
-    rows = _with(rows, per).withColumn("rank", F.try_divide(F.col("u") / (1 - F.col("u")), odds))
-    fine = F.floor(F.col("rank") / (F.col("rank") + 1) * (1 << 2 * BIN_BITS)).cast("bigint")
-    rows = rows.select("id", "source", "size", "rank", fine.alias("fine"), F.lit(False).alias("picked"))
-    left = per.select("source", "gap")
-    is_open = ~F.col("picked") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    rank = F.try_divide(F.col("u") / (1 - F.col("u")), odds)
+    fine = F.floor(rank / (rank + 1) * (1 << BIN_BITS)).cast("bigint")
+    state = per.withColumn("gap0", F.col("gap"))
+
+    def chosen(rounds: int) -> Column:
+        """Whether one of the first ``rounds`` rounds takes the row."""
+        picked = F.lit(False)
+        for k in range(rounds):
+            below = F.col(f"bin{k}").isNull() | (F.col("fine") < F.col(f"bin{k}")) | ((F.col("fine") == F.col(f"bin{k}")) & F.coalesce(F.col("rank") <= F.col(f"cut{k}"), F.lit(False)))
+            picked = picked | ((F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & below)
+        return picked
+
     for k in range(ROUNDS):
-        rows = _with(rows, left)
-        found = _cuts(rows.filter(is_open))
-        fits = F.col("bin").isNull() | (F.col("fine") < F.col("bin")) | ((F.col("fine") == F.col("bin")) & F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False)))
-        rows = _with(rows, found).withColumn("fresh", is_open & fits)
-        rows = rows.select("id", "source", "size", "rank", "fine", (F.col("picked") | F.col("fresh")).alias("picked"), "fresh")
-        if k < ROUNDS - 1:
-            rows = staged(rows, "mix-round")
-            used = rows.filter("fresh").groupBy("source").agg(F.sum("size").alias("used"))
-            left = cut(_with(left, used).select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
-            rows = rows.drop("fresh")
-    taken = F.col("size") * (F.col("copies") + F.col("picked").cast("bigint"))
-    return _with(rows, per.select("source", "source_size", "target", "copies")).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+        here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)
+        undecided = here.filter(~chosen(k) & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")))
+        found = _cuts(undecided.select("source", "size", "rank", "fine", F.col(f"gap{k}").alias("gap")))
+        fresh = found.select("source", F.col("bin").alias(f"bin{k}"), F.col("cut").alias(f"cut{k}"), "used")
+        # a source that fits whole has nothing left to fill
+        state = cut(_with(state, fresh).withColumn(f"gap{k + 1}", F.coalesce(F.col(f"gap{k}") - F.col("used"), F.lit(0).cast("bigint"))).drop("used"))
+    here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)
+    taken = F.col("size") * (F.col("copies") + chosen(ROUNDS).cast("bigint"))
+    return here.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def keep_mixed(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:

@@ -9,12 +9,15 @@ metadata alone (column pruning) without touching other token pages.
 from __future__ import annotations
 
 import functools
+import os
 import re
+import struct
 import zlib
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,7 @@ class WordEncoder:
     """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
@@ -49,39 +53,47 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        fresh = [w for w in set(words) if w not in self.young]
-        known = {w: v for w in fresh if (v := self.old.get(w)) is not None}
-        missing = [w for w in fresh if w not in known]
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Remember every word of the lists; the library encodes new ones in one call."""
+        young, old = self.young, self.old
+        fresh = dict.fromkeys(w for words in lists for w in words if w not in young)
+        if len(young) > MEMO_ENTRIES:
+            self.old, self.young = young, {}
+            young, old = self.young, young
+            fresh = dict.fromkeys(w for words in lists for w in words)
+        missing = []
+        for word in fresh:
+            known = old.get(word)
+            if known is None:
+                missing.append(word)
+            else:
+                young[word] = known
         for word, got in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-        if len(self.young) + len(known) > MEMO_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young |= known
-
-    def _join(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:  # learning has started a new generation
-            self._learn(words)
-            return b"".join(map(self.young.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if PLAIN.search(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(text) <= LONG:
-            return self._join(SPLIT.findall(text))
-        found, parts = (m[0] for m in SPLIT.finditer(text)), []
-        while block := list(islice(found, LONG // 8)):
-            parts.append(self._join(block))
-        return b"".join(parts)
+            ids = got.ids
+            young[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _join(self, lists: list[list[str]]) -> list[bytes]:
+        self._learn(lists)
+        known = self.young.__getitem__
+        return [b"".join(map(known, words)) for words in lists]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        for i, text in enumerate(texts):
+            if PLAIN.search(text) or any(s in text for s in self.special):
+                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif len(text) <= LONG:
+                plain.append(i)
+            else:
+                found, parts = (m[0] for m in SPLIT.finditer(text)), []
+                while block := list(islice(found, LONG // 8)):
+                    parts += self._join([block])
+                out[i] = b"".join(parts)
+        for i, ids in zip(plain, self._join([SPLIT.findall(texts[i]) for i in plain]), strict=True):
+            out[i] = ids
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -89,6 +101,19 @@ def _encoder(definition: str) -> WordEncoder:
     return WordEncoder(definition)
 
 
+def small_batches(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20):
+    """Slices of a batch of (id, text) with at most ``rows`` rows and about ``size`` bytes of text."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+    begin = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > begin and (i - begin >= rows or total + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def _is_byte_level(definition: str) -> bool:
     import json
 
@@ -130,9 +155,8 @@ def write_tokens(
     def run(batches):
         encoder, start, shard = _encoder(definition), 0, TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                found = [encoder.encode(x.as_py() or "") + end for x in batch.column(1)]
+            for batch in small_batches(whole):
+                found = [ids + end for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()])]
                 counts = np.fromiter((len(x) // 4 for x in found), np.int64, count=len(found))
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 ids = np.frombuffer(b"".join(found), "<i4")

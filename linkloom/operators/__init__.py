@@ -1,0 +1 @@
+"""Relational and graph operators over page and link tables."""

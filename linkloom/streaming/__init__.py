@@ -1,0 +1 @@
+"""Incremental ingest."""

@@ -5,6 +5,289 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import checks, graph, history, ingest, sampling, serve, stats
+from ..sources import files
+from ..streaming import ingest as streams
+from .adapters import PAGE_SQL, SNAPSHOT_SQL, START_SQL, bare_links, links, orders_graph, pages, snapshots, start_page, table, with_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Levels that recursive SQL follows; deeper than any test graph of the default kind.
+DEPTH = 45
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def on_graph(name: str, sql: str | None = None):
+    """A query over (page, link) of the default graph."""
+
+    def keep(f):
+        register(name, sql)(lambda spark, d: f(pages(spark, d), links(spark, d)))
+        return f
+
+    return keep
+
+
+def by_wiki(expression: str, name: str, source: str) -> str:
+    return f"SELECT coalesce(wiki_name, 'global') AS wiki_name, {expression} AS {name} FROM {source} GROUP BY ROLLUP (wiki_name)"
+
+
+def as_doubles(rows: DataFrame, *columns: str) -> DataFrame:
+    """Counts that can be unknown as doubles, which both engines give alike."""
+    return rows.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns})
+
+
+# Statistics
+
+register("num_pages", f"WITH {PAGE_SQL} " + by_wiki("count(*)", "num_pages", "page"))(lambda s, d: stats.page_counts(pages(s, d)).select("wiki_name", "num_pages"))
+register("num_redirects", f"WITH {PAGE_SQL} " + by_wiki("count(*) FILTER (is_redirect)", "num_redirects", "page"))(lambda s, d: stats.page_counts(pages(s, d)).select("wiki_name", "num_redirects"))
+on_graph("num_links", with_graph(by_wiki("count(*)", "num_links", "link")))(lambda p, l: stats.link_counts(l))
+on_graph("num_linked_redirects", with_graph(by_wiki("count(*)", "num_linked_redirects", "(SELECT * FROM link WHERE page_link IN (SELECT page_id FROM page WHERE is_redirect))")))(stats.linked_redirects)
+for _name, _by in (("most_linked", "page_link"), ("most_links", "page_id")):
+    on_graph(_name, with_graph(f"SELECT t.page_id, page_title, n FROM (SELECT {_by} AS page_id, count(*) AS n FROM link GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10) t LEFT JOIN page p ON t.page_id = p.page_id"))(lambda p, l, by=_by: stats.top_degrees(p, l, by))
+on_graph("most_linked_by_wiki", with_graph("SELECT wiki_name, page_id, n, place FROM (SELECT wiki_name, page_link AS page_id, count(*) AS n, row_number() OVER (PARTITION BY wiki_name ORDER BY count(*) DESC, page_link)::INTEGER AS place FROM link GROUP BY 1, 2) WHERE place <= 10"))(lambda p, l: stats.top_degrees_by_wiki(l, "page_link"))
+for _name, _where in (("longest_name", ""), ("longest_name_no_redirect", "WHERE NOT is_redirect")):
+    on_graph(_name, f"""WITH {PAGE_SQL}, best AS (SELECT wiki_name, page_id, page_title FROM (
+  SELECT *, row_number() OVER (PARTITION BY wiki_name ORDER BY length(page_title) DESC, page_id) AS k FROM page {_where}) WHERE k = 1)
+SELECT * FROM best UNION ALL (SELECT 'global', page_id, page_title FROM best ORDER BY strlen(page_title) DESC, page_id LIMIT 1)""")(lambda p, l, r=not _where: stats.longest_titles(p, redirects=r))
+_DEAD = "page_id NOT IN (SELECT page_id FROM link)"
+_ORPHAN = "page_id NOT IN (SELECT page_link FROM link)"
+for _name, _where in (("num_dead", _DEAD), ("num_orphan", _ORPHAN), ("num_dead_orphan", f"{_DEAD} AND {_ORPHAN}")):
+    on_graph(_name, with_graph(by_wiki(f"count(*) FILTER ({_where})", _name, "page")))(lambda p, l, c=_name: stats.missing_counts(p, l).select("wiki_name", c))
+on_graph("dead_pages", with_graph(f"SELECT * FROM page WHERE {_DEAD}"))(stats.dead_pages)
+on_graph("orphan_pages", with_graph(f"SELECT * FROM page WHERE {_ORPHAN}"))(stats.orphan_pages)
+on_graph("dead_orphan_list", with_graph(f"SELECT * FROM page WHERE {_DEAD} AND {_ORPHAN} ORDER BY page_id LIMIT 20"))(lambda p, l: stats.dead_orphans(p, l).orderBy("page_id").limit(20))
+_SUMMARY = f"""summary AS (SELECT * FROM ({by_wiki("count(*)", "num_pages, count(*) FILTER (is_redirect) AS num_redirects, count(*) FILTER (" + _DEAD + ") AS num_dead, count(*) FILTER (" + _ORPHAN + ") AS num_orphan, count(*) FILTER (" + _DEAD + " AND " + _ORPHAN + ") AS num_dead_orphan", "page")})
+ JOIN ({by_wiki("count(*)", "num_links, count(*) FILTER (page_link IN (SELECT page_id FROM page WHERE is_redirect)) AS num_linked_redirects", "link")}) USING (wiki_name))"""
+on_graph("stats_rollup_global", with_graph("SELECT wiki_name, num_pages, num_redirects, num_links, num_linked_redirects, num_dead, num_orphan, num_dead_orphan FROM summary", _SUMMARY))(stats.summary)
+on_graph("max_min_wiki", with_graph("""SELECT 'num_links' AS stat, arg_min(wiki_name, (-num_links, wiki_name)) AS max_wiki, max(num_links) AS max_value,
+  arg_min(wiki_name, (num_links, wiki_name)) AS min_wiki, min(num_links) AS min_value FROM summary WHERE wiki_name <> 'global'""", _SUMMARY))(lambda p, l: stats.extremes(stats.summary(p, l), "num_links"))
+on_graph("stats_document")(lambda p, l: stats.document(stats.summary(p, l), "2024-09-01 00:00:00"))
+on_graph("degree_histogram", with_graph("SELECT degree, count(*) AS num_pages FROM (SELECT page_id, count(*) AS degree FROM link GROUP BY 1) GROUP BY 1"))(lambda p, l: stats.degree_histogram(l))
+register("endpoint_degrees", "WITH " + "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")(
+    lambda s, d: (lambda e: e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count("*").alias("n")))(table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())
+)
+
+# Ingest
+
+register("duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: ingest.duplicates(table(s, d, "lineitem"), "l_orderkey", "l_linenumber"))
+register("distinct_count", "SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")(lambda s, d: table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().agg(F.count("*").alias("n")))
+
+
+@register(
+    "link_resolution",
+    """WITH pagelinks AS (SELECT o_orderkey AS pl_from, o_orderkey % 3 AS pl_from_namespace, o_custkey AS pl_target_id FROM orders),
+linktarget AS (SELECT c_custkey AS lt_id, c_nationkey % 2 AS lt_namespace, c_name AS lt_title FROM customer),
+page AS (SELECT c_custkey + 1000000 AS page_id, c_name AS page_title FROM customer WHERE c_custkey % 4 <> 0)
+SELECT pl_from AS page_id, page.page_id AS page_link FROM pagelinks JOIN linktarget ON pl_target_id = lt_id JOIN page ON lt_title = page_title
+WHERE pl_from_namespace = 0 AND lt_namespace = 0""",
+)
+def link_resolution(spark: SparkSession, d: str) -> DataFrame:
+    customer = table(spark, d, "customer")
+    pagelinks = table(spark, d, "orders").select(F.col("o_orderkey").alias("pl_from"), (F.col("o_orderkey") % 3).alias("pl_from_namespace"), F.col("o_custkey").alias("pl_target_id"))
+    targets = customer.select(F.col("c_custkey").alias("lt_id"), (F.col("c_nationkey") % 2).alias("lt_namespace"), F.col("c_name").alias("lt_title"))
+    raw = customer.select((F.col("c_custkey") + 1_000_000).alias("page_id"), F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0).alias("page_namespace"), F.col("c_name").alias("page_title"), F.lit(0).alias("page_is_redirect"))
+    return ingest.resolve_links(pagelinks, targets, ingest.pages(raw))
+
+
+register("title_map", "SELECT p_name AS page_title, min(p_partkey) AS page_id FROM part GROUP BY 1")(lambda s, d: ingest.title_map(table(s, d, "part").select(F.col("p_name").alias("page_title"), F.col("p_partkey").alias("page_id"))))
+on_graph("adjacency", with_graph("SELECT page_id, list_sort(list(page_link))::VARCHAR AS neighbours FROM link GROUP BY 1"))(lambda p, l: ingest.adjacency(l).select("page_id", F.concat(F.lit("["), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ", "), F.lit("]")).alias("neighbours")))
+
+# Serving
+
+on_graph("neighbours_ranked", with_graph("""SELECT t.linked_id, num_links, times_linked, page_title FROM (
+  SELECT linked_id, (SELECT count(*) FROM link WHERE page_id = linked_id) AS num_links, (SELECT count(*) FROM link WHERE page_link = linked_id) AS times_linked
+  FROM (SELECT page_link AS linked_id FROM link WHERE page_id = (SELECT page_id FROM start)) ORDER BY times_linked DESC, linked_id LIMIT 5) t LEFT JOIN page p ON p.page_id = t.linked_id""", START_SQL))(
+    lambda p, l: serve.neighbours(p, l, start_page(l), limit=5)
+)
+register("links_page2", """WITH l AS (SELECT DISTINCT l_partkey AS page_id, l_suppkey AS page_link FROM lineitem), top AS (SELECT page_link FROM l GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT linked_id, p_name AS page_title FROM (SELECT page_id AS linked_id FROM l WHERE page_link = (SELECT page_link FROM top) ORDER BY 1 LIMIT 50 OFFSET 50) t LEFT JOIN part ON p_partkey = linked_id""")(
+    lambda s, d: _links_page(s, d, 2)
+)
+
+
+def _links_page(spark: SparkSession, d: str, number: int) -> DataFrame:
+    link = table(spark, d, "lineitem").select(F.col("l_partkey").alias("page_id"), F.col("l_suppkey").alias("page_link")).distinct()
+    top = link.groupBy("page_link").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "page_link").first()["page_link"]
+    page = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("page_title"))
+    return serve.links(page, link, top, incoming=True, number=number)
+
+
+on_graph("degree_point", with_graph("SELECT count(*) FILTER (page_id = s) AS num_links, count(*) FILTER (page_link = s) AS times_linked FROM link, (SELECT page_id AS s FROM start)", START_SQL))(lambda p, l: serve.degree(l, start_page(l)))
+register("prefix_search", f"WITH {PAGE_SQL} SELECT * FROM page WHERE starts_with(lower(page_title), 'red w') ORDER BY page_title, page_id LIMIT 100")(lambda s, d: serve.pages_with_prefix(pages(s, d), "Red w"))
+register("prefix_search_wildcards", f"WITH {PAGE_SQL} SELECT * FROM page WHERE lower(page_title) LIKE 'r_d%' ORDER BY page_title, page_id LIMIT 100")(lambda s, d: serve.pages_with_prefix(pages(s, d), "R_d", wildcards=True))
+register("fuzzy_search", f"WITH {PAGE_SQL} SELECT *, levenshtein(lower(page_title), 'blue ring #7')::INTEGER AS distance FROM page ORDER BY distance, page_id LIMIT 20")(lambda s, d: serve.similar_titles(pages(s, d), "Blue ring #7"))
+register("popular_pages", f"WITH {PAGE_SQL}, views AS (SELECT p_name || ' #' || p_partkey AS article, rank() OVER (ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS rank FROM part WHERE p_partkey % 2 = 0) SELECT article, rank, page_id FROM views JOIN page ON article = page_title WHERE NOT contains(article, ':') ORDER BY rank LIMIT 10")(
+    lambda s, d: serve.popular_pages(_views(s, d), pages(s, d), 10)
+)
+
+
+def _views(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "part").filter("p_partkey % 2 = 0")
+    return rows.select(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("article"), F.rank().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+
+
+# Graph
+
+_BFS = f"""reach(page_id, depth) AS (SELECT page_id, 0 FROM start UNION SELECT e.page_link, depth + 1 FROM reach r JOIN link e ON r.page_id = e.page_id WHERE depth < {DEPTH}),
+tree AS (SELECT page_id, min(depth)::INTEGER AS depth FROM reach GROUP BY 1)"""
+on_graph("bfs_depths", with_graph("""SELECT t.page_id, t.depth, (SELECT min(p.page_id) FROM tree p JOIN link e ON e.page_id = p.page_id WHERE e.page_link = t.page_id AND p.depth = t.depth - 1)::DOUBLE AS previous_id FROM tree t""", START_SQL, _BFS, recursive=True))(
+    lambda p, l: graph.bfs(graph.edges_of(l), [start_page(l)]).select("page_id", "depth", F.col("previous_id").cast("double"))
+)
+on_graph("bfs_histogram", with_graph("SELECT depth, count(*) AS n FROM tree WHERE depth > 0 GROUP BY 1", START_SQL, _BFS, recursive=True))(lambda p, l: graph.histogram(graph.bfs(graph.edges_of(l), [start_page(l)])).select("depth", "n"))
+on_graph("bfs_bounded", with_graph("SELECT page_id, depth FROM tree WHERE depth <= 3", START_SQL, _BFS, recursive=True))(lambda p, l: graph.bfs(graph.edges_of(l), [start_page(l)], max_depth=3).select("page_id", "depth"))
+on_graph("bfs_undirected", with_graph("SELECT page_id, min(depth)::INTEGER AS depth FROM reach GROUP BY 1", START_SQL, "both_ways AS (SELECT page_id, page_link FROM link UNION SELECT page_link, page_id FROM link)",
+    "reach(page_id, depth) AS (SELECT page_id, 0 FROM start UNION SELECT e.page_link, depth + 1 FROM reach r JOIN both_ways e ON r.page_id = e.page_id WHERE depth < 25)", recursive=True))(
+    lambda p, l: graph.bfs(graph.edges_of(l, undirected=True), [start_page(l)], max_depth=25).select("page_id", "depth")
+)
+_SOURCES = "sources AS (SELECT page_id FROM (SELECT page_id FROM link GROUP BY 1) WHERE page_id % 7 = 3 ORDER BY page_id LIMIT 8)"
+_MULTI = f"""walk(source_id, page_id, depth) AS (SELECT page_id, page_id, 0 FROM sources UNION SELECT source_id, e.page_link, depth + 1 FROM walk w JOIN link e ON w.page_id = e.page_id WHERE depth < {DEPTH}),
+reached AS (SELECT source_id, page_id, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL),
+hist AS (SELECT source_id, depth, count(*) AS n FROM reached WHERE depth > 0 GROUP BY ALL)"""
+_AVERAGE = "average AS (SELECT depth, avg(n / (SELECT count(*) FROM page)::DOUBLE) AS mean, coalesce(stddev_samp(n / (SELECT count(*) FROM page)::DOUBLE), 0) AS std_dev FROM hist GROUP BY 1)"
+
+
+def _sample(link: DataFrame) -> DataFrame:
+    """Breadth-first reach from a fixed list of sources (part of the query, like its SQL)."""
+    rows = link.select("page_id").distinct().filter("page_id % 7 = 3").orderBy("page_id").limit(8).collect()
+    return graph.bfs(graph.edges_of(link), [r[0] for r in rows])
+
+
+def _average(page: DataFrame, link: DataFrame) -> DataFrame:
+    return sampling.average_histogram(graph.histogram(_sample(link)), page.count())
+
+
+def rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 8) for c in columns})
+
+
+on_graph("multi_bfs_hist", with_graph("SELECT * FROM hist", _SOURCES, _MULTI, recursive=True))(lambda p, l: graph.histogram(_sample(l)))
+on_graph("reach_summary", with_graph("SELECT source_id, count(*) FILTER (depth > 0) AS num_visited, max(depth) AS eccentricity, CASE WHEN max(depth) > 0 THEN arg_min(page_id, (-depth, page_id)) END AS deepest FROM reached GROUP BY 1", _SOURCES, _MULTI, recursive=True))(lambda p, l: graph.reach(_sample(l)))
+on_graph("avg_depth_histogram", with_graph("SELECT depth, round(mean, 8) AS mean, round(std_dev, 8) AS std_dev FROM average", _SOURCES, _MULTI, _AVERAGE, recursive=True))(lambda p, l: rounded(_average(p, l), "mean", "std_dev"))
+on_graph("depth_cdf", with_graph("SELECT depth, round(sum(mean) OVER (ORDER BY depth), 8) AS cdf FROM average", _SOURCES, _MULTI, _AVERAGE, recursive=True))(lambda p, l: rounded(sampling.cumulative(_average(p, l)).select("depth", "cdf"), "cdf"))
+on_graph("reach_p90", with_graph("SELECT depth FROM (SELECT depth, sum(mean) OVER (ORDER BY depth) AS cdf FROM average) WHERE cdf >= 0.35 ORDER BY depth LIMIT 1", _SOURCES, _MULTI, _AVERAGE, recursive=True))(lambda p, l: sampling.depth_for(sampling.cumulative(_average(p, l)), 0.35))
+on_graph("max_min_avg", with_graph("""SELECT arg_min(source_id, (n, place)) AS min_key, min(n) AS min_value, arg_min(source_id, (-n, place)) AS max_key, max(n) AS max_value, round(avg(n), 8) AS avg, round(sum(n * pow(0.5, c - place + CASE WHEN place = 1 THEN 0 ELSE 1 END)), 8) AS avg_ref
+FROM (SELECT source_id, n, row_number() OVER (ORDER BY source_id) AS place, count(*) OVER () AS c FROM (SELECT source_id, count(*) FILTER (depth > 0) AS n FROM reached GROUP BY 1))""", _SOURCES, _MULTI, recursive=True))(
+    lambda p, l: rounded(sampling.max_min_avg(graph.reach(_sample(l)).select(F.col("source_id").alias("place"), F.col("source_id").alias("key"), F.col("num_visited").alias("value"))), "avg", "avg_ref")
+)
+
+
+def _far_pair(link: DataFrame) -> tuple[int, int]:
+    start = start_page(link)
+    row = graph.bfs(graph.edges_of(link), [start], max_depth=6).orderBy(F.desc("depth"), "page_id").first()
+    return start, row["page_id"]
+
+
+_END = "goal AS (SELECT page_id, depth FROM tree WHERE depth <= 6 ORDER BY depth DESC, page_id LIMIT 1)"
+_PATHS = """paths(path, page_id, depth) AS (SELECT [page_id]::BIGINT[], page_id, 0 FROM start UNION ALL
+  SELECT list_append(path, t.page_id), t.page_id, t.depth FROM paths p JOIN link e ON e.page_id = p.page_id JOIN tree t ON t.page_id = e.page_link AND t.depth = p.depth + 1 WHERE p.depth < (SELECT depth FROM goal)),
+shortest AS (SELECT path FROM paths WHERE page_id = (SELECT page_id FROM goal))"""
+on_graph("shortest_paths_all", with_graph("SELECT list_aggregate(path, 'string_agg', ',') AS path FROM shortest", START_SQL, _BFS, _END, _PATHS, recursive=True))(
+    lambda p, l: graph.shortest_paths(graph.edges_of(l), *_far_pair(l)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+)
+on_graph("path_dag", with_graph("SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM shortest, range(1, 20) r(i) WHERE i < len(path)", START_SQL, _BFS, _END, _PATHS, recursive=True))(lambda p, l: graph.path_edges(graph.shortest_paths(graph.edges_of(l), *_far_pair(l))))
+on_graph("path_nodes", with_graph("""SELECT page_id, depth, (SELECT count(DISTINCT path[depth + 2]) FROM shortest WHERE path[depth + 1] = n.page_id AND depth + 1 < len(path)) AS n_next,
+  (SELECT count(*) FROM link e WHERE e.page_id = n.page_id) AS num_links, (SELECT count(*) FROM link e WHERE e.page_link = n.page_id) AS times_linked
+FROM (SELECT path[i] AS page_id, min(i - 1)::INTEGER AS depth FROM shortest, range(1, 20) r(i) WHERE i <= len(path) GROUP BY 1) n""", START_SQL, _BFS, _END, _PATHS, recursive=True))(
+    lambda p, l: graph.path_nodes(graph.shortest_paths(graph.edges_of(l), *_far_pair(l)), l)
+)
+_WCC = """both_ways AS (SELECT page_id, page_link FROM link UNION SELECT page_link, page_id FROM link),
+label(page_id, component) AS (SELECT DISTINCT page_id, page_id FROM both_ways UNION SELECT e.page_link, component FROM label l JOIN both_ways e ON l.page_id = e.page_id WHERE component < e.page_link),
+wcc AS (SELECT page_id, min(component) AS component FROM label GROUP BY 1)"""
+on_graph("wcc_labels", with_graph("SELECT * FROM wcc", _WCC, recursive=True))(lambda p, l: graph.components(graph.edges_of(l)))
+on_graph("wcc_pruned", with_graph("""SELECT component, size, list_sort(members)::VARCHAR AS members FROM (SELECT component, count(*) AS size, list(page_id) AS members, row_number() OVER (ORDER BY count(*) DESC, component) AS place
+FROM wcc WHERE page_id NOT IN (SELECT page_id FROM page WHERE is_redirect) GROUP BY 1) WHERE place > 1 AND size > 1""", _WCC, recursive=True))(
+    lambda p, l: graph.pruned_components(graph.components(graph.edges_of(l)), p).withColumn("members", F.concat(F.lit("["), F.array_join(F.transform("members", lambda x: x.cast("string")), ", "), F.lit("]")))
+)
+register("wcc_orders")(lambda s, d: graph.components(orders_graph(s, d)))
+on_graph("ego_graph", with_graph("""SELECT src, dst FROM first_step UNION SELECT src, dst FROM second_step""", START_SQL,
+    "ranked AS (SELECT page_id AS src, page_link AS dst, row_number() OVER (PARTITION BY page_id ORDER BY t.n DESC, page_link) AS place FROM link JOIN (SELECT page_link, count(*) AS n FROM link GROUP BY 1) t USING (page_link))",
+    "first_step AS (SELECT src, dst FROM ranked WHERE place <= 4 AND src = (SELECT page_id FROM start))",
+    "second_step AS (SELECT src, dst FROM ranked WHERE place <= 4 AND src IN (SELECT dst FROM first_step) AND src <> (SELECT page_id FROM start))"))(lambda p, l: graph.ego(l, start_page(l), neighbours=4)[1])
+on_graph("communities")(lambda p, l: graph.communities(graph.edges_of(l), rounds=4))
+register("category_subgraph", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), busy AS (SELECT dst AS node FROM e GROUP BY 1 HAVING count(*) > 1)
+SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT node FROM busy) AND dst IN (SELECT node FROM busy)""")(lambda s, d: graph.category_subgraph(table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()))
+
+# History and sizes
+
+register("trend_lag", f"""WITH {SNAPSHOT_SQL}, t AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY wiki_name, stat ORDER BY dump_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM snapshot)
+SELECT wiki_name, stat, dump_date, value::DOUBLE AS value, before::DOUBLE AS before, (value - before)::DOUBLE AS change, round(CASE WHEN before = 0 THEN 0 * (value - before) ELSE (value - before) / before * 100 END, 6) AS percent,
+  CASE WHEN value > before THEN 'up' WHEN value < before THEN 'down' WHEN value = before THEN 'no change' END AS direction FROM t""")(lambda s, d: as_doubles(history.trend(snapshots(s, d)).withColumn("percent", F.round("percent", 6)), "value", "before", "change"))
+register("history_until", f"WITH {SNAPSHOT_SQL} SELECT wiki_name, stat, dump_date, value::DOUBLE AS value FROM snapshot WHERE dump_date <= 1997")(lambda s, d: as_doubles(history.until(snapshots(s, d), 1997), "value"))
+register("snapshot_neighbours", f"WITH {SNAPSHOT_SQL} SELECT dump_date, (lag(dump_date) OVER w)::DOUBLE AS previous, (lead(dump_date) OVER w)::DOUBLE AS next FROM (SELECT DISTINCT dump_date FROM snapshot) WINDOW w AS (ORDER BY dump_date)")(lambda s, d: as_doubles(history.neighbours_in_time(snapshots(s, d)), "previous", "next"))
+register("history_pivot", f"WITH {SNAPSHOT_SQL} SELECT stat, dump_date, (max(value) FILTER (wiki_name = '1-URGENT'))::DOUBLE AS \"1-URGENT\", (max(value) FILTER (wiki_name = '5-LOW'))::DOUBLE AS \"5-LOW\" FROM snapshot GROUP BY 1, 2")(lambda s, d: as_doubles(history.matrix(snapshots(s, d), ["1-URGENT", "5-LOW"]), "1-URGENT", "5-LOW"))
+register("size_join", """WITH l AS (SELECT s_nationkey AS wiki_name, count(*) AS total_bytes FROM supplier GROUP BY 1), w AS (SELECT c_nationkey AS wiki_name, count(*) AS web_bytes FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1)
+SELECT wiki_name, total_bytes, web_bytes::DOUBLE AS web_bytes FROM l LEFT JOIN w USING (wiki_name)""")(
+    lambda s, d: as_doubles(history.size_table(table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("wiki_name")).agg(F.count("*").alias("total_bytes")), table(s, d, "customer").filter("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("wiki_name")).agg(F.count("*").alias("web_bytes"))), "web_bytes")
+)
+register("wiki_sizes", "SELECT p_brand AS wiki_name, sum(p_size)::BIGINT AS total_bytes, coalesce(sum(p_size) FILTER (p_type IN ('ECONOMY', 'STANDARD')), 0)::BIGINT AS selected_bytes FROM part GROUP BY 1")(lambda s, d: history.wiki_sizes(table(s, d, "part").select(F.col("p_brand").alias("wiki_name"), F.col("p_type").alias("table"), F.col("p_size").alias("bytes")), ["ECONOMY", "STANDARD"]))
+
+# Sets, validation and scheduling
+
+_OLD, _NEW = "(SELECT page_id, page_link FROM link WHERE (page_id + page_link) % 5 <> 0)", "(SELECT page_id, page_link FROM link WHERE (page_id + page_link) % 7 <> 0)"
+_DIFF = f"diff AS (SELECT *, 'added' AS change FROM ({_NEW} EXCEPT {_OLD}) UNION ALL SELECT *, 'deleted' FROM ({_OLD} EXCEPT {_NEW}))"
+
+
+def _versions(link: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two dumps of the default graph that differ in some links."""
+    mark = F.col("page_id") + F.col("page_link")
+    return link.filter(mark % 5 != 0), link.filter(mark % 7 != 0)
+
+
+on_graph("symmetric_diff", with_graph("SELECT * FROM diff", _DIFF))(lambda p, l: checks.difference(*_versions(l), ["page_id", "page_link"]))
+on_graph("edge_diff", with_graph("SELECT count(*) FILTER (change = 'added') AS num_added, count(*) FILTER (change = 'deleted') AS num_deleted FROM diff", _DIFF))(lambda p, l: checks.difference_counts(*_versions(l), ["page_id", "page_link"]))
+_FILES = "files AS (SELECT DISTINCT o_orderpriority AS wiki_name, o_custkey % 200 AS dump_date, o_orderstatus AS \"table\" FROM orders)"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("wiki_name"), (F.col("o_custkey") % 200).alias("dump_date"), F.col("o_orderstatus").alias("table")).distinct()
+
+
+register("complete_dumps", f"WITH {_FILES} SELECT wiki_name, dump_date FROM files WHERE \"table\" IN ('F', 'O', 'P') GROUP BY ALL HAVING count(*) = 3")(lambda s, d: checks.complete_dumps(_files(s, d), ["F", "O", "P"]))
+register("dump_dates_common", f"WITH {_FILES} SELECT dump_date FROM files GROUP BY 1 HAVING count(DISTINCT wiki_name) = 5")(lambda s, d: checks.common_dates(_files(s, d), 5))
+register("tasks_todo", f"WITH {_FILES} SELECT DISTINCT wiki_name, dump_date FROM files WHERE (wiki_name, dump_date) NOT IN (SELECT (wiki_name, dump_date) FROM files WHERE \"table\" = 'P')")(lambda s, d: checks.todo(_files(s, d), _files(s, d).filter("table = 'P'")))
+register("task_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")(lambda s, d: checks.latest(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"))
+
+
+@register(
+    "dump_status",
+    """WITH t AS (SELECT o_custkey % 50 AS dump_date, CASE WHEN o_orderkey % 41 = 0 THEN 'RUNNING' WHEN o_orderkey % 37 = 0 THEN 'FAILED' WHEN o_orderkey % 2 = 0 THEN 'DONE' ELSE 'QUEUED' END AS status, o_orderdate AS finished_at FROM orders WHERE o_orderkey % 11 = 1)
+SELECT dump_date, CASE WHEN bool_or(status = 'RUNNING') THEN 'RUNNING' WHEN bool_or(status = 'FAILED') THEN 'FAILED'
+  WHEN bool_or(status = 'DONE' AND epoch(TIMESTAMP '1998-01-02 00:00:00') - epoch(finished_at) <= 86400) THEN 'DONE' ELSE 'SCHEDULED' END AS status FROM t GROUP BY 1""",
+)
+def dump_status(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    status = F.when(key % 41 == 0, "RUNNING").when(key % 37 == 0, "FAILED").when(key % 2 == 0, "DONE").otherwise("QUEUED")
+    tasks = table(spark, d, "orders").filter("o_orderkey % 11 = 1").select((F.col("o_custkey") % 50).alias("dump_date"), status.alias("status"), F.col("o_orderdate").alias("finished_at"))
+    return checks.dump_status(tasks, "1998-01-02 00:00:00")
+
+
+register("category_argmax", "WITH m AS (SELECT DISTINCT l_partkey AS page_id, l_suppkey::VARCHAR AS category FROM lineitem), z AS (SELECT category, count(*) AS size FROM m GROUP BY 1) SELECT page_id, arg_min(category, (-size, category)) AS category, max(size) AS size FROM m JOIN z USING (category) GROUP BY 1")(
+    lambda s, d: checks.largest_category(table(s, d, "lineitem").select(F.col("l_partkey").alias("page_id"), F.col("l_suppkey").cast("string").alias("category")).distinct())
+)
+register("category_count_hist", "SELECT n, count(*) AS num_categories FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) GROUP BY 1")(lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n")).groupBy("n").agg(F.count("*").alias("num_categories")))
+
+# Functions and files
+
+register("size_parse", """SELECT p_partkey, floor(CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1000000 WHEN 3 THEN (p_size + 0.5) * 1000000000 END)::DOUBLE AS bytes FROM part""")(
+    lambda s, d: table(s, d, "part").select("p_partkey", scalars.parse_size(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, [" b", " KB", " mb", ".5 GB", " XB"])), (F.col("p_partkey") % 5 + 1).cast("int")))).cast("double").alias("bytes"))
+)
+register("utf_lengths", "SELECT doc_id, length(text) AS characters, strlen(text) AS bytes FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", scalars.length_characters(F.col("text")).cast("bigint").alias("characters"), scalars.length_bytes(F.col("text")).cast("bigint").alias("bytes")))
+register("percentages", "SELECT p_partkey, round(p_size / nullif(p_size % 4, 0)::DOUBLE * 100, 2) AS share FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", scalars.percentage(F.col("p_size"), F.col("p_size") % 4).alias("share")))
+register("node_sizes", "SELECT page_id, round(least(150, greatest(15, sqrt(5 * n))), 6) AS size FROM (SELECT l_partkey AS page_id, count(*) AS n FROM lineitem GROUP BY 1)")(lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("page_id")).agg(F.count("*").alias("n")).select("page_id", F.round(scalars.node_size(F.col("n")), 6).alias("size")))
+register("html_links", "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) AS href FROM pages) GROUP BY ALL")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(files.href_links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n")))
+register("windowed_events", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: streams.windowed_counts(table(s, d, "events")))

@@ -43,7 +43,7 @@ def parse_size(text: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """Binary units, at most two decimals."""
-    power = F.when(n > 0, F.least(F.lit(4), F.floor(F.log(F.lit(1024.0), n)))).otherwise(0).cast("int")
+    power = F.when(n > 0, F.least(F.lit(4), F.floor(F.log(1024.0, n)))).otherwise(0).cast("int")
     value = F.round(n / F.pow(F.lit(1024.0), power), 2)
     text = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
     return F.concat_ws(" ", text, F.element_at(F.array(*map(F.lit, ["Bytes", "KB", "MB", "GB", "TB"])), power + 1))

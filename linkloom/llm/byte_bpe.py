@@ -18,6 +18,7 @@ import heapq
 import random
 import re
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ FOLD_BYTES = 256
 #: Longer texts are split piece by piece instead of all at once.
 LONG = 1 << 20
 
-# The usual splitting pattern of byte-level BPE, and the letters, numbers and white space below U+0250 (fixed values).
+# The usual splitting pattern of byte-level BPE, and the letters, numbers and white space below U+0100 (fixed values).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
 SPACES = "\\t-\\r \\x85\\xa0"
-_WIDE = re.compile("[^\\x00-\\u024f]")
+_WIDE = re.compile("[^\\x00-\\xff]")
 _PLAIN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]++| ?[{NUMBERS}]++| ?[^{SPACES}{LETTERS}{NUMBERS}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
@@ -192,14 +193,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
     def split(batches):
         known: dict[str, int] = {}
         for batch in batches:
-            rows: list[tuple] = []
+            id_type, rows = batch.schema.field(0).type, []
             for own, value in zip(batch.column(0), batch.column(1), strict=True):
                 if len(known) > MAX_WORDS:
                     known.clear()
                     rows.append((None, None, None, True, None, False))
                 found = words_of(value.as_py() or "", pattern)
                 found = found if isinstance(found, list) else list(found)
-                for word in set(found) - known.keys():
+                for word in dict.fromkeys(filterfalse(known.__contains__, found)):
                     known[word] = len(known)
                     data = word.encode()
                     direct = ranks.get(data)
@@ -208,19 +209,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
                     elif len(data) > FOLD_BYTES:
                         rows.append((None, merge_long(data, ranks), None, False, None, False))
                     else:
-                        rows.append((list(data), None, None, False, None, False))
+                        rows.append((data, None, None, False, None, False))
                 codes = np.fromiter(map(known.__getitem__, found), np.int32, count=len(found)).tobytes()
                 rows.append((None, None, codes, False, own.as_py(), True))
                 if len(rows) > 8192:
-                    yield packed(rows, batch.schema.field(0).type)
+                    yield packed(rows, id_type)
                     rows = []
             if rows:
-                yield packed(rows, batch.schema.field(0).type)
+                yield packed(rows, id_type)
 
     def packed(rows, id_type):
-        columns = zip(*rows, strict=True)
-        types = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.bool_(), id_type, pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["data", "given", "codes", "restart", id_col, "is_doc"])
+        data, *others = zip(*rows, strict=True)
+        sizes = np.fromiter((len(x or b"") for x in data), np.int32, count=len(data))
+        numbers = np.frombuffer(b"".join(x or b"" for x in data), np.uint8).astype(np.int32)
+        none = pa.array([x is None for x in data])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(numbers), mask=none)
+        types = (pa.list_(pa.int32()), pa.binary(), pa.bool_(), id_type, pa.bool_())
+        return pa.RecordBatch.from_arrays([lists, *(pa.array(c, t) for c, t in zip(others, types, strict=True))], names=["data", "given", "codes", "restart", id_col, "is_doc"])
 
     def join(batches):
         texts: list[bytes] = []

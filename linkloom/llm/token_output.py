@@ -13,7 +13,7 @@ import os
 import re
 import struct
 import zlib
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,11 @@ MEMO_ENTRIES = 400_000
 #: Longer texts are split piece by piece instead of all at once.
 LONG = 1 << 20
 
-# The splitting pattern of byte-level BPE for texts below U+0250, in which letters, numbers and white space are these (fixed values).
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+# The splitting pattern of byte-level BPE for texts below U+0100, in which letters, numbers and white space are these (fixed values).
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
 SPACES = "\\t-\\r \\x85\\xa0"
-PLAIN = re.compile("[^\\x00-\\u024f]")
+PLAIN = re.compile("[^\\x00-\\xff]")
 SPLIT = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]++| ?[{NUMBERS}]++| ?[^{SPACES}{LETTERS}{NUMBERS}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
@@ -56,11 +56,11 @@ class WordEncoder:
     def _learn(self, lists: list[list[str]]) -> None:
         """Remember every word of the lists; the library encodes new ones in one call."""
         young, old = self.young, self.old
-        fresh = dict.fromkeys(w for words in lists for w in words if w not in young)
+        fresh = dict.fromkeys(filterfalse(young.__contains__, chain.from_iterable(lists)))
         if len(young) > MEMO_ENTRIES:
             self.old, self.young = young, {}
             young, old = self.young, young
-            fresh = dict.fromkeys(w for words in lists for w in words)
+            fresh = dict.fromkeys(chain.from_iterable(lists))
         missing = []
         for word in fresh:
             known = old.get(word)

@@ -103,8 +103,8 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(n):
         secret = k % 2 == 0
         token = rng.choice(secrets if secret else harmless)()
-        lead = " ".join(word() for _ in range(4)) + rng.choice([" ", ": ", " = ", ' "', "(", "\n", "=", " key ", " id ", " no. ", " see "])
-        text = lead + token + rng.choice([" ", ".", '"', ",", "\n", ")", ""]) + " ".join(word() for _ in range(4))
+        lead = " ".join(word() for _ in range(rng.randint(0, 4))) + rng.choice([" ", ": ", " = ", ' "', "(", "\n", "=", " key ", " id ", " no. ", " see "])
+        text = lead + token + rng.choice([" ", ".", '"', ",", "\n", ")", ""]) + " ".join(word() for _ in range(rng.randint(0, 4)))
         codes.append(encode(text, len(lead), len(lead) + len(token)))
         labels.append(secret)
     return np.array(codes), np.array(labels, float)

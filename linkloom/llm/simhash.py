@@ -26,6 +26,8 @@ BITS = 64
 PAIR_BUCKET = 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Column that tells rows apart which repeat an id.
+ROW_HASH = "_row_hash"
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -160,16 +162,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each near-duplicate class: the one with the least id.
+def hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW_HASH, a hash of all columns and of which of them are null."""
+    nulls = F.concat(*(F.col(f"`{c}`").isNull().cast("int").cast("string") for c in docs.columns))
+    return docs.withColumn(ROW_HASH, F.xxhash64(nulls, *(F.col(f"`{c}`") for c in docs.columns)))
 
-    Of rows that repeat that id the least by all other columns stays. Rows
-    without an id name no class and all stay.
+
+def survivors(docs: DataFrame, rows: DataFrame, linked: DataFrame, *, id_col: str) -> DataFrame:
+    """Of each class exactly one row of ``docs``: the least by id (nulls last), then by all other columns.
+
+    ``rows`` has id, ROW_HASH and node of every row, ``linked`` the root of
+    linked nodes. Rows are told apart by id and ROW_HASH, so rows that repeat
+    an id, or have none, are decided by their own texts.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    chosen = found.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_chosen")).distinct()
-    others = [c for c in docs.columns if c != id_col]
-    named = docs.join(chosen, docs[id_col] == chosen["_chosen"], "left_semi")
-    one = named.groupBy(id_col).agg(F.min(F.struct(*others)).alias("_row"))
-    one = one.select(*(F.col(f"_row.`{c}`").alias(c) if c != id_col else F.col(c) for c in docs.columns))
-    return one.union(docs.filter(F.col(id_col).isNull()))
+    roots = linked.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    found = rows.select(F.col(id_col).alias("_id"), F.col(ROW_HASH).alias("_hash"), F.col("node").alias("_node")).distinct()
+    found = found.join(roots, "_node", "left").select("_id", "_hash", F.coalesce("_root", "_node").alias("_root"))
+    found = staged(found, "survivor-rows")
+    least = found.groupBy("_root").agg(F.min("_id").alias("_least"))
+    first = found.join(least, "_root").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("_id", "_hash", "_root")
+    marked = hashed(docs)
+    named = marked.join(first, (marked[ROW_HASH] == first["_hash"]) & marked[id_col].eqNullSafe(first["_id"]))
+    one = named.groupBy("_root").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != id_col), F.col(id_col))).alias("_kept"))
+    return one.select(*(F.col(f"_kept.`{c}`").alias(c) for c in docs.columns))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
+    """One row of each near-duplicate class, as ``survivors`` chooses it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)), "<u8", count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view("<i8"))], names=[id_col, ROW_HASH, "node"])
+
+    rows = staged(hashed(docs).select(id_col, ROW_HASH, text_col).mapInArrow(run, f"{id_col} {kind}, {ROW_HASH} bigint, node bigint"), "simhash-rows")
+    linked = components(links(rows.select(F.col("node").alias("fp")).distinct(), max_bits))
+    return survivors(docs, rows, linked, id_col=id_col)

@@ -2,7 +2,7 @@
 
 import random
 
-from linkloom.llm import simhash
+from linkloom.llm import near_copies, simhash
 
 KINDS = "doc_id bigint, text string, source string"
 
@@ -12,6 +12,36 @@ def words(seed, n):
     return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
 
 
+def jaccard(a, b):
+    a, b = set(near_copies.shingle_set(a)), set(near_copies.shingle_set(b))
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_near_copies_of_similarity_0_8_go(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows, far = [], 0
+    for group in range(30):
+        base = words(group, 150)
+        rows.append((10 * group, " ".join(base), "s"))
+        for copy in (1, 2):
+            other = list(base)
+            for at in (40, 110)[:copy]:
+                other[at] = f"changed{copy}"
+            rows.append((10 * group + copy, " ".join(other), "s"))
+            far += bin(simhash.fingerprint(rows[-1][1]) ^ simhash.fingerprint(" ".join(base))).count("1") > 2
+            assert jaccard(rows[-1][1], " ".join(base)) >= 0.8
+        half = base[:75] + words(1000 + group, 75)
+        rows.append((10 * group + 3, " ".join(half), "s"))
+    assert far > 5
+    expected = sorted(i for g in range(30) for i in (10 * g, 10 * g + 3))
+    docs = spark.createDataFrame(rows, KINDS)
+    for limit in (16, 2):
+        monkeypatch.setattr(near_copies, "PAIR_BUCKET", limit)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == expected
+    assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
 def test_pipeline_keeps_one_row_of_each_class_whatever_its_ids(spark):
     one, two, three = (" ".join(words(k, 40)) for k in (1, 2, 3))
     rows = [
@@ -21,4 +51,44 @@ def test_pipeline_keeps_one_row_of_each_class_whatever_its_ids(spark):
     ]
     docs = spark.createDataFrame(rows, KINDS)
     expected = [(1, one, "a"), (1, two, "b"), (7, None, "h"), (None, three, "e")]
-    assert sorted(map(str, map(tuple, simhash.keep_one(docs).collect()))) == sorted(map(str, expected))
+    for keep_one in (simhash.keep_one, near_copies.keep_one):
+        assert sorted(map(str, map(tuple, keep_one(docs).collect()))) == sorted(map(str, expected))
+
+
+def test_pipeline_against_brute_force_shingle_sets(spark, data):
+    import hashlib
+
+    import duckdb
+    import pytest
+
+    import corpus_pipeline
+    from linkloom.llm import byte_bpe, quality_rules, secret_scan, source_mixing
+    from linkloom.llm.queries import vocabulary
+    from linkloom.llm.sql import mix_sql
+
+    tiktoken = pytest.importorskip("tiktoken")
+    tokenizers = pytest.importorskip("public_tokenizers")
+    ranks = byte_bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    kept = quality_rules.assess(documents, spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1 and toxic = 0").selectExpr("doc_id as id")).filter("kept")
+    frame = documents.join(kept, "doc_id", "left_semi").toPandas().sort_values("doc_id")
+    root = {i: i for i in frame.doc_id}
+    texts = dict(zip(frame.doc_id, frame.text, strict=True))
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    frame = frame[[root[i] == i for i in frame.doc_id]].copy()
+    net = secret_scan.trained()
+    frame["text"] = [secret_scan.redacted(t, s, "[SECRET]") for t, (_, s) in zip(frame.text, secret_scan._found(list(frame.text), net), strict=True)]
+    con = duckdb.connect()
+    con.register("documents", frame)
+    mixed = con.execute(mix_sql([3, 1, 2], 1.5, 2.0, source_mixing.ROUNDS)).df()
+    expected = []
+    for i, size, taken in zip(mixed.doc_id, mixed["size"], mixed.taken, strict=True):
+        text = dict(zip(frame.doc_id, frame.text, strict=True))[i]
+        numbers = library.encode_ordinary(text)
+        expected += [(i, len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] * (taken // size if taken else 0)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(expected)

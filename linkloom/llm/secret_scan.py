@@ -2,7 +2,7 @@
 
 Rules find assignments, access keys and long hexadecimal runs. Every further
 candidate (an unbroken token with a digit) and its surroundings go through a
-small convolutional network in numpy, whose score is calibrated on held-out
+small convolutional network in numpy, window by window; the highest score is calibrated on held-out
 findings; the threshold is the highest that keeps the required recall there.
 The network is trained on labelled findings made by ``labelled_findings`` from
 a fixed seed, so every run has the same network.
@@ -31,9 +31,9 @@ MIN_VALUE, MIN_ACCESS = 8, 16
 
 #: A candidate: a token of 12 or more of these characters with a digit.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{12,}")
-#: Characters of the token's head and tail and of its surroundings that the network sees.
-HEAD, TAIL, AROUND = 40, 8, 20
-LENGTH = AROUND + HEAD + TAIL + AROUND
+#: Characters of a token that the network sees at once, from one such window to the next, and of its surroundings.
+WINDOW, STEP, AROUND = 48, 24, 20
+LENGTH = AROUND + WINDOW + AROUND
 ALPHABET = {c: i + 2 for i, c in enumerate(string.ascii_letters + string.digits + string.punctuation + " \n")}
 CODES = len(ALPHABET) + 2
 WIDTH, FILTERS, EMBED = 5, 24, 8
@@ -51,8 +51,15 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows that together hold every character of a token."""
+    if end - start <= WINDOW:
+        return [(start, end)]
+    return [(at, at + WINDOW) for at in (*range(start, end - WINDOW, STEP), end - WINDOW)]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes of a token and its surroundings, padded with 0."""
+    """Character codes of a window and its surroundings, padded with 0."""
     out = np.zeros(LENGTH, np.int16)
 
     def put(at: int, piece: str) -> None:
@@ -60,15 +67,19 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
 
     before = text[max(0, start - AROUND) : start]
     put(AROUND - len(before), before)
-    put(AROUND, text[start : min(end, start + HEAD)])
-    if end - start > HEAD:
-        put(AROUND + HEAD, text[max(start + HEAD, end - TAIL) : end])
-    put(AROUND + HEAD + TAIL, text[end : end + AROUND])
+    put(AROUND, text[start:end])
+    put(AROUND + WINDOW, text[end : end + AROUND])
     return out
 
 
 def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """n tokens in surroundings, half of them secrets, as codes and labels."""
+    """The first windows of n tokens in surroundings, half of them secrets, as codes and labels."""
+    found = findings(n, seed)
+    return np.array([encode(text, *windows(start, end)[0]) for text, start, end, _ in found]), np.array([secret for *_, secret in found], float)
+
+
+def findings(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
+    """n texts with a token's place in each, half of the tokens secrets."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
     alnum, upper, lower, digits = string.ascii_letters + string.digits, string.ascii_uppercase, string.ascii_lowercase, string.digits
@@ -99,14 +110,40 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"version-{rng.randint(0, 20)}-{rng.randint(0, 20)}-{word()}",
         lambda: pick(lower, 3) + pick(digits, rng.randint(9, 14)),
     ]
-    codes, labels = [], []
+    found = []
     for k in range(n):
         secret = k % 2 == 0
         token = rng.choice(secrets if secret else harmless)()
         lead = " ".join(word() for _ in range(rng.randint(0, 4))) + rng.choice([" ", ": ", " = ", ' "', "(", "\n", "=", " key ", " id ", " no. ", " see "])
         text = lead + token + rng.choice([" ", ".", '"', ",", "\n", ")", ""]) + " ".join(word() for _ in range(rng.randint(0, 4)))
-        codes.append(encode(text, len(lead), len(lead) + len(token)))
-        labels.append(secret)
+        found.append((text, len(lead), len(lead) + len(token), secret))
+    return found
+
+
+def joined_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int, bool]]:
+    """n long tokens (text, start, end, secret's start and end, secret): paths and values, half with a key somewhere in them."""
+    rng, found = random.Random(seed), []
+    for text, start, end, secret in findings(n, seed):
+        pieces = [text[a:b] for text, a, b, other in findings(40, rng.randrange(1 << 30)) if not other and b - a <= 30]
+        mark = rng.choice("///_-=")
+        lead, tail = (mark.join(rng.choices(pieces, k=rng.randint(0, 6))) for _ in range(2))
+        lead, tail = lead + mark if lead else "", mark + tail if tail else ""
+        at = start + len(lead)
+        whole = text[:start] + lead + text[start:end] + tail + text[end:]
+        found.append((whole, start, at + end - start + len(tail), at, at + end - start, secret))
+    return found
+
+
+def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of tokens alone and of joined ones; positive where half a secret, or 16 characters, are in sight."""
+    codes, labels = [], []
+    tokens = [(text, a, b, a, b, secret) for text, a, b, secret in findings(n, seed)] + joined_findings(n // 2, seed + 100)
+    for text, start, end, a, b, secret in tokens:
+        for low, high in windows(start, end):
+            shown = min(b, high + AROUND) - max(a, low - AROUND)
+            if not secret or shown <= 0 or shown >= min(16, (b - a) / 2):
+                codes.append(encode(text, low, high))
+                labels.append(secret and shown > 0)
     return np.array(codes), np.array(labels, float)
 
 
@@ -173,22 +210,36 @@ class CharNetwork:
                     self.p[name] = self.p[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, codes: np.ndarray, labels: np.ndarray, recall: float) -> None:
-        """Platt scaling, then the highest threshold that keeps ``recall``."""
+        """Platt scaling on windows, and the highest threshold that keeps ``recall`` there."""
         logits = self.logits(codes)
         for _ in range(200):
             p = 1 / (1 + np.exp(-(self.scale * logits + self.offset)))
             self.scale -= 0.05 * float(((p - labels) * logits).mean())
             self.offset -= 0.05 * float((p - labels).mean())
-        ranked = np.sort(self.probability(codes)[labels > 0])
-        self.threshold = float(ranked[int(np.floor((1 - recall) * len(ranked)))])
+        self.set_threshold(self.probability(codes)[labels > 0], recall)
+
+    def scores(self, tokens: list[tuple[str, int, int]]) -> np.ndarray:
+        """Per token (text, start, end) the highest probability over its windows."""
+        best = np.zeros(len(tokens))
+        places = [(k, window) for k, (_, start, end) in enumerate(tokens) for window in windows(start, end)]
+        for at in range(0, len(places), 4096):
+            block = places[at : at + 4096]
+            np.maximum.at(best, [k for k, _ in block], self.probability(np.array([encode(tokens[k][0], *window) for k, window in block])))
+        return best
+
+    def set_threshold(self, scores: np.ndarray, recall: float) -> None:
+        """The highest threshold that keeps ``recall`` of secrets with these scores."""
+        self.threshold = float(np.sort(scores)[int(np.floor((1 - recall) * len(scores)))])
 
 
 @functools.lru_cache(maxsize=1)
 def trained(n: int = 4000, epochs: int = 6, seed: int = 7, recall: float = RECALL) -> CharNetwork:
     """The network fitted on n findings and calibrated on n / 2 others."""
     net = CharNetwork(seed)
-    net.fit(*labelled_findings(n, seed), epochs, seed)
-    net.calibrate(*labelled_findings(n // 2, seed + 1), recall)
+    net.fit(*training_windows(n, seed), epochs, seed)
+    net.calibrate(*training_windows(n // 2, seed + 1), recall)
+    held_out = [x[:3] for x in findings(n // 2, seed + 2) if x[3]] + [x[:3] for x in joined_findings(n // 4, seed + 3) if x[5]]
+    net.set_threshold(net.scores(held_out), recall)
     return net
 
 
@@ -210,12 +261,9 @@ def _found(texts: list[str], net: CharNetwork) -> list[tuple[list, list]]:
     base = [rule_spans(text) for text in texts]
     places = [(i, span) for i, text in enumerate(texts) for span in candidates(text, base[i])]
     spans = [list(b) for b in base]
-    for at in range(0, len(places), 4096):
-        block = places[at : at + 4096]
-        sure = net.probability(np.array([encode(texts[i], *span) for i, span in block])) >= net.threshold
-        for (i, span), yes in zip(block, sure, strict=True):
-            if yes:
-                spans[i].append(("model", *span))
+    for (i, span), score in zip(places, net.scores([(texts[i], *span) for i, span in places]), strict=True):
+        if score >= net.threshold:
+            spans[i].append(("model", *span))
     return [(b, sorted(s, key=lambda x: (x[1], KINDS.index(x[0])))) for b, s in zip(base, spans, strict=True)]
 
 

@@ -92,3 +92,15 @@ def test_pipeline_against_brute_force_shingle_sets(spark, data):
         numbers = library.encode_ordinary(text)
         expected += [(i, len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] * (taken // size if taken else 0)
     assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(expected)
+
+
+def test_op7_secret_scan_sees_every_character_of_a_candidate():
+    from linkloom.llm import secret_scan
+
+    net, key = secret_scan.trained(), "ghp_a8Bd93kLmQ2xZt7Rw5Yn1Vc6Hj0Ks4TbNe8q"
+    path = "/home/builder/projects/common/releases/version1/archive/linux"
+    texts = [f"see {path}/{key}/download/latest now", f"see {path}/{path}/{key}{path} now", f"see {path}/{path}{path}/download now"]
+    found = [secret_scan.redacted(t, s, "X") for t, (_, s) in zip(texts, secret_scan._found(texts, net), strict=True)]
+    assert [key in text for text in found] == [False, False, False] and found[2] == texts[2]
+    for length in (12, 48, 49, 72, 73, 500):
+        assert {at for low, high in secret_scan.windows(7, 7 + length) for at in range(low, high)} == set(range(7, 7 + length))

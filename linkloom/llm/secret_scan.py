@@ -1,7 +1,7 @@
 """Secret scans: fixed rules plus a character convolutional network.
 
 Rules find assignments, access keys and long hexadecimal runs. Every further
-candidate (an unbroken token with a digit) and its surroundings go through a
+candidate (an unbroken token that they do not cover whole) and its surroundings go through a
 small convolutional network in numpy, window by window; the highest score is calibrated on held-out
 findings; the threshold is the highest that keeps the required recall there.
 The network is trained on labelled findings made by ``labelled_findings`` from
@@ -29,14 +29,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-#: A candidate: a token of 12 or more of these characters with a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{12,}")
+#: A candidate: a token of 12 or more of these characters, at least one of them a letter or digit.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*+[A-Za-z0-9])[A-Za-z0-9+/_=-]{12,}")
 #: Characters of a token that the network sees at once, from one such window to the next, and of its surroundings.
 WINDOW, STEP, AROUND = 48, 24, 20
 LENGTH = AROUND + WINDOW + AROUND
 ALPHABET = {c: i + 2 for i, c in enumerate(string.ascii_letters + string.digits + string.punctuation + " \n")}
 CODES = len(ALPHABET) + 2
 WIDTH, FILTERS, EMBED = 5, 24, 8
+#: Of these, harmless words of the labelled findings are spelled.
+ONSETS = "b br c ch cl d dr f fl g gr h j k kl l m n p pl pr qu r s sch sp st str t th tr v w z".split()
+VOWELS = "a e i o u ai au ea ei eu ie io ou".split()
+CODAS = ["", "", "", *"b ch ck d f ft g ght l ll m mp n nd ng nt p r rd rk rs rt s ss st t tz x".split()]
 RECALL = 0.99
 
 
@@ -78,8 +82,8 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([encode(text, *windows(start, end)[0]) for text, start, end, _ in found]), np.array([secret for *_, secret in found], float)
 
 
-def findings(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
-    """n texts with a token's place in each, half of the tokens secrets."""
+def findings(n: int, seed: int, digit_free: bool = False) -> list[tuple[str, int, int, bool]]:
+    """n texts with a token's place in each, half of the tokens secrets (letters only if ``digit_free``)."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
     alnum, upper, lower, digits = string.ascii_letters + string.digits, string.ascii_uppercase, string.ascii_lowercase, string.digits
@@ -95,6 +99,7 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
         lambda: pick("0123456789ABCDEF", rng.randint(32, 64)),
         lambda: pick(upper + digits, rng.randint(20, 32)),
     ]
+    letters = [lambda: pick(string.ascii_letters, rng.randint(20, 64)), lambda: pick(upper, rng.randint(24, 40)), lambda: pick(lower, rng.randint(24, 40))]
     harmless = [
         lambda: pick(digits, rng.randint(12, 20)),
         lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
@@ -110,6 +115,20 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
         lambda: f"version-{rng.randint(0, 20)}-{rng.randint(0, 20)}-{word()}",
         lambda: pick(lower, 3) + pick(digits, rng.randint(9, 14)),
     ]
+    spelled = lambda: "".join(rng.choice(ONSETS) + rng.choice(VOWELS) + rng.choice(CODAS) for _ in range(rng.randint(4, 8)))
+    plain = [
+        spelled,
+        lambda: spelled().capitalize(),
+        lambda: spelled().upper(),
+        lambda: (word() + word() + rng.choice([word, spelled])()).upper(),
+        lambda: word() + word() + word() + word() + spelled(),
+        lambda: rng.choice("-/_").join(rng.choice([word, spelled])() for _ in range(rng.randint(2, 6))),
+        lambda: "".join(rng.choice([word, spelled])().capitalize() for _ in range(rng.randint(2, 4))),
+        lambda: rng.choice(["//www-", "//", "/"]) + spelled() + "/" + spelled(),
+        lambda: rng.choice("-=_") * rng.randint(4, 20) + spelled(),
+    ]
+    if digit_free:
+        secrets, harmless = letters, plain
     found = []
     for k in range(n):
         secret = k % 2 == 0
@@ -137,7 +156,8 @@ def joined_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int, bo
 def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of tokens alone and of joined ones; positive where half a secret, or 16 characters, are in sight."""
     codes, labels = [], []
-    tokens = [(text, a, b, a, b, secret) for text, a, b, secret in findings(n, seed)] + joined_findings(n // 2, seed + 100)
+    alone = findings(n, seed) + findings(n, seed + 200, digit_free=True)
+    tokens = [(text, a, b, a, b, secret) for text, a, b, secret in alone] + joined_findings(n // 2, seed + 100)
     for text, start, end, a, b, secret in tokens:
         for low, high in windows(start, end):
             shown = min(b, high + AROUND) - max(a, low - AROUND)
@@ -232,26 +252,52 @@ class CharNetwork:
         self.threshold = float(np.sort(scores)[int(np.floor((1 - recall) * len(scores)))])
 
 
+def held_out_secrets(n: int, seed: int) -> list[tuple[str, int, int]]:
+    """Secrets (text, start, end): alone, of letters only, and within long tokens."""
+    alone = findings(n, seed) + findings(n // 4, seed + 200, digit_free=True)
+    return [x[:3] for x in alone if x[3]] + [(x[0], x[3], x[4]) for x in joined_findings(n // 2, seed + 100) if x[5]]
+
+
 @functools.lru_cache(maxsize=1)
 def trained(n: int = 4000, epochs: int = 6, seed: int = 7, recall: float = RECALL) -> CharNetwork:
     """The network fitted on n findings and calibrated on n / 2 others."""
     net = CharNetwork(seed)
     net.fit(*training_windows(n, seed), epochs, seed)
     net.calibrate(*training_windows(n // 2, seed + 1), recall)
-    held_out = [x[:3] for x in findings(n // 2, seed + 2) if x[3]] + [x[:3] for x in joined_findings(n // 4, seed + 3) if x[5]]
-    net.set_threshold(net.scores(held_out), recall)
+    net.set_threshold(secret_scores(held_out_secrets(n // 2, seed + 2), net), recall)
     return net
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit that no rule's span touches."""
+    """Tokens that the rules' spans do not cover whole."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if not any(start < m.end() and m.start() < end for _, start, end in base):
+        at = m.start()
+        for _, start, end in base:
+            if start <= at < end:
+                at = end
+        if at < m.end():
             found.append(m.span())
     return found
 
 
+def secret_scores(found: list[tuple[str, int, int]], net: CharNetwork) -> np.ndarray:
+    """Per secret (text, start, end) the score of what covers it in a scan: 1 for rules, the lowest of its candidates, 0 if some is no candidate."""
+    out = np.ones(len(found))
+    tokens = []
+    for k, (text, start, end) in enumerate(found):
+        base = rule_spans(text)
+        free = set(range(start, end)) - {at for _, a, b in base for at in range(a, b)}
+        for a, b in candidates(text, base):
+            if free & set(range(a, b)):
+                tokens.append((k, (text, a, b)))
+                free -= set(range(a, b))
+        if free:
+            out[k] = 0.0
+    np.minimum.at(out, [k for k, _ in tokens], net.scores([token for _, token in tokens]))
+    return out
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 

@@ -104,3 +104,15 @@ def test_op7_secret_scan_sees_every_character_of_a_candidate():
     assert [key in text for text in found] == [False, False, False] and found[2] == texts[2]
     for length in (12, 48, 49, 72, 73, 500):
         assert {at for low, high in secret_scan.windows(7, 7 + length) for at in range(low, high)} == set(range(7, 7 + length))
+
+
+def test_op7_secret_scan_letters_only_and_protruding_keys():
+    from linkloom.llm import secret_scan
+
+    net, letters = secret_scan.trained(), "xQzRtKpWvBnMsLdFgHjCyTqXwZkPbVnR"
+    blocks = "9f86d081884c7d659a2feaa0c55ad015-a3bf4f1b-2b0b822c"
+    texts = [f"key {letters} end", f"id {blocks} end", "an internationalization of responsibilities", "x " + "-" * 40 + " y"]
+    found = [secret_scan.redacted(t, s, "X") for t, (_, s) in zip(texts, secret_scan._found(texts, net), strict=True)]
+    assert found == ["key X end", "id X end", *texts[2:]]
+    scores = secret_scan.secret_scores(secret_scan.held_out_secrets(1500, 555), net)
+    assert (scores >= net.threshold).mean() > 0.98

@@ -29,21 +29,27 @@ BREAKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
-_HREF = re.compile(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# a tag's end and its attributes; a capturing group within a possessive one is beyond the re module
+_TAG = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:("[^"]*")|('[^']*')|([^\s>]*)))?""")
 _ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in RAW}
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Place behind the tag that starts at ``at``; a ``>`` within quotes does not end it."""
-    end = page.find(">", at)
-    for _ in range(16):
-        if end < 0:
-            return len(page)
-        tag = page[at : end + 1]
-        if not (tag.count('"') % 2 or tag.count("'") % 2):
-            return end + 1
-        end = page.find(">", end + 1)
-    return page.find(">", at) + 1 or len(page)
+    """Place behind the tag that starts at ``at``; a ``>`` within a quoted value does not end it.
+
+    A quote opens a value only behind ``=``, as in HTML; one that is never closed is an ordinary character.
+    """
+    tag = _TAG.match(page, at)
+    return tag.end() if tag else len(page)
+
+
+def _href(page: str, at: int, end: int) -> str | None:
+    """The first href of a tag whose attributes lie from ``at`` to ``end``."""
+    for name, double, single, bare in _ATTRIBUTE.findall(page, at, end):
+        if name.lower() == "href" and not (bare and bare[0] in "\"'"):
+            return double[1:-1] or single[1:-1] or bare if double or single or bare else None
+    return None
 
 
 def extract(page: str) -> tuple[str, str, list[str]]:
@@ -72,8 +78,8 @@ def extract(page: str) -> tuple[str, str, list[str]]:
                 if kind == "title" and not title:
                     title = " ".join(entities.unescape(page[at : end.start() if end else len(page)]).split())
                 at = end.end() if end else len(page)
-            elif kind == "a" and (href := _HREF.search(page, start, at)):
-                links.append(entities.unescape(next(x for x in href.groups() if x is not None)))
+            elif kind == "a" and (href := _href(page, name.end(), at - 1)) is not None:
+                links.append(entities.unescape(href))
         if kind in BREAKS:
             parts.append("\n")
     parts.append(page[at:])

@@ -116,3 +116,20 @@ def test_op7_secret_scan_letters_only_and_protruding_keys():
     assert found == ["key X end", "id X end", *texts[2:]]
     scores = secret_scan.secret_scores(secret_scan.held_out_secrets(1500, 555), net)
     assert (scores >= net.threshold).mean() > 0.98
+
+
+def test_op1_warc_walks_quoted_values():
+    import time
+
+    from linkloom.llm import warc
+
+    page = '<a href="/x" title="Don\'t">Read</a> <a href="/y">two</a><p>It\'s here</p> end'
+    assert warc.extract(page) == ("", "Read two\nIt's here\nend", ["/x", "/y"])
+    inside = "<b>1</b>" * 20 + '<a href="/no">in</a>'
+    page = f"<div srcdoc='{inside}'>out <a data-html='{inside}' data-href=/n href = /z>z</a><a href=''>e</a><a href>n</a><a title='>' HREF=\"/q?a&amp;b\">q</a></div>"
+    assert warc.extract(page) == ("", "out zenq", ["/z", "", "/q?a&b"])
+    assert warc.extract("<p don't>one</p><a href=\"/u>two</a>")[1] == "one\ntwo"
+    at = time.time()
+    for piece in ('<a "', "<a'>'", '<a x="', "<a x='>", "<a x=\"'>", "<a = =", "<a x= "):
+        warc.extract(piece * 50000)
+    assert time.time() - at < 20

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, staged
+from .simhash import ROW_HASH, hashed
 
 #: Rounds; those after the first fill what is left with documents that still fit.
 ROUNDS = 3
@@ -69,7 +70,37 @@ def _cuts(rows: DataFrame) -> DataFrame:
     return fits.groupBy("source").agg(F.first("bin").alias("bin"), F.max(F.when(inside, F.col("rank"))).alias("cut"), used.alias("used"))
 
 
-def mix(
+def _draws(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (id, ROW_HASH and others) with u, a random number between 0 and 1 for each row.
+
+    It is a function of the id where no other row has it. Rows that repeat an
+    id, null included, draw each for itself: by ROW_HASH, and equal rows by a
+    running number, which is dealt to their count, so no group is ordered.
+    """
+
+    def drawn(*parts: Column) -> Column:
+        key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), *parts)
+        draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint")
+        return (draw + 0.5) / F.lit(2.0**52)
+
+    repeated = rows.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    repeated = staged(repeated, "mix-repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("u", drawn())
+    same = rows["id"].eqNullSafe(repeated["_id"])
+    alone = rows.join(repeated, same, "left_anti").withColumn("u", drawn())
+    several = rows.join(repeated, same, "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    several = several.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    several = several.withColumn("u", drawn(F.lit(":"), F.col(ROW_HASH).cast("string"), F.lit(":"), F.col("_k").cast("string")))
+    return staged(alone.union(several.select(*alone.columns)), "mix-draws")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """Per row of ``docs``: id, source, size, source_size, target, taken (``how``: see ``_mixed``)."""
+    return _mixed(docs, id_col=id_col, **how).drop(ROW_HASH)
+
+
+def _mixed(
     docs: DataFrame,
     *,
     weights: list[float],
@@ -81,25 +112,23 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """Per row of ``docs``: id, source, size, source_size, target, taken.
+    """Per row of ``docs``: id, source, size, source_size, target, taken, ROW_HASH.
 
     size counts the words of the whole text (null: 0); taken is a multiple of
     it: the whole copies that every document of the source gets for certain,
     plus one if the order sample takes it. ``preference`` multiplies the odds
     of inclusion of single documents (default 1: equal within a source).
-    Ranks are a function of id and seed, so reruns agree, and rows that repeat
-    an id share its draw. The sample of a source is the longest run of lowest
+    Ranks are a function of id and seed, so reruns agree; rows that repeat an
+    id differ in their draws (``_draws``), so a cut can fall between them. The sample of a source is the longest run of lowest
     ranks that fits into what certain copies leave of the target; documents
     over what is left are passed over, and further rounds fill the rest.
-    Null sources form one source, null ids one id; other columns are ignored;
-    an empty table gives an empty table.
+    Null sources form one source, null ids one id; other columns only tell rows
+    of one id apart; an empty table gives an empty table.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint")
     favour = F.lit(1.0) if preference is None else preference.cast("double")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), ((draw + 0.5) / F.lit(2.0**52)).alias("u"), favour.alias("favour"))
-    rows = staged(rows, "mix-sizes")
+    rows = hashed(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), favour.alias("favour"), ROW_HASH)
+    rows = _draws(staged(rows, "mix-sizes"), seed)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     per = source_targets(rows.select("source", "size"), weights, share, cap).withColumn("copies", copies)
     gap = F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("bigint")
@@ -126,16 +155,20 @@ def mix(
         state = cut(_with(state, fresh).withColumn(f"gap{k + 1}", F.coalesce(F.col(f"gap{k}") - F.col("used"), F.lit(0).cast("bigint"))).drop("used"))
     here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)
     taken = F.col("size") * (F.col("copies") + chosen(ROUNDS).cast("bigint"))
-    return here.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+    return here.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), ROW_HASH)
 
 
 def keep_mixed(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them (none, once or more).
 
-    Rows that repeat an id are decided by that id's first draw alike; the row
-    itself is what is copied.
+    Every row is decided for itself; rows that are equal in all columns are
+    copied as often as all of them together are taken.
     """
-    found = mix(docs, id_col=id_col, **how)
-    times = found.filter("size > 0").groupBy(id_col).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times")).withColumnRenamed(id_col, "_id")
-    kept = docs.join(times.filter("_times > 0"), docs[id_col].eqNullSafe(F.col("_id")))
+    found = _mixed(docs, id_col=id_col, **how).filter("size > 0")
+    times = found.groupBy(F.col(id_col).alias("_id"), F.col(ROW_HASH).alias("_hash")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias("_times"), F.count("*").alias("_equal"))
+    times = staged(times.filter("_times > 0"), "mix-times")
+    marked = hashed(docs)
+    kept = marked.join(times, (marked[ROW_HASH] == times["_hash"]) & marked[id_col].eqNullSafe(times["_id"]))
+    if not times.filter("_equal > 1").isEmpty():
+        kept = kept.filter("_equal = 1").union(kept.filter("_equal > 1").dropDuplicates(["_id", "_hash"]))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -133,3 +133,19 @@ def test_op1_warc_walks_quoted_values():
     for piece in ('<a "', "<a'>'", '<a x="', "<a x='>", "<a x=\"'>", "<a = =", "<a x= "):
         warc.extract(piece * 50000)
     assert time.time() - at < 20
+
+
+def test_op9_source_mixing_cuts_within_repeated_ids(spark):
+    from linkloom.llm import source_mixing
+
+    same = " ".join(words(5, 6))
+    for number in (lambda k: None, lambda k: 7, lambda k: k):
+        rows = [(number(k), " ".join(words(k, 3 + k % 5)) if k % 2 else same, "s") for k in range(200)]
+        docs = spark.createDataFrame(rows, KINDS)
+        found = source_mixing.mix(docs, weights=[1], share=1.5).collect()
+        assert len(found) == 200 and all(r["taken"] in (r["size"], 2 * r["size"]) for r in found)
+        total, smallest_left = sum(r["taken"] for r in found), min(r["size"] for r in found if r["taken"] == r["size"])
+        assert found[0]["target"] - smallest_left < total <= found[0]["target"]
+        kept = source_mixing.keep_mixed(docs, weights=[1], share=1.5).collect()
+        assert sum(len(r["text"].split()) for r in kept) == total
+        assert {tuple(r) for r in kept} == set(rows)

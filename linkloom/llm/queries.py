@@ -28,7 +28,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = warc.responses_from_pages(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
-    return warc.derivatives(responses, with_records=False).withColumnRenamed("key", "page_id").withColumn("refers_to", F.col("response_id"))
+    return warc.derivatives(responses).withColumnRenamed("key", "page_id").withColumn("refers_to", F.col("response_id"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

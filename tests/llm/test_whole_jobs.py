@@ -149,3 +149,12 @@ def test_op9_source_mixing_cuts_within_repeated_ids(spark):
         kept = source_mixing.keep_mixed(docs, weights=[1], share=1.5).collect()
         assert sum(len(r["text"].split()) for r in kept) == total
         assert {tuple(r) for r in kept} == set(rows)
+
+
+def test_op1_warc_returns_its_records(spark, data):
+    from linkloom.llm import queries, warc
+
+    for r in queries.op1_warc(spark, data).limit(20).collect():
+        for kind in ("metadata", "conversion"):
+            ((headers, block),) = warc.read_records(bytes(r[f"{kind}_record"]))
+            assert headers["warc-type"] == kind and len(block) == r[f"{kind}_bytes"]

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word: a run of anything but ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+# The splitting pattern of byte-level BPE for texts below U+0100, in which letters, numbers and white space are these (fixed values).
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+LATIN_WORDS = f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]++| ?[{_NUMBERS}]++| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]++|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, for data that cuts lineage.

@@ -22,17 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import LATIN_WORDS
+
 #: Words in one generation of a Python worker's memory.
 MEMO_ENTRIES = 400_000
 #: Longer texts are split piece by piece instead of all at once.
 LONG = 1 << 20
 
-# The splitting pattern of byte-level BPE for texts below U+0100, in which letters, numbers and white space are these (fixed values).
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-NUMBERS = "0-9²³¹¼½¾"
-SPACES = "\\t-\\r \\x85\\xa0"
 PLAIN = re.compile("[^\\x00-\\xff]")
-SPLIT = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]++| ?[{NUMBERS}]++| ?[^{SPACES}{LETTERS}{NUMBERS}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+SPLIT = re.compile(LATIN_WORDS)
 
 
 class WordEncoder:

@@ -2,7 +2,9 @@
 
 Texts are split into words in Python, which hands every distinct word of a
 partition to the JVM once, as an array of its bytes, followed by the documents
-as arrays of word numbers. A higher-order fold then merges each word: the pair
+as arrays of word numbers. Words that are frequent in a bounded sample are
+folded once ahead and known to all partitions, which saves time and changes
+nothing else. A higher-order fold merges each word: the pair
 of the lowest rank, the leftmost of equals, until no neighbours form a token.
 Ranks come from a literal map of token pairs. Decoding concatenates the binary
 pieces of a word's ids. A second Python step puts documents together again; as
@@ -25,20 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import LATIN_WORDS, staged
+
 #: Distinct words after which a partition starts a new dictionary.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 #: Longer words (bytes) are merged over a heap in Python: the fold takes time with the square of the length.
-FOLD_BYTES = 256
+FOLD_BYTES = 1024
+#: Words that are folded once ahead because they are frequent, their length in bytes, and the documents in which they are counted.
+MAX_FREQUENT, FREQUENT_BYTES, SAMPLE_DOCS = 250_000, 64, 50_000
 #: Longer texts are split piece by piece instead of all at once.
 LONG = 1 << 20
 
-# The usual splitting pattern of byte-level BPE, and the letters, numbers and white space below U+0100 (fixed values).
+# The usual splitting pattern of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-NUMBERS = "0-9²³¹¼½¾"
-SPACES = "\\t-\\r \\x85\\xa0"
 _WIDE = re.compile("[^\\x00-\\xff]")
-_PLAIN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]++| ?[{NUMBERS}]++| ?[^{SPACES}{LETTERS}{NUMBERS}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+_PLAIN = re.compile(LATIN_WORDS)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -86,15 +89,16 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @dataclass
 class RankMap:
-    """All pairs of tokens that form a token, as two literal arrays.
+    """All pairs of tokens that form a token, as literal arrays.
 
     The pair (a, b) is looked up at place ``shift[a] + b`` of ``slots``, where
     it is found as a * SPAN + rank if it exists. Rows of different a are
-    shifted so that their entries do not meet.
+    shifted so that their entries do not meet. ``starts`` has the id of each byte.
     """
 
     shift: list[int]
     slots: list[int]
+    starts: list[int]
     SPAN = 1 << 17
 
     @classmethod
@@ -117,7 +121,7 @@ class RankMap:
             taken[places] = True
             values[places] = [a * cls.SPAN + rank for _, rank in row]
             shift[a] = int(places[0] - columns[0])
-        return cls(shift, values.tolist())
+        return cls(shift, values.tolist(), [ranks[bytes([b])] for b in range(256)])
 
 
 def _longs(values: list[int]) -> Column:
@@ -125,46 +129,56 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
 def _let(value: Column, then) -> Column:
     """``then(value)`` with value evaluated once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def fold_merges(data: Column, byte_ids: list[int], ranks: RankMap) -> Column:
+# A symbol of a word is one long: from bit RANK_AT on the rank that it forms with the next one (SPAN: none), then its place, then its id.
+RANK_AT, PLACE_AT = 45, 17
+_ID, _PLACE, _REST = (1 << PLACE_AT) - 1, (1 << RANK_AT) - (1 << PLACE_AT), (1 << RANK_AT) - 1
+
+
+def fold_merges(data: Column, ranks: RankMap) -> Column:
     """Ids of a word given as an array of its bytes.
 
-    The state is the array of ids between two ends that pair with nothing, and
-    the array of the ranks of its neighbours. Every step of the fold merges one pair; a
-    word of n bytes takes at most n - 1 of them.
+    The state is the array of symbols between two ends that pair with nothing.
+    A symbol's number begins with the rank of its pair and goes on with its
+    place, so the least one is the pair to merge next, the leftmost of equals.
+    Every step of the fold merges one pair; a word of n bytes takes at most
+    n - 1 of them.
     """
-    shift, slots = _longs(ranks.shift), _longs(ranks.slots)
-    end = F.lit(len(ranks.shift) - 1).cast("bigint")
-    most = F.lit((1 << 63) - 1).cast("bigint")
-    far = F.lit(1 << 29)
+    tables = F.struct(_longs(ranks.shift).alias("shift"), _longs(ranks.slots).alias("slots"), _longs(ranks.starts).alias("starts"))
+    end, far = _long(len(ranks.shift) - 1), F.lit(1 << 29)
 
-    def rank(a: Column, b: Column) -> Column:
-        return (F.get(slots, (F.get(shift, a.cast("int")) + b).cast("int")) - F.shiftleft(a, 17)).bitwiseAND(most)
+    def folded(tables: Column) -> Column:
+        def pair(a: Column, b: Column) -> Column:
+            # an entry of another row differs from a in its upper bits, so it is SPAN or more
+            found = F.get(tables["slots"], F.get(tables["shift"], a) + b) - F.shiftleft(a, 17)
+            return F.shiftleft(F.least(found.bitwiseAND(_long((1 << 35) - 1)), _long(RankMap.SPAN)), RANK_AT)
 
-    def merged(state: Column, low: Column) -> Column:
-        ids, near = state["ids"], state["near"]
+        def merged(state: Column, low: Column) -> Column:
+            def at(i: Column) -> Column:
+                left, right, fresh = F.get(state, i - 2), F.get(state, i + 1), F.shiftright(low, RANK_AT)
+                before = pair(left.bitwiseAND(_long(_ID)), fresh).bitwiseOR(left.bitwiseAND(_long(_REST)))
+                here = pair(fresh, right.bitwiseAND(_long(_ID))).bitwiseOR(low.bitwiseAND(_long(_PLACE))).bitwiseOR(fresh)
+                return F.concat(F.slice(state, F.lit(1), i - 2), F.array(before, here), F.slice(state, i + 2, far))
 
-        def at(i: Column) -> Column:
-            fresh = F.array(rank(F.get(ids, i - 2), low), rank(low, F.get(ids, i + 1)))
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(low), F.slice(ids, i + 2, far)).alias("ids"),
-                F.concat(F.slice(near, F.lit(1), i - 2), fresh, F.slice(near, i + 2, far)).alias("near"),
-            )
+            return _let(F.array_position(state, low).cast("int"), at)
 
-        return _let(F.array_position(near, low).cast("int"), at)
+        def step(state: Column, _: Column) -> Column:
+            return _let(F.array_min(state), lambda low: F.when(low < _long(RankMap.SPAN << RANK_AT), merged(state, low)).otherwise(state))
 
-    def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state["near"]), lambda low: F.when(low < RankMap.SPAN, merged(state, low)).otherwise(state))
+        ids = F.concat(F.array(end), F.transform(data, lambda b: F.get(tables["starts"], b)), F.array(end))
+        symbol = lambda x: lambda a, i: pair(a, F.coalesce(F.get(x, i + 1), end)).bitwiseOR(F.shiftleft(i.cast("bigint"), PLACE_AT)).bitwiseOR(a)
+        first = _let(ids, lambda x: F.transform(x, symbol(x)))
+        return F.aggregate(F.slice(data, F.lit(2), far), first, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(_long(_ID)).cast("int")))
 
-    starts = _longs(byte_ids)
-    ids = F.concat(F.array(end), F.transform(data, lambda b: F.get(starts, b)), F.array(end))
-    near = lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda a, i: rank(a, F.get(x, i + 1)))
-    state = _let(ids, lambda x: F.struct(x.alias("ids"), near(x).alias("near")))
-    return F.aggregate(F.slice(data, F.lit(2), far), state, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2).cast("array<int>"))
+    return _let(tables, folded)
 
 
 def decode_ids(ids: Column, pieces: dict[bytes, int]) -> Column:
@@ -176,6 +190,60 @@ def decode_ids(ids: Column, pieces: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
 
 
+def _byte_lists(data) -> pa.ListArray:
+    """Arrays of the bytes of each element (null: null)."""
+    sizes = np.fromiter((len(x or b"") for x in data), np.int32, count=len(data))
+    numbers = np.frombuffer(b"".join(x or b"" for x in data), np.uint8).astype(np.int32)
+    none = pa.array([x is None for x in data], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(numbers), mask=none)
+
+
+def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, pattern: str) -> tuple[list[str], list[bytes], list[bytes], list[int]]:
+    """Frequent words with the text of their ids, their decoded bytes and their number of ids.
+
+    They are counted in SAMPLE_DOCS documents at most (all, if there are no
+    more) and folded like any other word. At most MAX_FREQUENT words of
+    FREQUENT_BYTES bytes reach the driver and travel with the tasks. They only
+    spare partitions the fold of these words; results are the same without them.
+    """
+    n = texts.count()
+    sample = texts.sample(SAMPLE_DOCS / n, seed=42) if n > SAMPLE_DOCS else texts
+
+    def count(batches):
+        found: dict[str, int] = {}
+        for batch in batches:
+            for value in batch.column(0):
+                for word in words_of(value.as_py() or "", pattern):
+                    found[word] = found.get(word, 0) + 1
+            if len(found) > MAX_WORDS:
+                yield listed(found)
+                found = {}
+        yield listed(found)
+
+    def listed(found):
+        few = {w: k for w, k in found.items() if len(w) <= FREQUENT_BYTES and len(data := w.encode()) <= FREQUENT_BYTES and data not in ranks}
+        return pa.RecordBatch.from_arrays([pa.array(few, pa.string()), pa.array(few.values(), pa.int64())], names=["word", "n"])
+
+    def as_bytes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists([x.as_py().encode() for x in batch.column(0)])], names=["word", "data"])
+
+    counted = staged(sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    least, room = 1, MAX_FREQUENT
+    for times, words in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        room -= words
+        if room < 0:
+            least = times + 1
+            break
+    top = counted.filter(F.col("n") >= least).select("word").mapInArrow(as_bytes, "word string, data array<int>")
+    folded = top.select("word", fold_merges(F.col("data"), rank_map).alias("ids"))
+    found = folded.select("word", "ids", decode_ids(F.col("ids"), ranks).alias("decoded")).toArrow()
+    ids = found.column("ids").combine_chunks()
+    offsets, numbers = np.asarray(ids.offsets).tolist(), np.asarray(ids.values).tolist()
+    parts = [numbers[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+    return found.column("word").to_pylist(), [",".join(map(str, x)).encode() for x in parts], found.column("decoded").to_pylist(), list(map(len, parts))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (and ids with ``with_ids``).
 
@@ -190,16 +258,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
         raise ValueError("all single bytes need a rank, and ranks are below 2 ** 17 - 1")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    rank_map = RankMap.of(ranks)
+    words, ahead_texts, ahead_pieces, ahead_counts = _frequent(docs.select(text_col), ranks, rank_map, pattern)
+    ahead = len(words)
+
     def split(batches):
-        known: dict[str, int] = {}
+        known = dict(zip(words, range(ahead), strict=True))
         for batch in batches:
             id_type, rows = batch.schema.field(0).type, []
             for own, value in zip(batch.column(0), batch.column(1), strict=True):
-                if len(known) > MAX_WORDS:
-                    known.clear()
+                if len(known) > ahead + MAX_WORDS:
+                    known = dict(zip(words, range(ahead), strict=True))
                     rows.append((None, None, None, True, None, False))
-                found = words_of(value.as_py() or "", pattern)
-                found = found if isinstance(found, list) else list(found)
+                found = list(words_of(value.as_py() or "", pattern))
                 for word in dict.fromkeys(filterfalse(known.__contains__, found)):
                     known[word] = len(known)
                     data = word.encode()
@@ -220,25 +291,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
 
     def packed(rows, id_type):
         data, *others = zip(*rows, strict=True)
-        sizes = np.fromiter((len(x or b"") for x in data), np.int32, count=len(data))
-        numbers = np.frombuffer(b"".join(x or b"" for x in data), np.uint8).astype(np.int32)
-        none = pa.array([x is None for x in data])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(numbers), mask=none)
         types = (pa.list_(pa.int32()), pa.binary(), pa.bool_(), id_type, pa.bool_())
-        return pa.RecordBatch.from_arrays([lists, *(pa.array(c, t) for c, t in zip(others, types, strict=True))], names=["data", "given", "codes", "restart", id_col, "is_doc"])
+        return pa.RecordBatch.from_arrays([_byte_lists(data), *(pa.array(c, t) for c, t in zip(others, types, strict=True))], names=["data", "given", "codes", "restart", id_col, "is_doc"])
 
     def join(batches):
-        texts: list[bytes] = []
-        pieces: list[bytes] = []
-        counts: list[int] = []
+        texts, pieces, counts = list(ahead_texts), list(ahead_pieces), list(ahead_counts)
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             ids, decoded = batch.column(0), batch.column(1).to_pylist()
             offsets, numbers = np.asarray(ids.offsets), np.asarray(ids.values)
             for k, (codes, restart, is_doc) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 if restart:
-                    texts, pieces, counts = [], [], []
+                    del texts[ahead:], pieces[ahead:], counts[ahead:]
                 elif is_doc:
                     places = np.frombuffer(codes.as_py(), np.int32).tolist()
                     joined = b",".join(map(texts.__getitem__, places))
@@ -258,8 +322,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:n])
 
     rows = docs.select(id_col, text_col).mapInArrow(split, f"data array<int>, given array<int>, codes binary, restart boolean, {id_col} {kind}, is_doc boolean")
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
-    ids = F.when(F.col("data").isNotNull(), fold_merges(F.col("data"), byte_ids, RankMap.of(ranks))).otherwise(F.col("given"))
+    ids = F.when(F.col("data").isNotNull(), fold_merges(F.col("data"), rank_map)).otherwise(F.col("given"))
     rows = rows.select(ids.alias("ids"), "codes", "restart", id_col, "is_doc")
     rows = rows.select("ids", decode_ids(F.col("ids"), ranks).alias("decoded"), "codes", "restart", id_col, "is_doc")
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, staged
 
@@ -162,10 +163,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW_HASH, a hash of all columns and of which of them are null."""
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def _comparable(docs: DataFrame) -> list[F.Column]:
+    """All columns of ``docs``, those that hold maps as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+
+
+def row_hash(docs: DataFrame) -> F.Column:
+    """A hash of all columns and of which of them are null."""
     nulls = F.concat(*(F.col(f"`{c}`").isNull().cast("int").cast("string") for c in docs.columns))
-    return docs.withColumn(ROW_HASH, F.xxhash64(nulls, *(F.col(f"`{c}`") for c in docs.columns)))
+    return F.xxhash64(nulls, *_comparable(docs))
 
 
 def survivors(docs: DataFrame, rows: DataFrame, linked: DataFrame, *, id_col: str) -> DataFrame:
@@ -173,22 +185,35 @@ def survivors(docs: DataFrame, rows: DataFrame, linked: DataFrame, *, id_col: st
 
     ``rows`` has id, ROW_HASH and node of every row, ``linked`` the root of
     linked nodes. Rows are told apart by id and ROW_HASH, so rows that repeat
-    an id, or have none, are decided by their own texts.
+    an id, or have none, are decided by their own texts. Whole rows are
+    compared only in classes where several have the least id.
     """
     roots = linked.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    found = rows.select(F.col(id_col).alias("_id"), F.col(ROW_HASH).alias("_hash"), F.col("node").alias("_node")).distinct()
-    found = found.join(roots, "_node", "left").select("_id", "_hash", F.coalesce("_root", "_node").alias("_root"))
+    found = rows.select(F.col(f"`{id_col}`").alias("_id"), F.col(ROW_HASH).alias("_hash"), F.col("node").alias("_node")).groupBy("_id", "_hash", "_node").agg(F.count("*").alias("_rows"))
+    found = found.join(roots, "_node", "left").select("_id", "_hash", "_rows", F.coalesce("_root", "_node").alias("_root"))
     found = staged(found, "survivor-rows")
     least = found.groupBy("_root").agg(F.min("_id").alias("_least"))
-    first = found.join(least, "_root").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("_id", "_hash", "_root")
-    marked = hashed(docs)
-    named = marked.join(first, (marked[ROW_HASH] == first["_hash"]) & marked[id_col].eqNullSafe(first["_id"]))
-    one = named.groupBy("_root").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != id_col), F.col(id_col))).alias("_kept"))
-    return one.select(*(F.col(f"_kept.`{c}`").alias(c) for c in docs.columns))
+    first = found.join(least, "_root").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("_id", "_hash", "_root", "_rows")
+    alone = first.groupBy("_root").agg(F.sum("_rows").alias("_rows")).select("_root", (F.col("_rows") == 1).alias("_alone"))
+    first = staged(first.drop("_rows").join(alone, "_root"), "survivor-names")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.col(f"`{id_col}`").alias("_own"), row_hash(docs).alias(ROW_HASH), F.struct(*columns).alias("_row"), F.struct(*(c.alias(f"c{i}") for i, c in enumerate(_comparable(docs)))).alias("_order"))
+    same = lambda named: (marked[ROW_HASH] == named["_hash"]) & marked["_own"].eqNullSafe(named["_id"])
+    whole = lambda rows: rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    single, tied = first.filter("_alone"), first.filter("not _alone")
+    kept = whole(marked.drop("_order").join(single, same(single), "left_semi"))
+    if tied.isEmpty():
+        return kept
+    one = marked.join(tied, same(tied)).groupBy("_root").agg(F.min_by("_row", "_order").alias("_row"))
+    return kept.union(whole(one))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
-    """One row of each near-duplicate class, as ``survivors`` chooses it."""
+    """One row of each near-duplicate class, as ``survivors`` chooses it.
+
+    Null and word-less texts are one class, rows with null or repeated ids are
+    decided row by row, and an empty table gives an empty one.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -196,6 +221,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             found = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)), "<u8", count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view("<i8"))], names=[id_col, ROW_HASH, "node"])
 
-    rows = staged(hashed(docs).select(id_col, ROW_HASH, text_col).mapInArrow(run, f"{id_col} {kind}, {ROW_HASH} bigint, node bigint"), "simhash-rows")
+    rows = docs.select(F.col(f"`{id_col}`"), row_hash(docs).alias(ROW_HASH), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {ROW_HASH} bigint, node bigint")
+    rows = staged(rows, "simhash-rows")
     linked = components(links(rows.select(F.col("node").alias("fp")).distinct(), max_bits))
     return survivors(docs, rows, linked, id_col=id_col)

@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 DataFrame operations only. Every source has a target number of words. Whole
-copies that every document of a source gets for certain are allotted first;
-the rest of the target is filled by an order sample: documents are ranked by
-the odds of a random number divided by the odds of their inclusion, and the
-lowest ranks are taken until the words are used up.
+copies that every document of a source gets for certain are allotted first.
+The rest of the target is an order sample with unequal probabilities: a
+document's probability of inclusion is in proportion to a preference (the root
+of its size), documents whose probability would reach 1 are certain, and the
+others are ranked by the odds of a random number divided by the odds of their
+inclusion. The lowest ranks are taken until the sample has its size, which is
+fixed in words; what is left over goes to the next ranks that still fit.
 """
 
 from __future__ import annotations
@@ -13,12 +16,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, staged
-from .simhash import ROW_HASH, hashed
+from .simhash import ROW_HASH, row_hash
 
-#: Rounds; those after the first fill what is left with documents that still fit.
-ROUNDS = 3
+#: Rounds that the SQL of the same mix spells out; here they go on until nothing fits.
+ROUNDS = 12
 #: Bits of the bins in which a source's cut is searched.
 BIN_BITS = 16
+#: Steps of a preference's unit.
+STEPS = 16
+
+
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with place, their number from 0 in the order of ``by`` (nulls last), sorted by ranges: one count per range reaches the driver."""
+    order = F.col(by).asc_nulls_last()
+    ranged = staged(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    before, total = [], 0
+    for k, n in sorted(map(tuple, ranged.groupBy("_range").count().collect())):
+        before += [F.lit(k), F.lit(total)]
+        total += n
+    first = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("place", first + (F.create_map(*before)[F.col("_range")] if before else F.lit(0))).drop("_range")
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -27,22 +44,21 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
     Sources by code point, null last, get ``weights`` in turn and share
     ``share`` times all sizes; no target is over ``cap`` times its source's
     size, and what is cut off goes to the others by weight until none is above.
-    That is min(cap * size, level * weight) with one level for all. One row
-    per source goes through an ordered window.
+    That is min(cap * size, level * weight) with one level for all, which rises
+    until no further source is cut. Only sums of sources reach the driver.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((place - 1) % len(weights) + 1).cast("int"))
-    per = per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
-    by_level = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    words = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    per = per.withColumn("level", words / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # of the levels that their own source can take the first is the true one, and the highest
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    final = F.max(fits).over(everything)
-    return per.select("source", "source_size", F.least(F.col("most"), F.coalesce(final * F.col("weight"), F.col("most"))).alias("target"))
+    per = numbered(per, "source")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    per = staged(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-sources")
+    level, full = 0.0, -1
+    while True:
+        over = F.col("most") < F.lit(level) * F.col("weight")
+        total, cut_off, free, n = per.agg(F.sum("source_size"), F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if n == full or not free:
+            break
+        level, full = ((total or 0) * float(share) - (cut_off or 0.0)) / free, n
+    return per.select("source", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target") if free else F.col("most").alias("target"))
 
 
 def _with(rows: DataFrame, per_source: DataFrame, how: str = "left") -> DataFrame:
@@ -51,6 +67,24 @@ def _with(rows: DataFrame, per_source: DataFrame, how: str = "left") -> DataFram
     return rows.join(other, rows["source"].eqNullSafe(other["_source"]), how).drop("_source")
 
 
+def inclusion(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``per`` (source, gap) with scale, above and rest.
+
+    A document of the source is included with probability scale * x, which
+    makes the expected words of the sample the gap; those with x over ``above``
+    (null: none) are certain, and ``rest`` is what they leave of the gap. Words
+    are summed by x first, so a window has one row for each value of it.
+    """
+    groups = rows.filter("size > 0").groupBy("source", "x").agg(F.sum("size").alias("words"))
+    groups = _with(groups, per.filter("gap > 0").select("source", "gap"), "inner")
+    down = Window.partitionBy("source").orderBy(F.col("x").desc())
+    certain = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    weighted = F.sum((F.col("x") * F.col("words")).cast("decimal(38,0)")).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    groups = groups.withColumn("rest", F.col("gap") - certain).withColumn("scale", (F.col("rest") / weighted)).filter((F.col("rest") >= 0) & (F.col("scale") * F.col("x") < 1))
+    found = groups.groupBy("source").agg(F.max("x").alias("above"), F.max_by("scale", "x").alias("scale"), F.max_by("rest", "x").alias("rest"))
+    return _with(per, found)
+
+
 def _cuts(rows: DataFrame) -> DataFrame:
     """Per source (source, bin, cut, used) where its running size passes its gap.
 
@@ -116,45 +150,52 @@ def _mixed(
 
     size counts the words of the whole text (null: 0); taken is a multiple of
     it: the whole copies that every document of the source gets for certain,
-    plus one if the order sample takes it. ``preference`` multiplies the odds
-    of inclusion of single documents (default 1: equal within a source).
+    plus one if the order sample takes it. Probabilities of inclusion are in
+    proportion to ``preference`` (default: the root of the size), which counts
+    in steps of 1 / STEPS, one at least; null counts as that one.
     Ranks are a function of id and seed, so reruns agree; rows that repeat an
-    id differ in their draws (``_draws``), so a cut can fall between them. The sample of a source is the longest run of lowest
-    ranks that fits into what certain copies leave of the target; documents
-    over what is left are passed over, and further rounds fill the rest.
+    id differ in their draws (``_draws``), so a cut can fall between them. The
+    sample of a source has its certain documents and the longest run of lowest
+    ranks that fits; documents over what is left are passed over, and further
+    rounds fill the rest until no document fits.
     Null sources form one source, null ids one id; other columns only tell rows
     of one id apart; an empty table gives an empty table.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    favour = F.lit(1.0) if preference is None else preference.cast("double")
-    rows = hashed(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), favour.alias("favour"), ROW_HASH)
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), (F.lit(None) if preference is None else preference).cast("double").alias("favour"), row_hash(docs).alias(ROW_HASH))
+    favour = F.sqrt(F.col("size").cast("double")) if preference is None else F.col("favour")
+    rows = rows.withColumn("x", F.coalesce(F.greatest(F.floor(favour * STEPS), F.lit(1)), F.lit(1)).cast("bigint")).drop("favour")
     rows = _draws(staged(rows, "mix-sizes"), seed)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     per = source_targets(rows.select("source", "size"), weights, share, cap).withColumn("copies", copies)
-    gap = F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("bigint")
-    per = cut(per.withColumn("gap", gap))
-    odds = F.try_divide("gap", F.col("source_size") - F.col("gap")) * F.col("favour")
-    rank = F.try_divide(F.col("u") / (1 - F.col("u")), odds)
+    per = per.withColumn("gap", F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("bigint"))
+    state = cut(inclusion(rows, per).withColumn("gap0", F.coalesce("rest", F.lit(0).cast("bigint"))))
+    chance = F.col("scale") * F.col("x")
+    rank = F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(chance, 1 - chance))
     fine = F.floor(rank / (rank + 1) * (1 << BIN_BITS)).cast("bigint")
-    state = per.withColumn("gap0", F.col("gap"))
-
-    def chosen(rounds: int) -> Column:
-        """Whether one of the first ``rounds`` rounds takes the row."""
-        picked = F.lit(False)
-        for k in range(rounds):
-            below = F.col(f"bin{k}").isNull() | (F.col("fine") < F.col(f"bin{k}")) | ((F.col("fine") == F.col(f"bin{k}")) & F.coalesce(F.col("rank") <= F.col(f"cut{k}"), F.lit(False)))
-            picked = picked | ((F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & below)
-        return picked
-
-    for k in range(ROUNDS):
-        here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)
-        undecided = here.filter(~chosen(k) & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")))
-        found = _cuts(undecided.select("source", "size", "rank", "fine", F.col(f"gap{k}").alias("gap")))
-        fresh = found.select("source", F.col("bin").alias(f"bin{k}"), F.col("cut").alias(f"cut{k}"), "used")
+    certain = F.coalesce((F.col("size") > 0) & (F.col("x") > F.col("above")), F.lit(False))
+
+    def taken_in(k: int) -> Column:
+        below = F.col(f"bin{k}").isNull() | (F.col("fine") < F.col(f"bin{k}")) | ((F.col("fine") == F.col(f"bin{k}")) & F.coalesce(F.col("rank") <= F.col(f"cut{k}"), F.lit(False)))
+        return (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & below & ~certain
+
+    here = _with(rows, state.filter("gap0 > 0").select("source", "scale", "above"), "inner").withColumn("rank", rank).withColumn("fine", fine)
+    open_, k = here.filter(~certain & (F.col("size") > 0)).select("source", "size", "rank", "fine", "x", "above"), 0
+    while True:
+        fitting = _with(open_, state.select("source", F.col(f"gap{k}").alias("gap")), "inner").filter("size <= gap")
+        fitting = staged(fitting, "mix-open") if k else fitting
+        if k and fitting.isEmpty():
+            break
+        fresh = _cuts(fitting).select("source", F.col("bin").alias(f"bin{k}"), F.col("cut").alias(f"cut{k}"), "used")
         # a source that fits whole has nothing left to fill
         state = cut(_with(state, fresh).withColumn(f"gap{k + 1}", F.coalesce(F.col(f"gap{k}") - F.col("used"), F.lit(0).cast("bigint"))).drop("used"))
+        open_ = _with(fitting, state.select("source", f"gap{k}", f"bin{k}", f"cut{k}"), "inner").filter(~taken_in(k)).select("source", "size", "rank", "fine", "x", "above")
+        k += 1
     here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)
-    taken = F.col("size") * (F.col("copies") + chosen(ROUNDS).cast("bigint"))
+    chosen = certain
+    for j in range(k):
+        chosen = chosen | taken_in(j)
+    taken = F.col("size") * (F.col("copies") + F.coalesce(chosen, F.lit(False)).cast("bigint"))
     return here.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), ROW_HASH)
 
 
@@ -162,13 +203,14 @@ def keep_mixed(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them (none, once or more).
 
     Every row is decided for itself; rows that are equal in all columns are
-    copied as often as all of them together are taken.
+    copied as often as all of them together are taken. Rows without words
+    (null texts) are never taken; an empty table gives an empty one.
     """
     found = _mixed(docs, id_col=id_col, **how).filter("size > 0")
-    times = found.groupBy(F.col(id_col).alias("_id"), F.col(ROW_HASH).alias("_hash")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias("_times"), F.count("*").alias("_equal"))
+    times = found.groupBy(F.col(f"`{id_col}`").alias("_id"), F.col(ROW_HASH).alias("_hash")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias("_times"), F.count("*").alias("_equal"))
     times = staged(times.filter("_times > 0"), "mix-times")
-    marked = hashed(docs)
-    kept = marked.join(times, (marked[ROW_HASH] == times["_hash"]) & marked[id_col].eqNullSafe(times["_id"]))
+    marked = docs.select(F.col(f"`{id_col}`").alias("_own"), row_hash(docs).alias(ROW_HASH), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    kept = marked.join(times, (marked[ROW_HASH] == times["_hash"]) & marked["_own"].eqNullSafe(times["_id"]))
     if not times.filter("_equal > 1").isEmpty():
         kept = kept.filter("_equal = 1").union(kept.filter("_equal > 1").dropDuplicates(["_id", "_hash"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col("_row")[c].alias(c) for c in docs.columns))

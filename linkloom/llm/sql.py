@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 def mix_sql(weights: list[float], share: float, cap: float, rounds: int, seed: int = 42, docs: str = "documents") -> str:
-    """The mix of ``source_mixing.mix`` by plain windows over whole sources."""
+    """The mix of ``source_mixing.mix`` by plain windows over whole sources, with at most ``rounds`` rounds of filling."""
     listed = ", ".join(f"{float(w)}::DOUBLE" for w in weights)
     parts = [
-        f"""rows AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM {docs})""",
+        f"""rows AS MATERIALIZED (
+  SELECT *, greatest(floor(sqrt(size::DOUBLE) * 16), 1)::BIGINT AS x FROM (
+    SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+      (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    FROM {docs}))""",
         f"""sources AS (
   SELECT source, source_size, list_extract([{listed}], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1)::INTEGER) AS weight,
     source_size::DOUBLE * {float(cap)}::DOUBLE AS most
@@ -21,27 +22,34 @@ def mix_sql(weights: list[float], share: float, cap: float, rounds: int, seed: i
         """targets AS (
   SELECT source, source_size, least(most, coalesce(max(CASE WHEN level * weight <= most THEN level END) OVER () * weight, most)) AS target
   FROM levels)""",
-        """allotted AS (
+        """allotted AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets)""",
-        "gap0 AS (SELECT source, floor(target - copies * source_size)::BIGINT AS gap FROM allotted)",
-        """ranked AS (
-  SELECT rid, r.source, size, (u / (1 - u)) / (gap / nullif(source_size - gap, 0)) AS rank
-  FROM rows r JOIN allotted a ON r.source IS NOT DISTINCT FROM a.source JOIN gap0 g ON r.source IS NOT DISTINCT FROM g.source
-  WHERE size > 0 AND gap > 0)""",
+        "wanted AS (SELECT source, floor(target - copies * source_size)::BIGINT AS gap FROM allotted)",
+        """steps AS (
+  SELECT g.source, x, gap - coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest,
+    (sum(x::HUGEINT * words) OVER (PARTITION BY g.source ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weighted
+  FROM (SELECT source, x, sum(size)::BIGINT AS words FROM rows WHERE size > 0 GROUP BY source, x) g JOIN wanted w ON g.source IS NOT DISTINCT FROM w.source WHERE gap > 0)""",
+        """odds AS MATERIALIZED (
+  SELECT source, max(x) AS above, arg_max(rest, x) AS rest, arg_max(rest / weighted, x) AS scale FROM steps WHERE rest >= 0 AND rest / weighted * x < 1 GROUP BY source)""",
+        "sure AS MATERIALIZED (SELECT rid FROM rows r JOIN odds o ON r.source IS NOT DISTINCT FROM o.source WHERE size > 0 AND x > above)",
+        "gap0 AS MATERIALIZED (SELECT source, rest AS gap FROM odds)",
+        """ranked AS MATERIALIZED (
+  SELECT rid, r.source, size, (u / (1 - u)) / (scale * x / (1 - scale * x)) AS rank
+  FROM rows r JOIN odds o ON r.source IS NOT DISTINCT FROM o.source WHERE size > 0 AND rest > 0 AND x <= above)""",
     ]
     for k in range(rounds):
         earlier = "".join(f" AND rid NOT IN (SELECT rid FROM picked{j})" for j in range(k))
         parts += [
-            f"""picked{k} AS (
+            f"""picked{k} AS MATERIALIZED (
   SELECT rid, source, size FROM (
     SELECT rid, r.source, size, gap, sum(size) OVER (PARTITION BY r.source ORDER BY rank) AS reach
     FROM ranked r JOIN gap{k} g ON r.source IS NOT DISTINCT FROM g.source WHERE size <= gap{earlier})
   WHERE reach <= gap)""",
-            f"""gap{k + 1} AS (
+            f"""gap{k + 1} AS MATERIALIZED (
   SELECT g.source, gap - coalesce(used, 0)::BIGINT AS gap
   FROM gap{k} g LEFT JOIN (SELECT source, sum(size) AS used FROM picked{k} GROUP BY source) p ON g.source IS NOT DISTINCT FROM p.source)""",
         ]
-    chosen = " UNION ALL ".join(f"SELECT rid FROM picked{k}" for k in range(rounds))
+    chosen = " UNION ALL ".join(["SELECT rid FROM sure", *(f"SELECT rid FROM picked{k}" for k in range(rounds))])
     return (
         "WITH "
         + ",\n".join(parts)

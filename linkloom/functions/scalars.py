@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Endings of wiki names (fixed values).
-WIKI_TYPES = ["wiki", "wiktionary", "wikibooks", "wikinews", "wikiquote", "wikisource", "wikiversity", "wikivoyage", "wikimedia"]
+WIKI_TYPES = ["wiki", "wiktionary", "wikinews", "wikisource", "wikiquote", "wikivoyage", "wikibooks", "wikiversity", "wikimedia"]
 #: Largest units first, in seconds (fixed values).
 TIME_UNITS = [("year", 31_536_000), ("month", 2_628_000), ("week", 604_800), ("day", 86_400), ("hour", 3_600), ("minute", 60), ("second", 1)]
 
@@ -32,21 +32,29 @@ def underscores(title: Column) -> Column:
     return F.translate(title, " ", "_")
 
 
+#: Units of sizes and their bytes (fixed values).
+SIZE_UNITS = {"B": 1, "Bytes": 1, "b": 1, "bytes": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12}
+BINARY_UNITS = ["Bytes", "KB", "MB", "GB", "TB", "PB", "EB"]
+
+
 def parse_size(text: Column) -> Column:
-    """Bytes of a size such as ``26.7 GB`` (decimal units), null if it is none."""
-    number = F.regexp_extract(text, r"(?i)^\s*(\d+(?:\.\d+)?)\s*(b|bytes|kb|mb|gb|tb)\s*$", 1)
-    unit = F.lower(F.regexp_extract(text, r"(?i)^\s*(\d+(?:\.\d+)?)\s*(b|bytes|kb|mb|gb|tb)\s*$", 2))
-    factor = F.when(unit.isin("b", "bytes"), 1).when(unit == "kb", 10**3).when(unit == "mb", 10**6).when(unit == "gb", 10**9).when(unit == "tb", 10**12)
+    """Bytes of a size such as ``26.7 GB`` (decimal units), null if it is none.
+
+    Number and unit stand apart, units are spelled as in SIZE_UNITS, and what
+    follows the unit does not count.
+    """
+    parts = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    factor = F.create_map(*(F.lit(x) for pair in SIZE_UNITS.items() for x in pair))[F.get(parts, F.lit(1))]
     # decimals keep 26.7 GB exact
-    return F.floor(number.try_cast("decimal(18,6)") * factor.cast("decimal(19,0)")).cast("bigint")
+    return F.floor(F.get(parts, F.lit(0)).try_cast("decimal(18,6)") * factor.cast("decimal(19,0)")).cast("bigint")
 
 
 def format_bytes(n: Column) -> Column:
-    """Binary units, at most two decimals."""
-    power = F.when(n > 0, F.least(F.lit(4), F.floor(F.log(1024.0, n)))).otherwise(0).cast("int")
+    """Binary units up to BINARY_UNITS' last, which a long does not exceed; at most two decimals, thousands grouped."""
+    power = F.when(n > 0, sum(((n >= F.lit(1024**k).cast("bigint")).cast("int") for k in range(1, len(BINARY_UNITS))), F.lit(0))).otherwise(0)
     value = F.round(n / F.pow(F.lit(1024.0), power), 2)
-    text = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-    return F.concat_ws(" ", text, F.element_at(F.array(*map(F.lit, ["Bytes", "KB", "MB", "GB", "TB"])), power + 1))
+    text = F.regexp_replace(F.format_number(value, 2), r"\.?0+$", "")
+    return F.concat_ws(" ", text, F.element_at(F.array(*map(F.lit, BINARY_UNITS)), power + 1))
 
 
 def grouped(n: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..operators import checks, graph, history, ingest, sampling, serve, stats
 from ..sources import files
 from ..streaming import ingest as streams
-from .adapters import PAGE_SQL, SNAPSHOT_SQL, START_SQL, bare_links, links, orders_graph, pages, snapshots, start_page, table, with_graph
+from .adapters import PAGE_SQL, SNAPSHOT_SQL, START_SQL, WIKI_SQL, links, orders_graph, pages, snapshots, start_page, table, wiki_links, wiki_pages, with_graph, with_wikis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,33 +49,63 @@ def as_doubles(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns})
 
 
-# Statistics
+# Statistics, over wikis that use the same ids
 
-register("num_pages", f"WITH {PAGE_SQL} " + by_wiki("count(*)", "num_pages", "page"))(lambda s, d: stats.page_counts(pages(s, d)).select("wiki_name", "num_pages"))
-register("num_redirects", f"WITH {PAGE_SQL} " + by_wiki("count(*) FILTER (is_redirect)", "num_redirects", "page"))(lambda s, d: stats.page_counts(pages(s, d)).select("wiki_name", "num_redirects"))
-on_graph("num_links", with_graph(by_wiki("count(*)", "num_links", "link")))(lambda p, l: stats.link_counts(l))
-on_graph("num_linked_redirects", with_graph(by_wiki("count(*)", "num_linked_redirects", "(SELECT * FROM link WHERE page_link IN (SELECT page_id FROM page WHERE is_redirect))")))(stats.linked_redirects)
+
+def on_wikis(name: str, sql: str):
+    """A query over (page, link) of several wikis."""
+
+    def keep(f):
+        register(name, sql)(lambda spark, d: f(wiki_pages(spark, d), wiki_links(spark, d)))
+        return f
+
+    return keep
+
+
+on_wikis("num_pages", with_wikis(by_wiki("count(*)", "num_pages", "page")))(lambda p, l: stats.page_counts(p).select("wiki_name", "num_pages"))
+on_wikis("num_redirects", with_wikis(by_wiki("count(*) FILTER (is_redirect)", "num_redirects", "page")))(lambda p, l: stats.page_counts(p).select("wiki_name", "num_redirects"))
+on_wikis("num_links", with_wikis(by_wiki("count(*)", "num_links", "link")))(lambda p, l: stats.link_counts(l))
+_TO_REDIRECT = "(wiki_name, page_link) IN (SELECT (wiki_name, page_id) FROM page WHERE is_redirect)"
+on_wikis("num_linked_redirects", with_wikis(by_wiki("count(*)", "num_linked_redirects", f"(SELECT * FROM link WHERE {_TO_REDIRECT})")))(stats.linked_redirects)
 for _name, _by in (("most_linked", "page_link"), ("most_links", "page_id")):
-    on_graph(_name, with_graph(f"SELECT t.page_id, page_title, n FROM (SELECT {_by} AS page_id, count(*) AS n FROM link GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10) t LEFT JOIN page p ON t.page_id = p.page_id"))(lambda p, l, by=_by: stats.top_degrees(p, l, by))
-on_graph("most_linked_by_wiki", with_graph("SELECT wiki_name, page_id, n, place FROM (SELECT wiki_name, page_link AS page_id, count(*) AS n, row_number() OVER (PARTITION BY wiki_name ORDER BY count(*) DESC, page_link)::INTEGER AS place FROM link GROUP BY 1, 2) WHERE place <= 10"))(lambda p, l: stats.top_degrees_by_wiki(l, "page_link"))
+    on_wikis(_name, with_wikis(f"SELECT t.wiki_name, t.page_id, page_title, n FROM (SELECT wiki_name, {_by} AS page_id, count(*) AS n FROM link GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10) t LEFT JOIN page p ON t.page_id = p.page_id AND t.wiki_name = p.wiki_name"))(lambda p, l, by=_by: stats.top_degrees(p, l, by))
+on_wikis("most_linked_by_wiki", with_wikis("SELECT wiki_name, page_id, n, place FROM (SELECT wiki_name, page_link AS page_id, count(*) AS n, row_number() OVER (PARTITION BY wiki_name ORDER BY count(*) DESC, page_link)::INTEGER AS place FROM link GROUP BY 1, 2) WHERE place <= 10"))(lambda p, l: stats.top_degrees_by_wiki(l, "page_link"))
+_LONGEST = """best AS (SELECT wiki_name, page_id, page_title FROM (
+  SELECT *, row_number() OVER (PARTITION BY wiki_name ORDER BY length(page_title) DESC, page_id) AS k FROM page {where}) WHERE k = 1)
+SELECT * FROM best UNION ALL (SELECT 'global', page_id, page_title FROM best ORDER BY strlen(page_title) DESC, page_id, wiki_name LIMIT 1)"""
 for _name, _where in (("longest_name", ""), ("longest_name_no_redirect", "WHERE NOT is_redirect")):
-    on_graph(_name, f"""WITH {PAGE_SQL}, best AS (SELECT wiki_name, page_id, page_title FROM (
-  SELECT *, row_number() OVER (PARTITION BY wiki_name ORDER BY length(page_title) DESC, page_id) AS k FROM page {_where}) WHERE k = 1)
-SELECT * FROM best UNION ALL (SELECT 'global', page_id, page_title FROM best ORDER BY strlen(page_title) DESC, page_id LIMIT 1)""")(lambda p, l, r=not _where: stats.longest_titles(p, redirects=r))
-_DEAD = "page_id NOT IN (SELECT page_id FROM link)"
-_ORPHAN = "page_id NOT IN (SELECT page_link FROM link)"
+    on_wikis(_name, f"WITH {WIKI_SQL}, " + _LONGEST.format(where=_where))(lambda p, l, r=not _where: stats.longest_titles(p, redirects=r))
+_DEAD = "(wiki_name, page_id) NOT IN (SELECT (wiki_name, page_id) FROM link)"
+_ORPHAN = "(wiki_name, page_id) NOT IN (SELECT (wiki_name, page_link) FROM link)"
 for _name, _where in (("num_dead", _DEAD), ("num_orphan", _ORPHAN), ("num_dead_orphan", f"{_DEAD} AND {_ORPHAN}")):
-    on_graph(_name, with_graph(by_wiki(f"count(*) FILTER ({_where})", _name, "page")))(lambda p, l, c=_name: stats.missing_counts(p, l).select("wiki_name", c))
-on_graph("dead_pages", with_graph(f"SELECT * FROM page WHERE {_DEAD}"))(stats.dead_pages)
-on_graph("orphan_pages", with_graph(f"SELECT * FROM page WHERE {_ORPHAN}"))(stats.orphan_pages)
-on_graph("dead_orphan_list", with_graph(f"SELECT * FROM page WHERE {_DEAD} AND {_ORPHAN} ORDER BY page_id LIMIT 20"))(lambda p, l: stats.dead_orphans(p, l).orderBy("page_id").limit(20))
-_SUMMARY = f"""summary AS (SELECT * FROM ({by_wiki("count(*)", "num_pages, count(*) FILTER (is_redirect) AS num_redirects, count(*) FILTER (" + _DEAD + ") AS num_dead, count(*) FILTER (" + _ORPHAN + ") AS num_orphan, count(*) FILTER (" + _DEAD + " AND " + _ORPHAN + ") AS num_dead_orphan", "page")})
- JOIN ({by_wiki("count(*)", "num_links, count(*) FILTER (page_link IN (SELECT page_id FROM page WHERE is_redirect)) AS num_linked_redirects", "link")}) USING (wiki_name))"""
-on_graph("stats_rollup_global", with_graph("SELECT wiki_name, num_pages, num_redirects, num_links, num_linked_redirects, num_dead, num_orphan, num_dead_orphan FROM summary", _SUMMARY))(stats.summary)
-on_graph("max_min_wiki", with_graph("""SELECT 'num_links' AS stat, arg_min(wiki_name, (-num_links, wiki_name)) AS max_wiki, max(num_links) AS max_value,
+    on_wikis(_name, with_wikis(by_wiki(f"count(*) FILTER ({_where})", _name, "page")))(lambda p, l, c=_name: stats.missing_counts(p, l).select("wiki_name", c))
+on_wikis("dead_pages", with_wikis(f"SELECT * FROM page WHERE {_DEAD}"))(stats.dead_pages)
+on_wikis("orphan_pages", with_wikis(f"SELECT * FROM page WHERE {_ORPHAN}"))(stats.orphan_pages)
+on_wikis("dead_orphan_list", with_wikis(f"SELECT * FROM page WHERE {_DEAD} AND {_ORPHAN} ORDER BY wiki_name, page_id LIMIT 20"))(lambda p, l: stats.dead_orphans(p, l).orderBy("wiki_name", "page_id").limit(20))
+_SUMMARY = f"""summary AS (SELECT p.*, coalesce(num_links, 0) AS num_links, coalesce(num_linked_redirects, 0) AS num_linked_redirects FROM
+ ({by_wiki("count(*)", "num_pages, count(*) FILTER (is_redirect) AS num_redirects, count(*) FILTER (" + _DEAD + ") AS num_dead, count(*) FILTER (" + _ORPHAN + ") AS num_orphan, count(*) FILTER (" + _DEAD + " AND " + _ORPHAN + ") AS num_dead_orphan", "page")}) p
+ LEFT JOIN ({by_wiki("count(*)", "num_links, count(*) FILTER (" + _TO_REDIRECT + ") AS num_linked_redirects", "link")}) l USING (wiki_name))"""
+on_wikis("stats_rollup_global", with_wikis("SELECT wiki_name, num_pages, num_redirects, num_links, num_linked_redirects, num_dead, num_orphan, num_dead_orphan FROM summary", _SUMMARY))(stats.summary)
+on_wikis("max_min_wiki", with_wikis("""SELECT 'num_links' AS stat, arg_min(wiki_name, (-num_links, wiki_name)) AS max_wiki, max(num_links) AS max_value,
   arg_min(wiki_name, (num_links, wiki_name)) AS min_wiki, min(num_links) AS min_value FROM summary WHERE wiki_name <> 'global'""", _SUMMARY))(lambda p, l: stats.extremes(stats.summary(p, l), "num_links"))
-on_graph("stats_document")(lambda p, l: stats.document(stats.summary(p, l), "2024-09-01 00:00:00"))
-on_graph("degree_histogram", with_graph("SELECT degree, count(*) AS num_pages FROM (SELECT page_id, count(*) AS degree FROM link GROUP BY 1) GROUP BY 1"))(lambda p, l: stats.degree_histogram(l))
+
+
+def _document_sql() -> str:
+    """(stat, wiki_name, value) of the whole document."""
+    more, rows = [_SUMMARY], [f"SELECT '{name}', wiki_name, {column}::VARCHAR FROM summary" for name, column in stats.DOCUMENT_COUNTS.items()]
+    for name, by in (("most_linked", "page_link"), ("most_links", "page_id")):
+        more.append(f"""{name} AS (SELECT * FROM (SELECT wiki_name, {by} AS page_id, count(*) AS n, row_number() OVER (PARTITION BY wiki_name ORDER BY count(*) DESC, {by}) AS place FROM link GROUP BY 1, 2) WHERE place <= 10)""")
+        entry = "string_agg(wiki_name || ':' || page_id || ':' || n, ',' ORDER BY n DESC, wiki_name, page_id)"
+        rows += [f"SELECT '{name}', wiki_name, {entry} FROM {name} GROUP BY wiki_name", f"SELECT '{name}', 'global', {entry} FROM (SELECT * FROM {name} ORDER BY n DESC, wiki_name, page_id LIMIT 10)"]
+    for name, where in (("longest_name", ""), ("longest_name_no_redirect", "WHERE NOT is_redirect")):
+        rows.append(f"SELECT '{name}', wiki_name, page_title FROM (WITH {_LONGEST.format(where=where)})")
+    for stat in ("num_pages", "num_links"):
+        rows += [f"SELECT '{side}_{stat}', arg_min(wiki_name, ({sign}{stat}, wiki_name)), {side}({stat})::VARCHAR FROM summary WHERE wiki_name <> 'global'" for side, sign in (("max", "-"), ("min", ""))]
+    return with_wikis("SELECT * FROM (" + "\nUNION ALL ".join(rows) + ") t(stat, wiki_name, value)", *more)
+
+
+on_wikis("stats_document", _document_sql())(lambda p, l: stats.document_rows(stats.document(p, l, created_at="2024-09-01 00:00:00", dump_date="20240901")))
+on_wikis("degree_histogram", with_wikis("SELECT degree, count(*) AS num_pages FROM (SELECT wiki_name, page_id, count(*) AS degree FROM link GROUP BY 1, 2) GROUP BY 1"))(lambda p, l: stats.degree_histogram(l))
 register("endpoint_degrees", "WITH " + "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")(
     lambda s, d: (lambda e: e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count("*").alias("n")))(table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())
 )
@@ -129,7 +159,7 @@ on_graph("degree_point", with_graph("SELECT count(*) FILTER (page_id = s) AS num
 register("prefix_search", f"WITH {PAGE_SQL} SELECT * FROM page WHERE starts_with(lower(page_title), 'red w') ORDER BY page_title, page_id LIMIT 100")(lambda s, d: serve.pages_with_prefix(pages(s, d), "Red w"))
 register("prefix_search_wildcards", f"WITH {PAGE_SQL} SELECT * FROM page WHERE lower(page_title) LIKE 'r_d%' ORDER BY page_title, page_id LIMIT 100")(lambda s, d: serve.pages_with_prefix(pages(s, d), "R_d", wildcards=True))
 register("fuzzy_search", f"WITH {PAGE_SQL} SELECT *, levenshtein(lower(page_title), 'blue ring #7')::INTEGER AS distance FROM page ORDER BY distance, page_id LIMIT 20")(lambda s, d: serve.similar_titles(pages(s, d), "Blue ring #7"))
-register("popular_pages", f"WITH {PAGE_SQL}, views AS (SELECT p_name || ' #' || p_partkey AS article, rank() OVER (ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS rank FROM part WHERE p_partkey % 2 = 0) SELECT article, rank, page_id FROM views JOIN page ON article = page_title WHERE NOT contains(article, ':') ORDER BY rank LIMIT 10")(
+register("popular_pages", f"WITH {PAGE_SQL}, views AS (SELECT p_name || ' #' || p_partkey AS article, rank() OVER (ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS rank FROM part) SELECT article, rank, page_id FROM views JOIN page ON article = page_title WHERE NOT contains(article, ':') ORDER BY rank LIMIT 10")(
     lambda s, d: serve.popular_pages(_views(s, d), pages(s, d), 10)
 )
 
@@ -137,7 +167,7 @@ register("popular_pages", f"WITH {PAGE_SQL}, views AS (SELECT p_name || ' #' ||
 def _views(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = table(spark, d, "part").filter("p_partkey % 2 = 0")
+    rows = table(spark, d, "part")
     return rows.select(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("article"), F.rank().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
 
 
@@ -213,7 +243,10 @@ on_graph("wcc_pruned", with_graph("""SELECT component, size, list_sort(members):
 FROM wcc WHERE page_id NOT IN (SELECT page_id FROM page WHERE is_redirect) GROUP BY 1) WHERE place > 1 AND size > 1""", _WCC, recursive=True))(
     lambda p, l: graph.pruned_components(graph.components(graph.edges_of(l)), p).withColumn("members", F.concat(F.lit("["), F.array_join(F.transform("members", lambda x: x.cast("string")), ", "), F.lit("]")))
 )
-register("wcc_orders")(lambda s, d: graph.components(orders_graph(s, d)))
+register("wcc_orders", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_custkey AS b FROM orders), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+label(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ways GROUP BY a
+  UNION SELECT w.b, min(l.component) FROM label l JOIN both_ways w ON w.a = l.node JOIN recurring.label r ON r.node = w.b WHERE l.component < r.component GROUP BY w.b)
+SELECT node AS page_id, component FROM label""")(lambda s, d: graph.components(orders_graph(s, d)))
 on_graph("ego_graph", with_graph("""SELECT src, dst FROM first_step UNION SELECT src, dst FROM second_step""", START_SQL,
     "ranked AS (SELECT page_id AS src, page_link AS dst, row_number() OVER (PARTITION BY page_id ORDER BY t.n DESC, page_link) AS place FROM link JOIN (SELECT page_link, count(*) AS n FROM link GROUP BY 1) t USING (page_link))",
     "first_step AS (SELECT src, dst FROM ranked WHERE place <= 4 AND src = (SELECT page_id FROM start))",
@@ -230,9 +263,9 @@ SELECT wiki_name, stat, dump_date, value::DOUBLE AS value, before::DOUBLE AS bef
 register("history_until", f"WITH {SNAPSHOT_SQL} SELECT wiki_name, stat, dump_date, value::DOUBLE AS value FROM snapshot WHERE dump_date <= 1997")(lambda s, d: as_doubles(history.until(snapshots(s, d), 1997), "value"))
 register("snapshot_neighbours", f"WITH {SNAPSHOT_SQL} SELECT dump_date, (lag(dump_date) OVER w)::DOUBLE AS previous, (lead(dump_date) OVER w)::DOUBLE AS next FROM (SELECT DISTINCT dump_date FROM snapshot) WINDOW w AS (ORDER BY dump_date)")(lambda s, d: as_doubles(history.neighbours_in_time(snapshots(s, d)), "previous", "next"))
 register("history_pivot", f"WITH {SNAPSHOT_SQL} SELECT stat, dump_date, (max(value) FILTER (wiki_name = '1-URGENT'))::DOUBLE AS \"1-URGENT\", (max(value) FILTER (wiki_name = '5-LOW'))::DOUBLE AS \"5-LOW\" FROM snapshot GROUP BY 1, 2")(lambda s, d: as_doubles(history.matrix(snapshots(s, d), ["1-URGENT", "5-LOW"]), "1-URGENT", "5-LOW"))
-register("size_join", """WITH l AS (SELECT s_nationkey AS wiki_name, count(*) AS total_bytes FROM supplier GROUP BY 1), w AS (SELECT c_nationkey AS wiki_name, count(*) AS web_bytes FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1)
+register("size_join", """WITH l AS (SELECT s_nationkey AS wiki_name, count(*) AS total_bytes FROM supplier GROUP BY 1), w AS (SELECT c_nationkey AS wiki_name, count(*) AS web_bytes FROM customer GROUP BY 1)
 SELECT wiki_name, total_bytes, web_bytes::DOUBLE AS web_bytes FROM l LEFT JOIN w USING (wiki_name)""")(
-    lambda s, d: as_doubles(history.size_table(table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("wiki_name")).agg(F.count("*").alias("total_bytes")), table(s, d, "customer").filter("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("wiki_name")).agg(F.count("*").alias("web_bytes"))), "web_bytes")
+    lambda s, d: as_doubles(history.size_table(table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("wiki_name")).agg(F.count("*").alias("total_bytes")), table(s, d, "customer").groupBy(F.col("c_nationkey").alias("wiki_name")).agg(F.count("*").alias("web_bytes"))), "web_bytes")
 )
 register("wiki_sizes", "SELECT p_brand AS wiki_name, sum(p_size)::BIGINT AS total_bytes, coalesce(sum(p_size) FILTER (p_type IN ('ECONOMY', 'STANDARD')), 0)::BIGINT AS selected_bytes FROM part GROUP BY 1")(lambda s, d: history.wiki_sizes(table(s, d, "part").select(F.col("p_brand").alias("wiki_name"), F.col("p_type").alias("table"), F.col("p_size").alias("bytes")), ["ECONOMY", "STANDARD"]))
 
@@ -265,14 +298,14 @@ register("task_latest", "SELECT user_id, event_type, event_id, value FROM (SELEC
 
 @register(
     "dump_status",
-    """WITH t AS (SELECT o_custkey % 50 AS dump_date, CASE WHEN o_orderkey % 41 = 0 THEN 'RUNNING' WHEN o_orderkey % 37 = 0 THEN 'FAILED' WHEN o_orderkey % 2 = 0 THEN 'DONE' ELSE 'QUEUED' END AS status, o_orderdate AS finished_at FROM orders WHERE o_orderkey % 11 = 1)
+    """WITH t AS (SELECT o_custkey % 50 AS dump_date, CASE WHEN o_orderkey % 41 = 0 THEN 'RUNNING' WHEN o_orderkey % 37 = 0 THEN 'FAILED' WHEN o_orderkey % 2 = 0 THEN 'DONE' ELSE 'QUEUED' END AS status, o_orderdate AS finished_at FROM orders)
 SELECT dump_date, CASE WHEN bool_or(status = 'RUNNING') THEN 'RUNNING' WHEN bool_or(status = 'FAILED') THEN 'FAILED'
   WHEN bool_or(status = 'DONE' AND epoch(TIMESTAMP '1998-01-02 00:00:00') - epoch(finished_at) <= 86400) THEN 'DONE' ELSE 'SCHEDULED' END AS status FROM t GROUP BY 1""",
 )
 def dump_status(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     status = F.when(key % 41 == 0, "RUNNING").when(key % 37 == 0, "FAILED").when(key % 2 == 0, "DONE").otherwise("QUEUED")
-    tasks = table(spark, d, "orders").filter("o_orderkey % 11 = 1").select((F.col("o_custkey") % 50).alias("dump_date"), status.alias("status"), F.col("o_orderdate").alias("finished_at"))
+    tasks = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("dump_date"), status.alias("status"), F.col("o_orderdate").alias("finished_at"))
     return checks.dump_status(tasks, "1998-01-02 00:00:00")
 
 
@@ -284,7 +317,7 @@ register("category_count_hist", "SELECT n, count(*) AS num_categories FROM (SELE
 # Functions and files
 
 register("size_parse", """SELECT p_partkey, floor(CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1000000 WHEN 3 THEN (p_size + 0.5) * 1000000000 END)::DOUBLE AS bytes FROM part""")(
-    lambda s, d: table(s, d, "part").select("p_partkey", scalars.parse_size(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, [" b", " KB", " mb", ".5 GB", " XB"])), (F.col("p_partkey") % 5 + 1).cast("int")))).cast("double").alias("bytes"))
+    lambda s, d: table(s, d, "part").select("p_partkey", scalars.parse_size(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, [" b", " KB", " MB", ".5 GB", "XB"])), (F.col("p_partkey") % 5 + 1).cast("int")))).cast("double").alias("bytes"))
 )
 register("utf_lengths", "SELECT doc_id, length(text) AS characters, strlen(text) AS bytes FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", scalars.length_characters(F.col("text")).cast("bigint").alias("characters"), scalars.length_bytes(F.col("text")).cast("bigint").alias("bytes")))
 register("percentages", "SELECT p_partkey, round(p_size / nullif(p_size % 4, 0)::DOUBLE * 100, 2) AS share FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", scalars.percentage(F.col("p_size"), F.col("p_size") % 4).alias("share")))

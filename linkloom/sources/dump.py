@@ -22,14 +22,24 @@ def _unescaped(cell: Column) -> Column:
     return F.replace(F.regexp_replace(marked, r"\\(.)", "$1"), F.lit("\x01"), F.lit("\\"))
 
 
-def parse_tuples(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """Typed rows of the tuples in ``lines.value``.
+_INSERT = r"^INSERT INTO `?([^`\s(]+)`?\s*(?:\([^()]*\))?\s*VALUES"
 
-    Lines that start an INSERT or go on with a tuple are read; a tuple ends on
-    the line on which it starts. NULL is null, escapes within quotes are undone, cells beyond
-    the schema are ignored, and a cell that does not fit its type is null.
+
+def parse_tuples(lines: DataFrame, schema: T.StructType, table: str | None = None) -> DataFrame:
+    """Typed rows of the tuples in ``lines.value``, each a line or a whole statement.
+
+    Statements that INSERT into ``table`` (any, if none is given) and lines
+    that go on with a tuple are read; a list of columns is skipped. NULL is
+    null, escapes within quotes are undone, cells beyond the schema are
+    ignored, and a cell that does not fit its type is null. Text that is
+    neither a tuple nor between tuples is an error, so a cut tuple never
+    vanishes.
     """
-    data = lines.filter(F.col("value").startswith("INSERT INTO") | F.col("value").startswith("("))
+    name = F.regexp_extract("value", _INSERT, 1)
+    wanted = F.col("value").startswith("INSERT INTO") if table is None else name == table
+    data = lines.filter(wanted | F.col("value").startswith("(")).select(F.regexp_replace("value", _INSERT, "").alias("value"))
+    rest = F.regexp_replace("value", _TUPLE, "")
+    data = data.select(F.when(rest.rlike(r"^[\s,;]*$"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("cannot read this part of a dump: "), F.substring(rest, 1, 80)))).alias("value"))
     tuples = data.select(F.explode(F.regexp_extract_all("value", F.lit(_TUPLE), F.lit(0))).alias("tuple"))
     cells = tuples.select(F.regexp_extract_all(F.expr("substr(tuple, 2, length(tuple) - 2)"), F.lit(_CELL), F.lit(0)).alias("cells"))
 
@@ -42,8 +52,17 @@ def parse_tuples(lines: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of a dump file of ``table`` (plain or .gz; a .gz file is one task until repartitioned)."""
-    return parse_tuples(spark.read.text(path), schemas.DUMP[table])
+    """Rows of a dump file of ``table`` (plain or .gz; a .gz file is one task until repartitioned).
+
+    Statements end with a semicolon at the end of a line, so a tuple may be cut
+    by a line break anywhere (titles have theirs escaped); a plain file is
+    split between statements.
+    """
+    statements = spark.read.option("lineSep", ";\n").text(path)
+    # comments and other statements may stand before an INSERT
+    whole = statements.select(F.regexp_replace("value", r"^(?:\s|/\*.*?\*/;?|--[^\n]*\n)+", "").alias("value"))
+    whole = whole.select(F.explode(F.split("value", r";\r\n")).alias("value")).select(F.regexp_replace("value", r"^\s+", "").alias("value"))
+    return parse_tuples(whole, schemas.DUMP[table], table)
 
 
 def part(rows: DataFrame, size: int, number: int, order: list[str]) -> DataFrame:

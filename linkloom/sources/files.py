@@ -29,8 +29,8 @@ def read_snapshots(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def write_document(rows: DataFrame, path: str) -> None:
-    """One JSON file with one document."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """One text file with the one JSON document in column value, as ``read_snapshots`` reads it."""
+    rows.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -69,6 +69,12 @@ def test_odd_cells(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == expected
     with pytest.raises(ValueError, match="duplicate"):
         ingest.checked_unique(found, "lt_id")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.sql").write_text("INSERT INTO `page` VALUES (9,0,'no');\nINSERT INTO `linktarget` (`lt_id`, `lt_namespace`, `lt_title`) VALUES (1,0,'one'),(2,\n0,'two');\n")
+    assert rows(dump.read_dump(spark, str(tmp_path / "cut"), "linktarget")) == [(1, 0, "one"), (2, 0, "two")]
+    (tmp_path / "cut" / "x.sql").write_text("INSERT INTO `linktarget` VALUES (1,0,'one'),(2,0,'tw;\n")
+    with pytest.raises(Exception, match="cannot read"):
+        dump.read_dump(spark, str(tmp_path / "cut"), "linktarget").collect()
     assert rows(dump.part(found, 3, 2, ["lt_id"]).select("lt_id")) == [(4,), (5,), (6,)]
 
 
@@ -77,8 +83,33 @@ def test_hand_stats(hand):
     total = stats.summary(page, link).filter("wiki_name = 'global'").first().asDict()
     assert total == {"wiki_name": "global", "num_pages": 8, "num_redirects": 1, "num_links": 10, "num_linked_redirects": 1, "num_dead": 1, "num_orphan": 1, "num_dead_orphan": 1}
     assert rows(stats.dead_orphans(page, link).select("page_id")) == [(8,)]
-    assert [tuple(r) for r in stats.top_degrees(page, link, "page_link", 2).orderBy(F.desc("n"), "page_id").collect()] == [(4, "D", 3), (7, "G", 2)]
-    assert stats.document(stats.summary(page, link), "2024-09-01 00:00:00").first()[0].count("num_links") == 1
+    assert [tuple(r) for r in stats.top_degrees(page, link, "page_link", 2).orderBy(F.desc("n"), "page_id").collect()] == [(4, "D", 3, "w"), (7, "G", 2, "w")]
+
+
+def test_wikis_that_use_the_same_ids(spark):
+    page = spark.createDataFrame([("de", 1, "A", False), ("de", 2, "B", False), ("en", 1, "A", True), ("en", 2, "C", False)], schemas.PAGE)
+    link = spark.createDataFrame([("de", 1, 2), ("de", 2, 1)], schemas.LINK)
+    counts = {r["wiki_name"]: tuple(r)[1:] for r in stats.summary(page, link).collect()}
+    assert counts == {"de": (2, 0, 2, 0, 0, 0, 0), "en": (2, 1, 0, 0, 2, 2, 2), "global": (4, 1, 2, 0, 2, 2, 2)}
+    assert stats.linked_redirects(page, link).isEmpty()
+    assert rows(stats.dead_pages(page, link).select("wiki_name", "page_id")) == [("en", 1), ("en", 2)]
+    assert rows(stats.orphan_pages(page, link).select("wiki_name", "page_id")) == [("en", 1), ("en", 2)]
+    assert rows(stats.top_degrees(page, link, "page_link")) == [(1, "A", 1, "de"), (2, "B", 1, "de")]
+    dated = [df.withColumn("dump_date", F.lit("20240801")).union(df.filter("wiki_name = 'en'").withColumn("dump_date", F.lit("20240901"))) for df in (page, link)]
+    assert {(r["dump_date"], r["wiki_name"]): r["num_dead"] for r in stats.summary(*dated).collect()} == {("20240801", "de"): 0, ("20240801", "en"): 2, ("20240801", "global"): 2, ("20240901", "en"): 2, ("20240901", "global"): 2}
+    fresh = stats.summary(page, link).filter("wiki_name = 'de'").withColumn("num_links", F.lit(9).cast("bigint"))
+    assert {r["wiki_name"]: r["num_links"] for r in stats.merged_stats(stats.summary(page, link), fresh).collect()} == {"de": 9, "en": 0, "global": 2}
+
+
+def test_document_round_trip(spark, hand, tmp_path):
+    page, link = hand
+    made = stats.document(page, link, created_at="2024-09-01 00:00:00", dump_date="20240901", seconds_taken=7, local_sizes=spark.createDataFrame([("w", 5)], "wiki_name string, bytes bigint"))
+    files.write_document(made, str(tmp_path / "20240901"))
+    found = stats.read_document(spark.read.text(str(tmp_path / "20240901"))).first()
+    assert found["num_links"] == {"w": 10, "global": 10} and found["wikis"] == ["w"] and found["dump_date"] == "20240901" and found["seconds_taken"] == 7
+    assert [(p["page_id"], p["page_title"], p["count"]) for p in found["most_linked"]["global"]][:2] == [(4, "D", 3), (7, "G", 2)]
+    assert tuple(found["max_num_links"]) == ("w", 10) and found["longest_name"]["w"]["page_id"] == 1
+    assert '"local_wiki_sizes":[{"wiki_name":"w","bytes":5}]' in made.first()[0]
 
 
 @pytest.mark.parametrize("small", [graph.SMALL_EDGES, 0])
@@ -159,7 +190,7 @@ def test_history_and_checks(spark):
     assert checks.is_subset(tasks.limit(1), tasks, ["name"]) and not checks.is_subset(tasks, tasks.limit(1), ["name"])
 
 
-SIZES = [("26.7 GB", 26700000000), ("512 MB", 512000000), ("1024 KB", 1024000), ("2048 Bytes", 2048), ("1.5 TB", 1500000000000), ("1000 b", 1000), ("5 KB", 5000), ("0.5 MB", 500000), ("1.234 GB", 1234000000), ("Invalid Unit", None), ("1234", None), ("1000", None)]
+SIZES = [("26.7 GB", 26700000000), ("512 MB", 512000000), ("1024 KB", 1024000), ("2048 Bytes", 2048), ("1.5 TB", 1500000000000), ("1000 b", 1000), ("5 KB", 5000), ("26.7GB", None), ("512 mb", None), ("5 kb", None), (" 7  MB and more", 7000000), ("0.5 MB", 500000), ("1.234 GB", 1234000000), ("Invalid Unit", None), ("1234", None), ("1000", None)]
 
 
 def test_scalars(spark):
@@ -179,6 +210,11 @@ def test_scalars(spark):
         one.select(scalars.wiki_prefix(F.lit("foo"))).collect()
 
 
+def test_large_sizes(spark):
+    found = spark.createDataFrame([(0,), (1023,), (1 << 50,), (1 << 62,), (1536 << 40,)], "n bigint").select(scalars.format_bytes(F.col("n"))).collect()
+    assert [r[0] for r in found] == ["0 Bytes", "1,023 Bytes", "1 PB", "4 EB", "1.5 PB"]
+
+
 def test_files(spark, tmp_path, hand):
     page, link = hand
     files.write_store(page.withColumn("dump_date", F.lit("20240901")), str(tmp_path / "store"), bloom="page_title")

@@ -3,7 +3,7 @@
 Every response gives one metadata record (its source headers, title and
 outgoing links as warc-fields) and one conversion record (its text). Both name
 the response in WARC-Refers-To and carry digests of their own block; the
-payload's digest and the source's HTTP headers are preserved.
+payload's digest and the source's WARC and HTTP headers are preserved.
 """
 
 from __future__ import annotations
@@ -103,10 +103,18 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, gzip members or plain."""
+    """(headers with lower-case names, block) of each record, gzip members or plain.
+
+    A record without a numeric Content-Length is passed over, a damaged gzip
+    member ends the file, and of a truncated one the records that are whole
+    and the rest of the last block are read.
+    """
     while data[:2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        plain = member.decompress(data)
+        try:
+            plain = member.decompress(data)
+        except zlib.error:
+            return
         data = member.unused_data
         yield from read_records(plain)
     at = 0
@@ -118,7 +126,10 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         for line in data[start:stop].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-        size = int(headers.get("content-length", 0))
+        if not headers.get("content-length", "").isdecimal():
+            at = stop + 4
+            continue
+        size = int(headers["content-length"])
         yield headers, data[stop + 4 : stop + 4 + size]
         at = stop + 4 + size
 
@@ -129,18 +140,49 @@ def split_http(block: bytes) -> tuple[str, bytes]:
     return (head.decode("latin-1"), payload) if found else ("", block)
 
 
-def derive(response_id: str, uri: str, date: str, http: str, payload: bytes) -> dict[str, object]:
-    """Both derivatives of one response: ids, digests, sizes and record bytes."""
+def body(http: str, payload: bytes) -> bytes:
+    """The payload without chunks and compression; what cannot be undone stays as it is."""
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (line.partition(":") for line in http.split("\r\n")[1:])}
+    plain = payload
+    if "chunked" in fields.get("transfer-encoding", ""):
+        parts, rest = [], plain
+        while rest:
+            size, found, rest = rest.partition(b"\r\n")
+            try:
+                n = int(size.split(b";")[0], 16)
+            except ValueError:
+                break
+            if not found or n == 0:
+                break
+            parts.append(rest[:n])
+            rest = rest[n + 2 :]
+        plain = b"".join(parts) or plain
+    if fields.get("content-encoding") in ("gzip", "x-gzip", "deflate"):
+        try:
+            plain = zlib.decompress(plain, 47)
+        except zlib.error:
+            pass
+    return plain
+
+
+def derive(response_id: str, uri: str, date: str, http: str, payload: bytes, source_headers: str = "") -> dict[str, object]:
+    """Both derivatives of one response: ids, digests, sizes and record bytes.
+
+    ``source_headers`` are the response record's own headers, one a line; they
+    are kept in the metadata, and a payload digest among them is referred to as
+    it stands there.
+    """
     kind = next((line.partition(":")[2].strip() for line in http.split("\r\n") if line.lower().startswith("content-type:")), "text/html")
     charset = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", kind)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body(http, payload).decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body(http, payload).decode("utf-8", "replace")
     title, text, links = extract(page) if "html" in kind.lower() else ("", page, [])
-    source = digest(payload)
+    kept = [line for line in source_headers.split("\n") if line]
+    source = next((line.partition(":")[2].strip() for line in kept if line.lower().startswith("warc-payload-digest:")), "") or digest(payload)
     shared = [("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", response_id), ("WARC-Refers-To-Payload-Digest", source)]
-    fields = [f"http-header: {line}" for line in http.split("\r\n") if line] + [f"title: {title}"] * bool(title) + [f"outlink: {' '.join(x.split())}" for x in links]
+    fields = [f"source-header: {line}" for line in kept] + [f"http-header: {line}" for line in http.split("\r\n") if line] + [f"title: {title}"] * bool(title) + [f"outlink: {' '.join(x.split())}" for x in links]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{x}\r\n" for x in fields).encode()), "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", "replace"))}
     out: dict[str, object] = {"response_id": response_id, "target_uri": uri, "payload_digest": source, "title": title, "n_links": len(links)}
     for name, (content_type, block) in blocks.items():
@@ -174,16 +216,21 @@ def responses_from_pages(pages: DataFrame, *, date: str, id_col: str = "page_id"
 
 
 def responses_from_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Responses of WARC files (plain or one gzip member a record), one task a file."""
+    """Responses of WARC files (plain or one gzip member a record) with the records' own headers, one task a file.
+
+    Other kinds of records are passed over; a file without responses, or an
+    empty one, gives no rows; absent headers are empty, repeated records repeat.
+    """
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = [(h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", ""), *split_http(b)) for h, b in read_records(content.as_py()) if h.get("warc-type") == "response"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()))], names=["key", "uri", "date", "http", "payload"])
+                rows = [(h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", ""), *split_http(b), "\n".join(f"{k}: {v}" for k, v in h.items())) for h, b in read_records(content.as_py()) if h.get("warc-type") == "response"]
+                kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "uri", "date", "http", "payload", "source"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "key string, uri string, date string, http string, payload binary")
+    return files.mapInArrow(run, "key string, uri string, date string, http string, payload binary, source string")
 
 
 def derivatives(responses: DataFrame, *, with_records: bool = True) -> DataFrame:
@@ -204,14 +251,15 @@ def derivatives(responses: DataFrame, *, with_records: bool = True) -> DataFrame
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows = []
-                for key_, uri, date, http, payload in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                for key_, uri, date, http, payload, source in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                     uri, payload = uri or "", payload or b""
                     own = key_ if isinstance(key_, str) and key_ else record_id("response", uri, digest(payload))
-                    rows.append(derive(own, uri, date or "", http or "", payload))
+                    rows.append(derive(own, uri, date or "", http or "", payload, source or ""))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[n] for r in rows], kinds[FIELDS[n]]) for n in names)], names=["key", *names])
 
     schema = ", ".join([f"key {key}", *(f"{n} {FIELDS[n]}" for n in names)])
-    return responses.select("key", "uri", "date", "http", "payload").mapInArrow(run, schema)
+    source = F.col("source") if "source" in responses.columns else F.lit(None)
+    return responses.select("key", "uri", "date", "http", "payload", source.cast("string").alias("source")).mapInArrow(run, schema)
 
 
 def members(derived: DataFrame, *columns: str) -> DataFrame:

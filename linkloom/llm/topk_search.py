@@ -13,6 +13,8 @@ proven to be few (or no segment is left), and these are scored exactly.
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,8 @@ BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 #: Quantisation step of an impact.
 STEP = 8
+#: The largest score that a long can hold.
+MOST = (1 << 63) - 1
 #: A query is closed when at most this many times k rows can be members.
 SLACK = 4
 
@@ -66,10 +70,18 @@ class ImpactIndex:
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[list, list, list]:
     """(query id, row id, score) of each query's k best rows of a block, exactly."""
-    if len(rows) and float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1] >= 2.0**53:
-        raise ValueError("components are too large for exact sums")
     out: tuple[list, list, list] = ([], [], [])
     own = query_ids[:, None] == row_ids[None, :]
+    if len(rows) and float(np.abs(rows.astype(float)).max()) * float(np.abs(queries.astype(float)).max()) * rows.shape[1] >= 2.0**53:
+        # too large for exact sums of doubles: Python's integers score every row
+        listed = rows.tolist()
+        for i, query in enumerate(queries.tolist()):
+            scored = sorted((-sum(map(operator.mul, query, row)), int(own_id)) for own_id, row, mine in zip(row_ids, listed, own[i], strict=True) if not mine)
+            for score, row_id in [x for x in scored if -MOST <= -x[0] <= MOST][:k]:
+                out[0].append(int(query_ids[i]))
+                out[1].append(row_id)
+                out[2].append(-score)
+        return out
     for i, places in enumerate(ImpactIndex(rows).search(queries.astype(np.float64), own, k)):
         exact = rows[places] @ queries[i]
         best = np.lexsort((row_ids[places], -exact))[:k]
@@ -87,7 +99,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 102
     id column; candidates all rows but those with the query's own id. Ties go
     to the smaller id; fewer candidates than ``k`` give fewer rows. Vectors
     that are null or empty, hold a null or non-finite component or have no id take
-    no part; a query meets only vectors of its own length. A repeated row is
+    no part; a query meets only vectors of its own length. Components beyond a
+    long count as its end, and a score beyond it, which no long can tell, is
+    left out. A repeated row is
     a candidate as often as it comes. An empty table gives an empty table.
     """
     sound = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

@@ -19,11 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, for data that cuts lineage.
 
     The cluster names it in spark.checkpoint.dir. A folder of our own is made
-    only where neither that setting nor the context has one (local tests).
+    only where neither that setting nor the context has one, on a local master (tests).
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpus-"))
     return named or sc.getCheckpointDir()
 

@@ -356,7 +356,8 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     """All rows of ``docs`` with secrets in the text replaced by ``mark``.
 
     ``length_col``, if ``docs`` has it, becomes the new text's length in code
-    points for rows whose text changed. Null texts stay null.
+    points for rows whose text changed. Null texts stay null, repeated rows and
+    null ids stay as they are, and an empty table gives an empty one.
     """
     net = trained()
 
@@ -367,10 +368,10 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
             out = [None if t is None else redacted(t, spans, mark) for t, (_, spans) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string()), pa.array([a != b for a, b in zip(texts, out, strict=True)])], names=["_row", "_new", "_changed"])
 
-    packed = docs.select(F.col(text_col).alias("_old"), F.struct(*docs.columns).alias("_row"))
+    packed = docs.select(F.col(text_col).alias("_old"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     schema = T.StructType([packed.schema["_row"], T.StructField("_new", T.StringType()), T.StructField("_changed", T.BooleanType())])
     rows = packed.mapInArrow(run, schema)
     fresh = {text_col: F.col("_new")}
     if length_col in docs.columns:
-        fresh[length_col] = F.when(F.col("_changed"), F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"_row.{length_col}"))
-    return rows.select(*(fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+        fresh[length_col] = F.when(F.col("_changed"), F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col("_row")[length_col])
+    return rows.select(*(fresh.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

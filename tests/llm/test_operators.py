@@ -410,34 +410,7 @@ def test_warc(spark, tmp_path, data):
     assert warc.derivatives(warc.responses_from_pages(pages.filter("false"), date="d")).count() == 0
 
 
-# Pipeline and registered queries
-
-
-def test_pipeline(spark, data):
-    import corpus_pipeline
-    import duckdb
-
-    from linkloom.llm.sql import mix_sql
-
-    tiktoken = pytest.importorskip("tiktoken")
-    ranks = byte_bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
-    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    documents_ = spark.read.parquet(f"{data}/documents.parquet")
-    kept = quality_rules.assess(documents_, spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1 and toxic = 0").selectExpr("doc_id as id")).filter("kept")
-    frame = documents_.join(kept, "doc_id", "left_semi").toPandas().sort_values("doc_id")
-    classes = brute_classes({i: brute_fingerprint(t) for i, t in zip(frame.doc_id, frame.text)})
-    frame = frame[[classes[i] == i for i in frame.doc_id]].copy()
-    net = secret_scan.trained()
-    frame["text"] = [secret_scan.redacted(t, s, "[SECRET]") for t, (_, s) in zip(frame.text, secret_scan._found(list(frame.text), net))]
-    con = duckdb.connect()
-    con.register("documents", frame)
-    mixed = con.execute(mix_sql([3, 1, 2], 1.5, 2.0, source_mixing.ROUNDS)).df()
-    times = {r.doc_id: r.taken // r.size_ for r in mixed.rename(columns={"size": "size_"}).itertuples() if r.taken}
-    expected = []
-    for i, t in zip(frame.doc_id, frame.text):
-        numbers = library.encode_ordinary(t)
-        expected += [(i, len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())] * times.get(i, 0)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(expected)
+# Registered queries
 
 
 def test_queries_match_sql(spark, data):

@@ -158,3 +158,92 @@ def test_op1_warc_returns_its_records(spark, data):
         for kind in ("metadata", "conversion"):
             ((headers, block),) = warc.read_records(bytes(r[f"{kind}_record"]))
             assert headers["warc-type"] == kind and len(block) == r[f"{kind}_bytes"]
+
+
+def test_op1_warc_keeps_source_headers_and_digests(spark, tmp_path):
+    import gzip
+
+    from linkloom.llm import warc
+
+    page = "<title>T</title><p>caf\u00e9</p><a href='/x'>x</a>".encode()
+    packed = gzip.compress(page)
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(packed[k : k + 9]), packed[k : k + 9]) for k in range(0, len(packed), 9)) + b"0\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunks
+    own = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:1>"), ("WARC-Target-URI", "http://e/"), ("WARC-Date", "d"), ("WARC-Payload-Digest", "sha1:GIVEN"), ("WARC-IP-Address", "1.2.3.4")]
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nlost\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(bad + warc.record(own, http))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(warc.record(own, http))[:-12])
+    (tmp_path / "c.warc").write_bytes(b"")
+    found = warc.derivatives(warc.responses_from_warc(spark, str(tmp_path))).collect()
+    assert found and all(r["response_id"] == "<urn:1>" and r["payload_digest"] == "sha1:GIVEN" for r in found)
+    ((headers, block),) = warc.read_records(bytes(found[0]["metadata_record"]))
+    assert headers["warc-refers-to"] == "<urn:1>" and headers["warc-refers-to-payload-digest"] == "sha1:GIVEN"
+    assert b"source-header: warc-ip-address: 1.2.3.4\r\n" in block and b"outlink: /x\r\n" in block
+    assert "caf\u00e9 x" in bytes(found[0]["conversion_record"]).decode().replace("\n", " ")
+
+
+def test_op8_topk_search_scores_huge_components(spark):
+    from pyspark.sql import functions as F
+
+    from linkloom.llm import topk_search
+
+    rows = [(0, [1e9, 1.0]), (1, [1e6, 3.0]), (2, [1e6, 2.0]), (3, [1e300, 1.0]), (4, [-1e6, 5.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = [tuple(r) for r in topk_search.top_k(vectors, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert found == [(0, k, i, 1024 * 1024 * int(10**9 * x + y)) for k, i, x, y in ((1, 1, 10**6, 3), (2, 2, 10**6, 2), (3, 4, -(10**6), 5)) if abs(1024 * 1024 * int(10**9 * x + y)) < 1 << 63]
+
+
+def test_op9_source_mixing_probabilities_and_certain_documents(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from linkloom.llm import source_mixing
+
+    sizes = [3, 5, 8, 13, 21, 400, 900, 5, 5, 8]
+    for gap in (1, 50, 700, 1000, 1367):
+        rows = spark.createDataFrame([("s", n, math.floor(math.sqrt(n) * 16)) for n in sizes], "source string, size bigint, x bigint")
+        per = spark.createDataFrame([("s", gap)], "source string, gap bigint")
+        found = source_mixing.inclusion(rows, per).first()
+        weight, sure = {k: math.floor(math.sqrt(n) * 16) for k, n in enumerate(sizes)}, set()
+        while True:
+            rest = [k for k in weight if k not in sure]
+            scale = (gap - sum(sizes[k] for k in sure)) / sum(weight[k] * sizes[k] for k in rest)
+            over = {k for k in rest if scale * weight[k] >= 1}
+            if not over:
+                break
+            top = max(weight[k] for k in over)
+            sure |= {k for k in over if weight[k] == top}
+        assert abs(found["scale"] - scale) < 1e-12 and found["rest"] == gap - sum(sizes[k] for k in sure)
+        assert {k for k in weight if weight[k] > found["above"]} == sure
+        expected = sum(sizes[k] for k in sure) + sum(scale * weight[k] * sizes[k] for k in weight if k not in sure)
+        assert abs(expected - gap) < 1e-9
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (1 + k % 60)), "s") for k in range(600)], KINDS)
+    found = source_mixing.mix(docs, weights=[1], share=0.4).collect()
+    share = lambda low, high: sum(r["taken"] > 0 for r in found if low <= r["size"] <= high) / sum(low <= r["size"] <= high for r in found)
+    assert share(1, 10) < share(30, 60) and share(1, 10) > 0
+    assert source_mixing.mix(docs, weights=[1], share=1.5, preference=F.lit(None).cast("double")).count() == 600
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark):
+    from linkloom.llm import quality_rules, secret_scan, source_mixing
+
+    kinds = "doc_id bigint, text string, source string, `_id` int, `_times` int, `a.b` string, _row_hash string, m map<string,int>, _root int"
+    rows = [(k, " ".join(words(k, 40)) if k else None, "s", k, k, "x", "y", {"k": k}, 1) for k in range(6)] + [(5, " ".join(words(5, 40)), "s", 5, 5, "x", "y", {"k": 5}, 1)]
+    docs, none = spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)
+    trusted = spark.createDataFrame([(1,)], "id bigint")
+    stages = {
+        "good": lambda df: quality_rules.keep_good(df, trusted),
+        "simhash": simhash.keep_one,
+        "copies": near_copies.keep_one,
+        "redact": secret_scan.redact,
+        "mixed": lambda df: source_mixing.keep_mixed(df, weights=[1], share=1.5),
+    }
+    for name, stage in stages.items():
+        found = stage(docs)
+        assert found.columns == docs.columns, name
+        got = [tuple(r) for r in found.collect()]
+        assert got and all(r in rows for r in got), name
+        if name in ("simhash", "copies"):
+            assert sorted(r[0] for r in got) == [0, 1, 2, 3, 4, 5]
+        assert stage(none).count() == 0, name

@@ -22,7 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder that the session names; one of our own only where none is set."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkloom-"))
     return df.checkpoint()
 
 
@@ -107,11 +110,10 @@ def reach(reached: DataFrame) -> DataFrame:
 
 
 def path_to(tree: DataFrame, source: int, target: int) -> list[int]:
-    """The path of a stored tree from source to target; an unreached target is alone on it."""
-    rows = {r["page_id"]: r["previous_id"] for r in tree.filter(F.col("source_id") == source).select("page_id", "previous_id").toLocalIterator()}
-    path = [target]
-    while (at := rows.get(path[-1])) is not None:
-        path.append(at)
+    """The path of a stored tree from source to target, one lookup a step; an unreached target is alone on it."""
+    rows, path = tree.filter(F.col("source_id") == source).select("page_id", "previous_id"), [target]
+    while (row := rows.filter(F.col("page_id") == path[-1]).select("previous_id").first()) and row[0] is not None:
+        path.append(row[0])
     return path[::-1]
 
 

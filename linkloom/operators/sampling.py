@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def sample_pages(page: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k pages in an order set by the seed (one hash per page, top k)."""
-    return page.select("page_id").orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(k)
+    """k pages in an order set by the seed (one digest per page, top k)."""
+    return page.select("page_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("page_id").cast("string")).cast("binary")), "page_id").limit(k)
 
 
 def average_histogram(hist: DataFrame, num_pages: int) -> DataFrame:

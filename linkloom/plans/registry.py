@@ -184,7 +184,7 @@ on_graph("bfs_undirected", with_graph("SELECT page_id, min(depth)::INTEGER AS de
     "reach(page_id, depth) AS (SELECT page_id, 0 FROM start UNION SELECT e.page_link, depth + 1 FROM reach r JOIN both_ways e ON r.page_id = e.page_id WHERE depth < 25)", recursive=True))(
     lambda p, l: graph.bfs(graph.edges_of(l, undirected=True), [start_page(l)], max_depth=25).select("page_id", "depth")
 )
-_SOURCES = "sources AS (SELECT page_id FROM (SELECT page_id FROM link GROUP BY 1) WHERE page_id % 7 = 3 ORDER BY page_id LIMIT 8)"
+_SOURCES = "sources AS (SELECT page_id FROM (SELECT page_id FROM link GROUP BY 1) ORDER BY md5('0:' || page_id), page_id LIMIT 8)"
 _MULTI = f"""walk(source_id, page_id, depth) AS (SELECT page_id, page_id, 0 FROM sources UNION SELECT source_id, e.page_link, depth + 1 FROM walk w JOIN link e ON w.page_id = e.page_id WHERE depth < {DEPTH}),
 reached AS (SELECT source_id, page_id, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL),
 hist AS (SELECT source_id, depth, count(*) AS n FROM reached WHERE depth > 0 GROUP BY ALL)"""
@@ -192,8 +192,8 @@ _AVERAGE = "average AS (SELECT depth, avg(n / (SELECT count(*) FROM page)::DOUBL
 
 
 def _sample(link: DataFrame) -> DataFrame:
-    """Breadth-first reach from a fixed list of sources (part of the query, like its SQL)."""
-    rows = link.select("page_id").distinct().filter("page_id % 7 = 3").orderBy("page_id").limit(8).collect()
+    """Breadth-first reach from a sample of sources."""
+    rows = sampling.sample_pages(link.select("page_id").distinct(), 8).collect()
     return graph.bfs(graph.edges_of(link), [r[0] for r in rows])
 
 

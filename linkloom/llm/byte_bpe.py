@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LATIN_WORDS, staged
+from .common import LATIN_WORDS, lean, staged
 
 #: Distinct words after which a partition starts a new dictionary.
 MAX_WORDS = 300_000
@@ -228,14 +228,14 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists([x.as_py().encode() for x in batch.column(0)])], names=["word", "data"])
 
-    counted = staged(sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    counted = staged(sample.mapInArrow(lean(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
     least, room = 1, MAX_FREQUENT
     for times, words in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
         room -= words
         if room < 0:
             least = times + 1
             break
-    top = counted.filter(F.col("n") >= least).select("word").mapInArrow(as_bytes, "word string, data array<int>")
+    top = counted.filter(F.col("n") >= least).select("word").mapInArrow(lean(as_bytes), "word string, data array<int>")
     folded = top.select("word", fold_merges(F.col("data"), rank_map).alias("ids"))
     found = folded.select("word", "ids", decode_ids(F.col("ids"), ranks).alias("decoded")).toArrow()
     ids = found.column("ids").combine_chunks()
@@ -321,9 +321,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
             n = 5 if with_ids else 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:n])
 
-    rows = docs.select(id_col, text_col).mapInArrow(split, f"data array<int>, given array<int>, codes binary, restart boolean, {id_col} {kind}, is_doc boolean")
+    rows = docs.select(id_col, text_col).mapInArrow(lean(split), f"data array<int>, given array<int>, codes binary, restart boolean, {id_col} {kind}, is_doc boolean")
     ids = F.when(F.col("data").isNotNull(), fold_merges(F.col("data"), rank_map)).otherwise(F.col("given"))
     rows = rows.select(ids.alias("ids"), "codes", "restart", id_col, "is_doc")
     rows = rows.select("ids", decode_ids(F.col("ids"), ranks).alias("decoded"), "codes", "restart", id_col, "is_doc")
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(join, schema)
+    return rows.mapInArrow(lean(join), schema)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but ASCII white space (fixed by the contracts).
@@ -57,5 +61,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not in every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(step):
+    """The generator function ``step`` for mapInArrow, giving memory back when a partition ends.
+
+    Python workers stay for later tasks and would otherwise keep what their largest one took.
+    """
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 # The fixed rules.
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -337,7 +339,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 columns.append(pa.array([len(spans) - len(base) for base, spans in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_model bigint")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_model bigint")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
@@ -370,7 +372,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
     packed = docs.select(F.col(text_col).alias("_old"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     schema = T.StructType([packed.schema["_row"], T.StructField("_new", T.StringType()), T.StructField("_changed", T.BooleanType())])
-    rows = packed.mapInArrow(run, schema)
+    rows = packed.mapInArrow(lean(run), schema)
     fresh = {text_col: F.col("_new")}
     if length_col in docs.columns:
         fresh[length_col] = F.when(F.col("_changed"), F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col("_row")[length_col])

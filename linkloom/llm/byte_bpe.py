@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LATIN_WORDS, lean, staged
+from .common import LATIN_WORDS, give_back, lean, staged
 
 #: Distinct words after which a partition starts a new dictionary.
 MAX_WORDS = 300_000
@@ -198,8 +198,8 @@ def _byte_lists(data) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(numbers), mask=none)
 
 
-def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, pattern: str) -> tuple[list[str], list[bytes], list[bytes], list[int]]:
-    """Frequent words with the text of their ids, their decoded bytes and their number of ids.
+def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, pattern: str) -> pa.Table:
+    """Frequent words (word) with the text of their ids (ids), their decoded bytes (decoded) and their number of ids (n).
 
     They are counted in SAMPLE_DOCS documents at most (all, if there are no
     more) and folded like any other word. At most MAX_FREQUENT words of
@@ -237,11 +237,8 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
             break
     top = counted.filter(F.col("n") >= least).select("word").mapInArrow(lean(as_bytes), "word string, data array<int>")
     folded = top.select("word", fold_merges(F.col("data"), rank_map).alias("ids"))
-    found = folded.select("word", "ids", decode_ids(F.col("ids"), ranks).alias("decoded")).toArrow()
-    ids = found.column("ids").combine_chunks()
-    offsets, numbers = np.asarray(ids.offsets).tolist(), np.asarray(ids.values).tolist()
-    parts = [numbers[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
-    return found.column("word").to_pylist(), [",".join(map(str, x)).encode() for x in parts], found.column("decoded").to_pylist(), list(map(len, parts))
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary")
+    return folded.select("word", joined.alias("ids"), decode_ids(F.col("ids"), ranks).alias("decoded"), F.size("ids").alias("n")).toArrow()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +256,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
     kind = docs.schema[id_col].dataType.simpleString()
 
     rank_map = RankMap.of(ranks)
-    words, ahead_texts, ahead_pieces, ahead_counts = _frequent(docs.select(text_col), ranks, rank_map, pattern)
-    ahead = len(words)
+    frequent = _frequent(docs.select(text_col), ranks, rank_map, pattern)
+    ahead = frequent.num_rows
+    give_back()
 
     def split(batches):
+        words = frequent.column("word").to_pylist()
         known = dict(zip(words, range(ahead), strict=True))
         for batch in batches:
             id_type, rows = batch.schema.field(0).type, []
@@ -295,7 +294,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
         return pa.RecordBatch.from_arrays([_byte_lists(data), *(pa.array(c, t) for c, t in zip(others, types, strict=True))], names=["data", "given", "codes", "restart", id_col, "is_doc"])
 
     def join(batches):
-        texts, pieces, counts = list(ahead_texts), list(ahead_pieces), list(ahead_counts)
+        texts, pieces, counts = (frequent.column(c).to_pylist() for c in ("ids", "decoded", "n"))
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             ids, decoded = batch.column(0), batch.column(1).to_pylist()

@@ -325,4 +325,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
     rows = rows.select(ids.alias("ids"), "codes", "restart", id_col, "is_doc")
     rows = rows.select("ids", decode_ids(F.col("ids"), ranks).alias("decoded"), "codes", "restart", id_col, "is_doc")
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(lean(join), schema)
+    found = rows.mapInArrow(lean(join), schema)
+    give_back()  # the literals' texts
+    return found

@@ -121,6 +121,50 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(part, whole) * 100, 2)
 
 
+def chunks(values: Column, n: int) -> Column:
+    """``values`` in ``n`` arrays of nearly equal sizes; the first ones get one more each of what is left over."""
+    if n < 1:
+        raise ValueError("at least one chunk")
+    size, rest = F.floor(F.size(values) / n).cast("int"), F.size(values) % n
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(values, i * size + F.least(i, rest) + 1, size + (i < rest).cast("int")))
+
+
+def inner(values: Column) -> Column:
+    """``values`` without both ends."""
+    return F.slice(values, F.lit(2), F.greatest(F.size(values) - 2, F.lit(0)))
+
+
+def second_last(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-2))
+
+
+def merge_lists(first: Column, second: Column) -> Column:
+    """Distinct values of both arrays in order; null counts as empty."""
+    return F.array_union(F.coalesce(first, F.array()), F.coalesce(second, F.array()))
+
+
+def merge_maps(left: Column, right: Column, depth: int = 1) -> Column:
+    """Entries of both maps; the right one wins, except that maps within are merged down to ``depth`` levels."""
+
+    def value(key: Column, a: Column, b: Column) -> Column:
+        both = merge_maps(a, b, depth - 1) if depth > 1 else b
+        return F.when(~F.map_contains_key(right, key), a).when(F.map_contains_key(left, key) & a.isNotNull() & b.isNotNull(), both).otherwise(b)
+
+    return F.map_zip_with(left, right, value)
+
+
+def within_hours(time: Column, start: int | None, end: int | None) -> Column:
+    """Whether a time of day is in [start, end), in whole hours; never without both ends."""
+    if start is None or end is None:
+        return F.lit(False)
+    return (F.hour(time) >= start) & (F.hour(time) < end)
+
+
+def is_schedule(text: Column) -> Column:
+    """Whether a schedule has five parts."""
+    return F.size(F.filter(F.split(text, r"\s+"), lambda part: part != "")) == 5
+
+
 def rgb_hex(rgb: Column) -> Column:
     return F.concat(F.lit("#"), F.lower(F.lpad(F.hex(rgb.bitwiseAND(0xFFFFFF).cast("bigint")), 6, "0")))
 

@@ -49,6 +49,30 @@ def todo(available: DataFrame, finished: DataFrame) -> DataFrame:
     return available.select("wiki_name", "dump_date").distinct().join(finished.select("wiki_name", "dump_date"), ["wiki_name", "dump_date"], "left_anti")
 
 
+def enqueue(open_dumps: DataFrame, wanted: list[str]) -> DataFrame:
+    """Tasks (wiki_name, dump_date, required) for open dumps.
+
+    The newest dump date requires all ``wanted`` wikis, an older one those that are open for it, sorted.
+    """
+    per = open_dumps.filter(F.col("dump_date").isNotNull()).groupBy("dump_date").agg(F.sort_array(F.collect_set("wiki_name")).alias("wikis"))
+    newest = per.agg(F.max("dump_date").alias("dump_date")).withColumn("newest", F.lit(True))
+    everything = F.array(*map(F.lit, wanted)).cast("array<string>")
+    required = F.when(F.col("newest"), everything).otherwise(F.col("wikis")).alias("required")
+    return per.join(newest, "dump_date", "left").select(F.explode("wikis").alias("wiki_name"), "dump_date", required)
+
+
+def unprocessed(files: DataFrame) -> DataFrame:
+    """(wiki_name, dump_date) with a download but no store that holds anything, of files (wiki_name, dump_date, kind, size)."""
+    keys = ["wiki_name", "dump_date"]
+    stored = files.filter((F.col("kind") == "store") & (F.col("size") > 0)).select(*keys)
+    return files.filter("kind = 'download'").select(*keys).distinct().join(stored, keys, "left_anti")
+
+
+def without_block(documents: DataFrame, block: str) -> DataFrame:
+    """Dump dates whose statistics document lacks a block."""
+    return documents.filter(F.col(block).isNull()).select("dump_date").distinct()
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))

@@ -7,6 +7,7 @@ the driver instead, where a level costs microseconds; both ways give the same ro
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Iterator
 
@@ -179,6 +180,35 @@ def shortest_path_stream(edges: DataFrame, start: int, end: int, *, max_paths: i
     yield {"visited": visited, "paths": paths}
 
 
+def path_titles(paths: DataFrame, page: DataFrame) -> DataFrame:
+    """Paths, which differ from each other, with the titles (titles) of their pages; an unknown page has a null there."""
+    places = paths.select("path", F.posexplode("path").alias("place", "page_id"))
+    titled = places.join(page.select("page_id", "page_title"), "page_id", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("place", "page_title")))
+    return titled.groupBy("path").agg(F.transform(ordered, lambda x: x["page_title"]).alias("titles"))
+
+
+def incident(edges: DataFrame, node: int) -> DataFrame:
+    """Edges that begin or end at ``node``."""
+    return edges.filter((F.col("src") == node) | (F.col("dst") == node))
+
+
+def inside(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges both of whose ends are among ``members`` (page_id)."""
+    ids = members.select("page_id").distinct()
+    return edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
+
+
+def cluster_sizes(labels: DataFrame, by: str = "component") -> DataFrame:
+    """(cluster, size, representative) of every cluster; its smallest page represents it."""
+    return labels.groupBy(F.col(by).alias("cluster")).agg(F.count("*").alias("size"), F.min("page_id").alias("representative"))
+
+
+def attribute_range(nodes: DataFrame, attribute: str) -> DataFrame:
+    """The least and the greatest value (low, high) of an attribute of nodes."""
+    return nodes.agg(F.min(attribute).alias("low"), F.max(attribute).alias("high"))
+
+
 def path_edges(paths: DataFrame) -> DataFrame:
     """Distinct edges (src, dst) of all paths."""
     steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
@@ -281,6 +311,27 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return found["inside"] / found["m"] - found["squares"] / found["m"] ** 2 if found["m"] else 0.0
 
 
+def walk_up(edges: DataFrame, starts: DataFrame, root: int) -> DataFrame:
+    """(start_id, path, found): the way from every start (page_id) to ``root`` along edges from a child (src) to its parents (dst).
+
+    Each step takes the smallest parent that is not on the path yet; a walk
+    that has none left ends without the root. All starts advance together, one
+    join a step, and those that ended leave the join.
+    """
+    parents = cut(edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("parents")))
+    open_walks = starts.select(F.col("page_id").alias("start_id"), F.array(F.col("page_id").cast("bigint")).alias("path")).distinct()
+    ended = []
+    while True:
+        last = F.element_at("path", -1)
+        at_root = open_walks.select("start_id", "path", (last == root).alias("found"), last.alias("src"))
+        fresh = at_root.join(parents, "src", "left").withColumn("next", F.when(~F.col("found"), F.get(F.array_except("parents", "path"), F.lit(0))))
+        step = cut(fresh.select("start_id", "path", "found", "next"))
+        ended.append(step.filter("next IS NULL").select("start_id", "path", "found"))
+        open_walks = step.filter("next IS NOT NULL").select("start_id", F.concat("path", F.array(F.col("next").cast("bigint"))).alias("path"))
+        if open_walks.isEmpty():
+            return functools.reduce(DataFrame.union, ended)
+
+
 def category_subgraph(edges: DataFrame) -> DataFrame:
     """Category edges both of whose ends have more than one sub-category, without loops."""
     busy = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).filter("n > 1").select("node")

@@ -235,10 +235,17 @@ on_graph("path_nodes", with_graph("""SELECT page_id, depth, (SELECT count(DISTIN
 FROM (SELECT path[i] AS page_id, min(i - 1)::INTEGER AS depth FROM shortest, range(1, 20) r(i) WHERE i <= len(path) GROUP BY 1) n""", START_SQL, _BFS, _END, _PATHS, recursive=True))(
     lambda p, l: graph.path_nodes(graph.shortest_paths(graph.edges_of(l), *_far_pair(l)), l)
 )
+on_graph("path_titles", with_graph("SELECT (SELECT string_agg(page_title, '|' ORDER BY i) FROM (SELECT unnest(path) AS page_id, generate_subscripts(path, 1) AS i) JOIN page USING (page_id)) AS titles FROM shortest", START_SQL, _BFS, _END, _PATHS, recursive=True))(
+    lambda p, l: graph.path_titles(graph.shortest_paths(graph.edges_of(l), *_far_pair(l)), p).select(F.array_join("titles", "|").alias("titles"))
+)
+on_graph("incident_links", with_graph("SELECT page_id AS src, page_link AS dst FROM link WHERE page_id = (SELECT page_id FROM start) OR page_link = (SELECT page_id FROM start)", START_SQL))(lambda p, l: graph.incident(graph.edges_of(l), start_page(l)))
+on_graph("links_inside_cluster", with_graph("SELECT page_id AS src, page_link AS dst FROM link WHERE page_id IN (SELECT page_id FROM page WHERE NOT is_redirect) AND page_link IN (SELECT page_id FROM page WHERE NOT is_redirect)"))(lambda p, l: graph.inside(graph.edges_of(l), p.filter("NOT is_redirect")))
+on_graph("degree_range", with_graph("SELECT min(n) AS low, max(n) AS high FROM (SELECT count(*) AS n FROM link GROUP BY page_id)"))(lambda p, l: graph.attribute_range(l.groupBy("page_id").agg(F.count("*").alias("n")), "n"))
 _WCC = """both_ways AS (SELECT page_id, page_link FROM link UNION SELECT page_link, page_id FROM link),
 label(page_id, component) AS (SELECT DISTINCT page_id, page_id FROM both_ways UNION SELECT e.page_link, component FROM label l JOIN both_ways e ON l.page_id = e.page_id WHERE component < e.page_link),
 wcc AS (SELECT page_id, min(component) AS component FROM label GROUP BY 1)"""
 on_graph("wcc_labels", with_graph("SELECT * FROM wcc", _WCC, recursive=True))(lambda p, l: graph.components(graph.edges_of(l)))
+on_graph("wcc_sizes", with_graph("SELECT component AS cluster, count(*) AS size, min(page_id) AS representative FROM wcc GROUP BY 1", _WCC, recursive=True))(lambda p, l: graph.cluster_sizes(graph.components(graph.edges_of(l))))
 on_graph("wcc_pruned", with_graph("""SELECT component, size, list_sort(members)::VARCHAR AS members FROM (SELECT component, count(*) AS size, list(page_id) AS members, row_number() OVER (ORDER BY count(*) DESC, component) AS place
 FROM wcc WHERE page_id NOT IN (SELECT page_id FROM page WHERE is_redirect) GROUP BY 1) WHERE place > 1 AND size > 1""", _WCC, recursive=True))(
     lambda p, l: graph.pruned_components(graph.components(graph.edges_of(l)), p).withColumn("members", F.concat(F.lit("["), F.array_join(F.transform("members", lambda x: x.cast("string")), ", "), F.lit("]")))
@@ -251,6 +258,11 @@ on_graph("ego_graph", with_graph("""SELECT src, dst FROM first_step UNION SELECT
     "ranked AS (SELECT page_id AS src, page_link AS dst, row_number() OVER (PARTITION BY page_id ORDER BY t.n DESC, page_link) AS place FROM link JOIN (SELECT page_link, count(*) AS n FROM link GROUP BY 1) t USING (page_link))",
     "first_step AS (SELECT src, dst FROM ranked WHERE place <= 4 AND src = (SELECT page_id FROM start))",
     "second_step AS (SELECT src, dst FROM ranked WHERE place <= 4 AND src IN (SELECT dst FROM first_step) AND src <> (SELECT page_id FROM start))"))(lambda p, l: graph.ego(l, start_page(l), neighbours=4)[1])
+on_graph("category_walk", with_graph("SELECT start_id, array_to_string(arg_max(path, len(path)), ',') AS path, bool_or(page_id = 1) AS found FROM walk GROUP BY 1",
+    "up AS (SELECT page_id, min(page_link) AS parent FROM link WHERE page_link < page_id GROUP BY 1)",
+    "walk(start_id, path, page_id) AS (SELECT page_id, [page_id]::BIGINT[], page_id FROM page UNION ALL SELECT start_id, list_append(path, parent), parent FROM walk JOIN up USING (page_id) WHERE page_id <> 1)", recursive=True))(
+    lambda p, l: graph.walk_up(graph.edges_of(l).filter("dst < src"), p, 1).withColumn("path", F.array_join("path", ","))
+)
 on_graph("communities")(lambda p, l: graph.communities(graph.edges_of(l), rounds=4))
 register("category_subgraph", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), busy AS (SELECT dst AS node FROM e GROUP BY 1 HAVING count(*) > 1)
 SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT node FROM busy) AND dst IN (SELECT node FROM busy)""")(lambda s, d: graph.category_subgraph(table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()))
@@ -293,6 +305,18 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 register("complete_dumps", f"WITH {_FILES} SELECT wiki_name, dump_date FROM files WHERE \"table\" IN ('F', 'O', 'P') GROUP BY ALL HAVING count(*) = 3")(lambda s, d: checks.complete_dumps(_files(s, d), ["F", "O", "P"]))
 register("dump_dates_common", f"WITH {_FILES} SELECT dump_date FROM files GROUP BY 1 HAVING count(DISTINCT wiki_name) = 5")(lambda s, d: checks.common_dates(_files(s, d), 5))
 register("tasks_todo", f"WITH {_FILES} SELECT DISTINCT wiki_name, dump_date FROM files WHERE (wiki_name, dump_date) NOT IN (SELECT (wiki_name, dump_date) FROM files WHERE \"table\" = 'P')")(lambda s, d: checks.todo(_files(s, d), _files(s, d).filter("table = 'P'")))
+register("tasks_enqueue", f"""WITH {_FILES}, todo AS (SELECT DISTINCT wiki_name, dump_date FROM files WHERE (wiki_name, dump_date) NOT IN (SELECT (wiki_name, dump_date) FROM files WHERE "table" = 'P'))
+SELECT wiki_name, dump_date, CASE WHEN dump_date = (SELECT max(dump_date) FROM todo) THEN '1-URGENT,2-HIGH,3-MEDIUM,4-NOT SPECIFIED,5-LOW'
+  ELSE (SELECT string_agg(u.wiki_name, ',' ORDER BY u.wiki_name) FROM todo u WHERE u.dump_date = t.dump_date) END AS required FROM todo t""")(
+    lambda s, d: checks.enqueue(checks.todo(_files(s, d), _files(s, d).filter("table = 'P'")), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).withColumn("required", F.array_join("required", ","))
+)
+register("unprocessed_wikis", "SELECT DISTINCT o_orderpriority AS wiki_name, o_custkey % 200 AS dump_date FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (FROM orders p WHERE p.o_orderstatus = 'F' AND p.o_totalprice > 150000 AND p.o_orderpriority = o.o_orderpriority AND p.o_custkey % 200 = o.o_custkey % 200)")(
+    lambda s, d: checks.unprocessed(table(s, d, "orders").select(F.col("o_orderpriority").alias("wiki_name"), (F.col("o_custkey") % 200).alias("dump_date"), F.when(F.col("o_orderstatus") == "O", "download").when(F.col("o_orderstatus") == "F", "store").alias("kind"), (F.col("o_totalprice") - 150000).alias("size")))
+)
+register("missing_blocks", f"WITH {SNAPSHOT_SQL} SELECT DISTINCT dump_date FROM snapshot WHERE value IS NULL")(lambda s, d: checks.without_block(snapshots(s, d), "value"))
+register("wiki_lists_merged", f"WITH {_FILES} SELECT dump_date, string_agg(DISTINCT wiki_name, ',' ORDER BY wiki_name) AS wikis FROM files WHERE \"table\" IN ('F', 'O') GROUP BY 1")(
+    lambda s, d: _files(s, d).filter("table IN ('F', 'O')").groupBy("dump_date").agg(*(F.collect_set(F.when(F.col("table") == t, F.col("wiki_name"))).alias(t) for t in "FO")).select("dump_date", F.array_join(F.sort_array(scalars.merge_lists(F.col("F"), F.col("O"))), ",").alias("wikis"))
+)
 register("task_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")(lambda s, d: checks.latest(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"))
 
 
@@ -320,6 +344,10 @@ register("size_parse", """SELECT p_partkey, floor(CASE p_partkey % 5 WHEN 0 THEN
     lambda s, d: table(s, d, "part").select("p_partkey", scalars.parse_size(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, [" b", " KB", " MB", ".5 GB", "XB"])), (F.col("p_partkey") % 5 + 1).cast("int")))).cast("double").alias("bytes"))
 )
 register("utf_lengths", "SELECT doc_id, length(text) AS characters, strlen(text) AS bytes FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", scalars.length_characters(F.col("text")).cast("bigint").alias("characters"), scalars.length_bytes(F.col("text")).cast("bigint").alias("bytes")))
+register("chunk_split", "SELECT p_partkey, chunk::INTEGER AS chunk, count(*)::INTEGER AS n, min(j)::INTEGER AS low, max(j)::INTEGER AS high FROM (SELECT p_partkey, j, ntile(4) OVER (PARTITION BY p_partkey ORDER BY j) AS chunk FROM part, LATERAL (SELECT unnest(range(1, p_size + 1)) AS j)) GROUP BY 1, 2")(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(scalars.chunks(F.sequence(F.lit(1), F.col("p_size").cast("int")), 4)).alias("i", "part")).filter(F.size("part") > 0).select("p_partkey", (F.col("i") + 1).alias("chunk"), F.size("part").alias("n"), F.array_min("part").alias("low"), F.array_max("part").alias("high"))
+)
+register("sample_window", "SELECT event_type, count(*) AS n FROM events WHERE hour(ts) >= 2 AND hour(ts) < 6 GROUP BY 1")(lambda s, d: table(s, d, "events").filter(scalars.within_hours(F.col("ts"), 2, 6)).groupBy("event_type").agg(F.count("*").alias("n")))
 register("percentages", "SELECT p_partkey, round(p_size / nullif(p_size % 4, 0)::DOUBLE * 100, 2) AS share FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", scalars.percentage(F.col("p_size"), F.col("p_size") % 4).alias("share")))
 register("node_sizes", "SELECT page_id, round(least(150, greatest(15, sqrt(5 * n))), 6) AS size FROM (SELECT l_partkey AS page_id, count(*) AS n FROM lineitem GROUP BY 1)")(lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("page_id")).agg(F.count("*").alias("n")).select("page_id", F.round(scalars.node_size(F.col("n")), 6).alias("size")))
 register("html_links", "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) AS href FROM pages) GROUP BY ALL")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(files.href_links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n")))

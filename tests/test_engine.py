@@ -246,3 +246,39 @@ def test_streaming_reads_files_once(spark, tmp_path):
     (tmp_path / "inbox" / "b.sql").write_text(PAGE.replace("(1,0,", "(2,0,"))
     streams.ingest_pages(spark, inbox, store, state, wiki_name="w").awaitTermination(60)
     assert rows(spark.read.parquet(store).select("page_id")) == [(1,), (2,)]
+
+
+def test_small_relations(spark):
+    dumps = spark.createDataFrame([("a", "20240901"), ("b", "20240901"), ("a", "20241001"), ("c", None)], "wiki_name string, dump_date string")
+    assert rows(checks.enqueue(dumps, ["a", "b"])) == [("a", "20240901", ["a", "b"]), ("a", "20241001", ["a", "b"]), ("b", "20240901", ["a", "b"])]
+    assert rows(checks.enqueue(dumps.limit(0), ["a"])) == []
+    kinds = spark.createDataFrame([("a", 1, "download", 5), ("a", 1, "store", 0), ("b", 1, "download", 5), ("b", 1, "store", 9), ("c", 1, "store", 9)], "wiki_name string, dump_date int, kind string, size int")
+    assert rows(checks.unprocessed(kinds)) == [("a", 1)]
+    paths = spark.createDataFrame([([1, 2, 9],), ([1],)], "path array<bigint>")
+    titles = spark.createDataFrame([(1, "A"), (2, "B")], "page_id bigint, page_title string")
+    assert sorted(map(tuple, graph.path_titles(paths, titles).select("path", "titles").collect())) == [([1], ["A"]), ([1, 2, 9], ["A", "B", None])]
+
+
+def test_walk_up(spark):
+    edges = spark.createDataFrame([(3, 2), (3, 4), (2, 3), (4, 1), (5, 6), (6, 5)], "src bigint, dst bigint")
+    starts = spark.createDataFrame([(3,), (4,), (5,), (1,), (9,)], "page_id bigint")
+    assert rows(graph.walk_up(edges, starts, 1)) == [(1, [1], True), (3, [3, 2], False), (4, [4, 1], True), (5, [5, 6], False), (9, [9], False)]
+
+
+def test_arrays_and_maps(spark):
+    def value(column):
+        return spark.range(1).select(column.alias("x")).first()[0]
+
+    numbers = F.array(*map(F.lit, range(7)))
+    assert value(scalars.chunks(numbers, 3)) == [[0, 1, 2], [3, 4], [5, 6]]
+    assert value(scalars.chunks(F.array(F.lit(1)), 3)) == [[1], [], []]
+    assert value(scalars.inner(numbers)) == [1, 2, 3, 4, 5] and value(scalars.inner(F.array(F.lit(1)))) == []
+    assert value(scalars.second_last(numbers)) == 5 and value(scalars.second_last(F.array(F.lit(1)))) is None
+    assert value(scalars.merge_lists(numbers, F.array(F.lit(9), F.lit(0)))) == [*range(7), 9]
+    left, right = (F.create_map(*map(F.lit, x)) for x in (["a", 1, "b", 2], ["b", 3, "c", 4]))
+    assert value(scalars.merge_maps(left, right)) == {"a": 1, "b": 3, "c": 4}
+    nested = scalars.merge_maps(F.create_map(F.lit("k"), left), F.create_map(F.lit("k"), right), depth=2)
+    assert value(nested) == {"k": {"a": 1, "b": 3, "c": 4}}
+    assert value(scalars.is_schedule(F.lit(" 0 3  * * 1 "))) and not value(scalars.is_schedule(F.lit("0 3 * *")))
+    at = F.lit("2024-09-01 06:00:00").cast("timestamp")
+    assert value(scalars.within_hours(at, 6, 7)) and not value(scalars.within_hours(at, 2, 6)) and not value(scalars.within_hours(at, None, 7))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, warc
+from . import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, vector_codes, warc
 from .common import fresh_path, table
 from .token_counts import count_tokens
 
@@ -71,6 +71,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(spark, path)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -82,9 +86,11 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_output": op10_token_output,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op8_topk_search": sql.topk_sql(k=10, scale=1024, every=100),
     "op9_source_mixing": sql.mix_sql(**MIX, rounds=source_mixing.ROUNDS),
+    "op13_vector_codes": sql.codes_sql(parts=vector_codes.PARTS, entries=vector_codes.ENTRIES, rounds=vector_codes.ROUNDS, scale=1024),
 }

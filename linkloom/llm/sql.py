@@ -69,3 +69,36 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}"""
+
+
+def codes_sql(parts: int, entries: int, rounds: int, scale: int, rows: str = "embeddings") -> str:
+    """Product codes by plain Lloyd rounds: every part meets every entry of its codebook in each round."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM {rows}
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"""parts AS MATERIALIZED (
+  SELECT rid, p::INTEGER AS part, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) r(p))""",
+        f"""book0 AS MATERIALIZED (
+  SELECT part, place AS entry, v FROM parts JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS place FROM kept) USING (rid) WHERE place < {entries})""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT rid, part, entry, distance FROM (
+    SELECT rid, p.part, entry, distance, row_number() OVER (PARTITION BY rid, p.part ORDER BY distance, entry) AS place FROM (
+      SELECT rid, p.part, entry, list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v) AS distance FROM parts p JOIN book{k} b ON p.part = b.part) p)
+  WHERE place = 1)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+  SELECT part, entry, list(value ORDER BY i) AS v FROM (
+    SELECT n.part, entry, i, floor(sum(x) / count(*)) AS value FROM near{k} n JOIN (SELECT rid, part, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM parts) USING (rid, part) GROUP BY n.part, entry, i)
+  GROUP BY part, entry)""")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry)")
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f""",
+digest AS (SELECT sha256(string_agg(list_aggregate(list_transform(v, lambda x: x::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (SELECT rid, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error FROM near{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (rid), digest"""
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_output, topk_search, vector_codes, warc
+from . import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, source_mixing, sql, token_alignment, token_output, topk_search, toxicity, vector_codes, warc
 from .common import fresh_path, table
 from .token_counts import count_tokens
 
@@ -71,6 +71,16 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(spark, path)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").decode(), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).selectExpr("doc_id as id", "toxic as label")
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels).withColumn("held_out", held_out)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +96,8 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_output": op10_token_output,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_vector_codes": op13_vector_codes,
 }
 

@@ -1,33 +1,23 @@
-"""Traversals of the link graph: breadth-first reach, shortest paths, components, communities.
+"""Traversals of the link graph: breadth-first reach, shortest paths, components.
 
-Edges are (src, dst). Traversals advance level by level over the edge table.
-Graphs of at most SMALL_EDGES edges (counted first) are walked in memory on
-the driver instead, where a level costs microseconds; both ways give the same rows.
+Edges are (src, dst). Every traversal advances level by level as joins of
+DataFrames whose state is checkpointed in the shared folder; the driver sees
+counts of rows only, and the one path or pair that a caller asks for.
 """
 
 from __future__ import annotations
 
 import functools
-import tempfile
+import json
 from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_EDGES = 500_000
+from .tables import cut, cut_counting
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; one of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkloom-"))
-    return df.checkpoint()
+#: Sources that share one bitmask; the sign bit stays free.
+LANE = 63
 
 
 def edges_of(link: DataFrame, *, undirected: bool = False) -> DataFrame:
@@ -35,68 +25,73 @@ def edges_of(link: DataFrame, *, undirected: bool = False) -> DataFrame:
     return rows.union(rows.select("dst", "src")).distinct() if undirected else rows
 
 
-def _arrays(edges: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sources and targets of a graph of at most ``limit`` edges, else None."""
-    found = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).limit(limit + 1).toArrow()
-    if found.num_rows > limit:
-        return None
-    return found.column(0).to_numpy(), found.column(1).to_numpy()
+def _long(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
 
 
-def _walk(src: np.ndarray, dst: np.ndarray, start: int, max_depth: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, depth, parent) in order of discovery; edges are sorted by source."""
-    nodes, depths, parents = [np.array([start])], [np.array([0])], [np.array([-1])]
-    seen, frontier, depth = np.array([start]), np.array([start]), 0
-    while len(frontier) and (max_depth is None or depth < max_depth):
-        depth += 1
-        first, last = np.searchsorted(src, frontier, "left"), np.searchsorted(src, frontier, "right")
-        counts = last - first
-        places = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        target, parent = dst[places], np.repeat(frontier, counts)
-        fresh = ~np.isin(target, seen)
-        order = np.lexsort((parent[fresh], target[fresh]))
-        target, at = np.unique(target[fresh][order], return_index=True)
-        frontier = target
-        if len(target):
-            nodes.append(target)
-            depths.append(np.full(len(target), depth))
-            parents.append(parent[fresh][order][at])
-            seen = np.concatenate([seen, target])
-    return np.concatenate(nodes), np.concatenate(depths), np.concatenate(parents)
-
-
-def bfs(edges: DataFrame, sources: list[int], *, max_depth: int | None = None, small: int = SMALL_EDGES) -> DataFrame:
-    """(source_id, page_id, depth, previous_id) of all nodes reached from each source.
+def levels(edges: DataFrame, sources: list[int], *, max_depth: int | None = None) -> DataFrame:
+    """(page_id, lane, depth, fresh): which sources reach a page for the first time at which depth.
 
-    The source has depth 0 and no previous node; of equally near parents the
-    smallest counts. All sources advance together, one join a level.
+    Sources are numbered in the given order; bit i of ``fresh`` in lane l is
+    source 63 l + i. All sources share each scan of the edges: a level is one
+    join and one bitwise sum, whatever their number.
     """
-    spark = edges.sparkSession
-    if small and (arrays := _arrays(edges, small)) is not None:
-        order = np.argsort(arrays[0], kind="stable")
-        src, dst = arrays[0][order], arrays[1][order]
-        parts = [(s, *_walk(src, dst, s, max_depth)) for s in sources]
-        columns = [
-            pa.array(np.concatenate([np.full(len(n), s) for s, n, _, _ in parts] or [np.zeros(0)]).astype(np.int64)),
-            pa.array(np.concatenate([n for _, n, _, _ in parts] or [np.zeros(0)]).astype(np.int64)),
-            pa.array(np.concatenate([d for _, _, d, _ in parts] or [np.zeros(0)]).astype(np.int32)),
-        ]
-        parent = np.concatenate([p for _, _, _, p in parts] or [np.zeros(0)]).astype(np.int64)
-        columns.append(pa.array(parent, mask=np.asarray(columns[2]) == 0))
-        return spark.createDataFrame(pa.table(columns, names=["source_id", "page_id", "depth", "previous_id"]))
-    edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).repartition("src").cache()
-    frontier = cut(spark.createDataFrame([(s, s, 0, None) for s in sources], "source_id bigint, page_id bigint, depth int, previous_id bigint"))
-    visited, depth = frontier, 0
+    spark, edges = edges.sparkSession, _long(edges).persist()
+    start = [(int(s), i // LANE, 1 << i % LANE) for i, s in enumerate(sources)]
+    rows = spark.createDataFrame(start, "page_id bigint, lane int, seen bigint").groupBy("page_id", "lane").agg(F.bit_or("seen").alias("seen"))
+    state, depth = cut(rows.withColumn("fresh", F.col("seen"))), 0
+    found = [state.select("page_id", "lane", F.lit(0).alias("depth"), "fresh")]
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(edges, F.col("page_id") == F.col("src")).groupBy("source_id", "dst").agg(F.min("page_id").alias("previous_id"))
-        step = step.select("source_id", F.col("dst").alias("page_id"), F.lit(depth).alias("depth"), "previous_id")
-        frontier = cut(step.join(visited.select("source_id", "page_id"), ["source_id", "page_id"], "left_anti").select("source_id", "page_id", "depth", "previous_id"))
-        if frontier.isEmpty():
+        got = state.filter("fresh != 0").join(edges, F.col("page_id") == F.col("src")).select(F.col("dst").alias("page_id"), "lane", F.lit(0).cast("bigint").alias("seen"), F.col("fresh").alias("got"))
+        both = state.select("page_id", "lane", "seen", F.lit(0).cast("bigint").alias("got")).union(got).groupBy("page_id", "lane").agg(F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got"))
+        fresh = F.col("got").bitwiseAND(F.bitwise_not("seen"))
+        state, counted = cut_counting(both.select("page_id", "lane", F.col("seen").bitwiseOR(F.col("got")).alias("seen"), fresh.alias("fresh")), fresh=F.col("fresh") != 0)
+        if not counted["fresh"]:
             break
-        visited = cut(visited.union(frontier)) if depth % 8 == 0 else visited.union(frontier)
+        found.append(state.filter("fresh != 0").select("page_id", "lane", F.lit(depth).alias("depth"), "fresh"))
     edges.unpersist()
-    return visited
+    return functools.reduce(DataFrame.union, found)
+
+
+def _each_source(rows: DataFrame, sources: list[int], bits: str = "fresh") -> DataFrame:
+    """``rows`` once for every source whose bit is set, as source_id instead of lane and bits."""
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(LANE - 1)), lambda i: F.getbit(F.col(bits), i) == 1)
+    names = F.array(*(F.lit(int(s)).cast("bigint") for s in sources))
+    kept = [c for c in rows.columns if c not in ("lane", bits)]
+    return rows.select(*kept, "lane", F.explode(numbers).alias("_bit")).select(F.get(names, F.col("lane") * LANE + F.col("_bit")).alias("source_id"), *kept)
+
+
+def reached(edges: DataFrame, sources: list[int], *, max_depth: int | None = None) -> DataFrame:
+    """(source_id, page_id, depth) of all nodes reached from each source; the source itself has depth 0."""
+    return _each_source(levels(edges, sources, max_depth=max_depth), sources)
+
+
+def bfs(edges: DataFrame, sources: list[int], *, max_depth: int | None = None) -> DataFrame:
+    """(source_id, page_id, depth, previous_id) of all nodes reached from each source.
+
+    The source has depth 0 and no previous node; of equally near parents the
+    smallest counts. Parents are found by one more join over the edges, once
+    all depths are known.
+    """
+    spark = edges.sparkSession
+    found = cut(levels(edges, sources, max_depth=max_depth))
+    above = found.select(F.col("page_id").alias("src"), "lane", (F.col("depth") + 1).alias("depth"), F.col("fresh").alias("_above"))
+    below = found.select(F.col("page_id").alias("dst"), "lane", "depth", F.col("fresh").alias("_below"))
+    shared = F.col("_above").bitwiseAND(F.col("_below"))
+    steps = _long(edges).join(above, "src").join(below, ["dst", "lane", "depth"]).select("src", "dst", "lane", "depth", shared.alias("shared")).filter("shared != 0")
+    tree = _each_source(steps, sources, "shared").groupBy("source_id", F.col("dst").alias("page_id"), "depth").agg(F.min("src").alias("previous_id"))
+    roots = spark.createDataFrame([(int(s), int(s), 0, None) for s in dict.fromkeys(sources)], "source_id bigint, page_id bigint, depth int, previous_id bigint")
+    return roots.union(tree.select("source_id", "page_id", "depth", "previous_id"))
+
+
+def histograms(edges: DataFrame, sources: list[int], *, max_depth: int | None = None) -> DataFrame:
+    """(source_id, depth, n): nodes first reached at each depth from 1 on, counted from the bitmasks without naming a node."""
+    bits = [F.sum(F.getbit("fresh", F.lit(i)).cast("bigint")) for i in range(LANE)]
+    counted = levels(edges, sources, max_depth=max_depth).filter("depth > 0").groupBy("lane", "depth").agg(F.array(*bits).alias("counts"))
+    names = F.array(*(F.lit(int(s)).cast("bigint") for s in sources))
+    each = counted.select("lane", "depth", F.posexplode("counts").alias("bit", "n")).filter("n > 0")
+    return each.select(F.get(names, F.col("lane") * LANE + F.col("bit")).alias("source_id"), "depth", "n")
 
 
 def histogram(reached: DataFrame) -> DataFrame:
@@ -118,66 +113,172 @@ def path_to(tree: DataFrame, source: int, target: int) -> list[int]:
     return path[::-1]
 
 
-def shortest_paths(edges: DataFrame, start: int, end: int, *, max_paths: int = 10_000) -> DataFrame:
-    """All shortest paths as arrays of ids (column path); [start] if both are the same.
-
-    Two searches meet in the middle: each round expands the side whose
-    frontier has strictly fewer edges (the backward one if equal), keeping all parents. The
-    last progress record is what ``shortest_path_stream`` yields at the end.
+class Meeting:
+    """A bidirectional search: the levels of both sides, and where they met."""
+
+    def __init__(self, edges: DataFrame, start: int, end: int):
+        self.edges, self.start, self.end = _long(edges).persist(), int(start), int(end)
+        spark = edges.sparkSession
+        self.sides = {back: [cut(spark.createDataFrame([(node,)], "page_id bigint"))] for back, node in ((False, self.start), (True, self.end))}
+        self.met: DataFrame | None = self.sides[False][0] if self.start == self.end else None
+        self.visited = 0
+
+    def _ends(self, back: bool) -> tuple[Column, Column]:
+        return (F.col("dst"), F.col("src")) if back else (F.col("src"), F.col("dst"))
+
+    def progress(self) -> Iterator[dict]:
+        """A record {visited} for each level, until the sides meet or one of them ends.
+
+        Each round expands the side whose frontier has strictly fewer edges
+        (the backward one if equal).
+        """
+        pending: dict[bool, int | None] = {False: None, True: None}
+        size = {False: 1, True: 1}
+        while self.met is None and size[False] and size[True]:
+            for back in self.sides:
+                if pending[back] is None:
+                    near, _ = self._ends(back)
+                    pending[back] = self.edges.join(self.sides[back][-1], near == F.col("page_id"), "left_semi").count()
+            back = not pending[False] < pending[True]
+            near, far = self._ends(back)
+            frontier, known = self.sides[back][-1], functools.reduce(DataFrame.union, self.sides[back])
+            other = self.sides[not back][-1].withColumn("_met", F.lit(True))
+            step = self.edges.join(frontier, near == F.col("page_id"), "left_semi").select(far.alias("page_id")).distinct().join(known, "page_id", "left_anti")
+            fresh, counted = cut_counting(step.join(other, "page_id", "left"), n=F.lit(True), met=F.col("_met"))
+            self.sides[back].append(fresh.select("page_id"))
+            self.visited += size[back]
+            size[back], pending[back] = counted["n"], None
+            if counted["met"]:
+                self.met = fresh.filter("_met").select("page_id")
+            yield {"visited": self.visited}
+
+    def dag(self) -> DataFrame:
+        """(src, dst, place): the edges of all shortest paths, with the number of steps before them; none if the sides never met."""
+        parts = [self.edges.select("src", "dst", F.lit(0).alias("place")).limit(0)]
+        if self.met is not None:
+            length = len(self.sides[False]) - 1
+            for back in self.sides:
+                near, far = self._ends(back)
+                reached_ = self.met
+                for i in range(len(self.sides[back]) - 2, -1, -1):
+                    place = length + len(self.sides[True]) - 2 - i if back else i
+                    step = self.edges.join(self.sides[back][i], near == F.col("page_id"), "left_semi").join(reached_, far == F.col("page_id"), "left_semi")
+                    parts.append(cut(step.select("src", "dst", F.lit(place).alias("place"))))
+                    reached_ = parts[-1].select(near.alias("page_id")).distinct()
+        return functools.reduce(DataFrame.union, parts).distinct()
+
+    def length(self) -> int | None:
+        """Steps of a shortest path, None if there is none."""
+        return None if self.met is None else len(self.sides[False]) + len(self.sides[True]) - 2
+
+
+def meet(edges: DataFrame, start: int, end: int) -> Meeting:
+    """A finished bidirectional search."""
+    found = Meeting(edges, start, end)
+    for _ in found.progress():
+        pass
+    return found
+
+
+def path_counts(dag: DataFrame, start: int, length: int) -> DataFrame:
+    """(page_id, place, n_paths): how many shortest paths lead from the start to each node, summed over the DAG level by level."""
+    now = dag.sparkSession.createDataFrame([(int(start),)], "page_id bigint").withColumn("n_paths", F.lit(1).cast("decimal(38,0)"))
+    parts = [now.select("page_id", F.lit(0).alias("place"), "n_paths")]
+    for place in range(length):
+        step = dag.filter(F.col("place") == place).join(now, F.col("src") == F.col("page_id"))
+        now = cut(step.groupBy(F.col("dst").alias("page_id")).agg(F.sum("n_paths").cast("decimal(38,0)").alias("n_paths")))
+        parts.append(now.select("page_id", F.lit(place + 1).alias("place"), "n_paths"))
+    return functools.reduce(DataFrame.union, parts)
+
+
+def enumerate_paths(dag: DataFrame, start: int, length: int) -> DataFrame:
+    """All paths of a DAG as arrays of ids (column path), extended by one join a level."""
+    paths = dag.sparkSession.createDataFrame([([int(start)],)], "path array<bigint>")
+    for place in range(length):
+        step = dag.filter(F.col("place") == place)
+        paths = paths.join(step, F.element_at("path", -1) == F.col("src")).select(F.concat("path", F.array("dst")).alias("path"))
+    return paths
+
+
+def shortest_paths(edges: DataFrame, start: int, end: int, *, max_paths: int | None = None) -> DataFrame:
+    """All shortest paths as arrays of ids (column path); [start] if both are the same, no row if there is none.
+
+    Two searches meet in the middle; what lies on a shortest path is a DAG over
+    which paths are counted before any of them is written out, so that more
+    than ``max_paths`` of them are refused in time. None sets no bound.
     """
-    found: list[list[int]] = []
-    for record in shortest_path_stream(edges, start, end, max_paths=max_paths):
-        found = record.get("paths", [])
-    return edges.sparkSession.createDataFrame([(p,) for p in found], "path array<bigint>")
+    found = meet(edges, start, end)
+    dag, length = found.dag(), found.length()
+    if length is None:
+        return edges.sparkSession.createDataFrame([], "path array<bigint>")
+    dag = cut(dag)
+    if max_paths is not None and path_total(dag, start, end, length) > max_paths:
+        raise ValueError(f"more than {max_paths} shortest paths")
+    return enumerate_paths(dag, start, length)
 
 
-def shortest_path_stream(edges: DataFrame, start: int, end: int, *, max_paths: int = 10_000) -> Iterator[dict]:
-    """Progress records {visited} of a bidirectional search, the last with paths.
+def path_total(dag: DataFrame, start: int, end: int, length: int) -> int:
+    """The number of shortest paths from start to end."""
+    row = path_counts(dag, start, length).filter((F.col("page_id") == int(end)) & (F.col("place") == length)).select("n_paths").first()
+    return int(row[0]) if row else 0
 
-    Only frontiers come to the driver: a search between two pages visits them
-    level by level, and their edges are fetched by a semi-join each round.
-    """
-    if start == end:
-        yield {"visited": 0, "paths": [[start]]}
-        return
-    forward = edges.select("src", "dst").cache()
-    sides = {False: (forward, "src", "dst"), True: (forward, "dst", "src")}
-    parents: dict[bool, dict[int, set[int]]] = {False: {start: set()}, True: {end: set()}}
-    frontier: dict[bool, set[int]] = {False: {start}, True: {end}}
-    spark, visited, met = edges.sparkSession, 0, set()
-    pending: dict[bool, list[tuple[int, int]] | None] = {False: None, True: None}
-    while not met and frontier[False] and frontier[True]:
-        for back, (table, key, value) in sides.items():
-            if pending[back] is None:
-                ids = spark.createDataFrame([(int(x),) for x in frontier[back]], f"{key} bigint")
-                pending[back] = [(r[0], r[1]) for r in table.join(ids, key, "left_semi").select(key, value).toLocalIterator()]
-        back = not len(pending[False]) < len(pending[True])
-        visited += len(frontier[back])
-        known, fresh = parents[back], {}
-        for a, b in pending[back]:
-            if b not in known:
-                fresh.setdefault(b, set()).add(a)
-        known.update(fresh)
-        frontier[back], pending[back] = set(fresh), None
-        met = frontier[False] & frontier[True]
-        yield {"visited": visited}
-    forward.unpersist()
-
-    def walks(back: bool, node: int) -> Iterator[list[int]]:
-        if not parents[back][node]:
-            yield [node]
-        for parent in sorted(parents[back][node]):
-            for path in walks(back, parent):
-                yield [*path, node]
 
+def shortest_path_stream(edges: DataFrame, start: int, end: int, *, page: DataFrame | None = None, max_paths: int = 10_000) -> Iterator[dict]:
+    """Progress records {visited} of a bidirectional search, one a level, as they come; the last also has paths.
+
+    With ``page`` the last record has titles as well. At most ``max_paths``
+    paths, counted before they are written out, come to the driver.
+    """
+    search = Meeting(edges, start, end)
+    yield from search.progress()
     paths: list[list[int]] = []
-    for middle in sorted(met):
-        for head in walks(False, middle):
-            for tail in walks(True, middle):
-                paths.append([*head, *tail[-2::-1]])
-                if len(paths) > max_paths:
-                    raise ValueError(f"more than {max_paths} shortest paths")
-    yield {"visited": visited, "paths": paths}
+    last: dict = {"visited": search.visited}
+    if (length := search.length()) is not None:
+        dag = cut(search.dag())
+        if path_total(dag, start, end, length) > max_paths:
+            raise ValueError(f"more than {max_paths} shortest paths")
+        rows = enumerate_paths(dag, start, length)
+        if page is None:
+            paths = sorted(r["path"] for r in rows.collect())
+        else:
+            both = sorted((r["path"], r["titles"]) for r in path_titles(rows, page).collect())
+            paths, last["titles"] = [p for p, _ in both], [t for _, t in both]
+    elif page is not None:
+        last["titles"] = []
+    yield last | {"paths": paths}
+
+
+def bfs_stream(edges: DataFrame, start: int, end: int, *, page: DataFrame | None = None, max_depth: int | None = None) -> Iterator[dict]:
+    """Progress records {visited, depth} of a one-sided search, one a level; the last also has the path (ids, or titles with ``page``)."""
+    rows = _long(edges).persist()
+    spark = edges.sparkSession
+    tree = [cut(spark.createDataFrame([(int(start), None)], "page_id bigint, previous_id bigint"))]
+    visited, depth, size, hit = 1, 0, 1, int(start) == int(end)
+    while size and not hit and (max_depth is None or depth < max_depth):
+        depth += 1
+        known = functools.reduce(DataFrame.union, tree).select("page_id")
+        step = rows.join(tree[-1].select("page_id"), F.col("src") == F.col("page_id")).groupBy(F.col("dst").alias("page_id")).agg(F.min("src").alias("previous_id")).join(known, "page_id", "left_anti")
+        fresh, counted = cut_counting(step, n=F.lit(True), hit=F.col("page_id") == int(end))
+        size, hit = counted["n"], bool(counted["hit"])
+        tree.append(fresh)
+        visited += size
+        yield {"visited": visited, "depth": depth}
+    path = [int(end)] if hit else []
+    for level in range(len(tree) - 1, 0, -1) if hit else ():
+        path.append(tree[level].filter(F.col("page_id") == path[-1]).select("previous_id").first()[0])
+    path.reverse()
+    record: dict = {"visited": visited, "depth": depth, "path": path}
+    if page is not None:
+        titles = {r[0]: r[1] for r in page.filter(F.col("page_id").isin(path)).select("page_id", "page_title").collect()}
+        record["titles"] = [titles.get(p) for p in path]
+    rows.unpersist()
+    yield record
+
+
+def ndjson(records: Iterator[dict]) -> Iterator[str]:
+    """Each record as one line of JSON, as soon as it comes."""
+    for record in records:
+        yield json.dumps(record, ensure_ascii=False) + "\n"
 
 
 def path_titles(paths: DataFrame, page: DataFrame) -> DataFrame:
@@ -226,37 +327,32 @@ def path_nodes(paths: DataFrame, link: DataFrame) -> DataFrame:
     return nodes.select("page_id", "depth", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_next", "num_links", "times_linked")))
 
 
-def components(edges: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
-    """(page_id, component) for every end of an edge: the smallest node weakly connected to it."""
-    spark = edges.sparkSession
-    if small and (arrays := _arrays(edges, small)) is not None:
-        nodes, places = np.unique(np.concatenate(arrays), return_inverse=True)
-        a, b = np.split(places, 2)
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[a], label[b])
-            fresh = label.copy()
-            for end in (a, b, label[a], label[b]):
-                np.minimum.at(fresh, end, low)
-            fresh = fresh[fresh]
-            if (fresh == label).all():
-                break
-            label = fresh
-        return spark.createDataFrame(pa.table({"page_id": pa.array(nodes.astype(np.int64)), "component": pa.array(nodes[label].astype(np.int64))}))
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().repartition("src").cache()
-    labels = cut(both.select(F.col("src").alias("page_id")).distinct().withColumn("component", F.col("page_id")))
+def components(edges: DataFrame) -> DataFrame:
+    """(page_id, component) for every end of an edge: the smallest node weakly connected to it.
+
+    Alternating large and small stars: a round links the larger neighbours of a
+    node, then its smaller ones, to the least node around it. Minima are
+    aggregated before they are joined back, so a hub gathers no list. It is
+    over when the links are stars: every child has one parent, and no parent
+    is a child.
+    """
+    rows = _long(edges)
+    nodes = cut(rows.select(F.col("src").alias("page_id")).union(rows.select("dst")).distinct())
+    now = cut(rows.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+
+    def lowest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
     while True:
-        near = both.join(labels, both["dst"] == labels["page_id"]).groupBy("src").agg(F.min("component").alias("low"))
-        hooked = labels.join(near, F.col("page_id") == F.col("src"), "left").select("page_id", F.least("component", F.coalesce("low", "component")).alias("component"))
-        # jump to the label's own label
-        roots = hooked.select(F.col("page_id").alias("root"), F.col("component").alias("root_component"))
-        fresh = cut(hooked.join(roots, F.col("component") == F.col("root")).select("page_id", F.col("root_component").alias("component")))
-        changed = fresh.join(labels.withColumnRenamed("component", "before"), "page_id").filter("component <> before")
-        done, labels = changed.isEmpty(), fresh
-        if done:
+        roles = now.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(now.select("b", F.lit(0), F.lit(1)))
+        each = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if each.filter("child > 1 OR (child = 1 AND parent = 1)").isEmpty():
             break
-    both.unpersist()
-    return labels
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        large = cut(both.join(lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = large.join(lowest(large), "u")
+        now = cut(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select("u", "m")).filter("a <> b").distinct())
+    return nodes.join(now.withColumnRenamed("a", "page_id"), "page_id", "left").select("page_id", F.coalesce("b", "page_id").alias("component"))
 
 
 def pruned_components(labels: DataFrame, page: DataFrame) -> DataFrame:
@@ -284,33 +380,6 @@ def ego(link: DataFrame, start: int, *, depth: int = 2, neighbours: int = 10) ->
     return nodes, edges
 
 
-def communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """(page_id, community) by label propagation over the undirected graph.
-
-    Every node takes the label most of its neighbours have, the smallest of
-    equals; its own label counts once, which settles two-sided swaps.
-    """
-    both = edges.filter("src <> dst").select("src", "dst").union(edges.filter("src <> dst").select("dst", "src")).distinct().cache()
-    labels = both.select(F.col("src").alias("page_id")).distinct().withColumn("community", F.col("page_id"))
-    for _ in range(rounds):
-        votes = both.join(labels, both["dst"] == labels["page_id"]).select(F.col("src").alias("page_id"), "community").union(labels)
-        counted = votes.groupBy("page_id", "community").agg(F.count("*").alias("n"))
-        place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "community"))
-        labels = cut(counted.withColumn("place", place).filter("place = 1").select("page_id", "community"))
-    both.unpersist()
-    return labels
-
-
-def modularity(edges: DataFrame, labels: DataFrame) -> float:
-    """Modularity of a partition of the undirected graph."""
-    both = edges.filter("src <> dst").select("src", "dst").union(edges.filter("src <> dst").select("dst", "src")).distinct()
-    a, b = labels.toDF("src", "a"), labels.toDF("dst", "b")
-    rows = both.join(a, "src").join(b, "dst")
-    per = rows.groupBy("a").agg(F.count("*").alias("degree"), F.count_if(F.col("a") == F.col("b")).alias("inside"))
-    found = per.agg(F.sum("degree").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("degree").cast("double") * F.col("degree")).alias("squares")).first()
-    return found["inside"] / found["m"] - found["squares"] / found["m"] ** 2 if found["m"] else 0.0
-
-
 def walk_up(edges: DataFrame, starts: DataFrame, root: int) -> DataFrame:
     """(start_id, path, found): the way from every start (page_id) to ``root`` along edges from a child (src) to its parents (dst).
 

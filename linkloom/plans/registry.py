@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, graph, history, ingest, sampling, serve, stats
+from ..operators import checks, communities, graph, history, ingest, sampling, serve, stats
 from ..sources import files
 from ..streaming import ingest as streams
 from .adapters import PAGE_SQL, SNAPSHOT_SQL, START_SQL, WIKI_SQL, links, orders_graph, pages, snapshots, start_page, table, wiki_links, wiki_pages, with_graph, with_wikis
@@ -178,34 +178,40 @@ tree AS (SELECT page_id, min(depth)::INTEGER AS depth FROM reach GROUP BY 1)"""
 on_graph("bfs_depths", with_graph("""SELECT t.page_id, t.depth, (SELECT min(p.page_id) FROM tree p JOIN link e ON e.page_id = p.page_id WHERE e.page_link = t.page_id AND p.depth = t.depth - 1)::DOUBLE AS previous_id FROM tree t""", START_SQL, _BFS, recursive=True))(
     lambda p, l: graph.bfs(graph.edges_of(l), [start_page(l)]).select("page_id", "depth", F.col("previous_id").cast("double"))
 )
-on_graph("bfs_histogram", with_graph("SELECT depth, count(*) AS n FROM tree WHERE depth > 0 GROUP BY 1", START_SQL, _BFS, recursive=True))(lambda p, l: graph.histogram(graph.bfs(graph.edges_of(l), [start_page(l)])).select("depth", "n"))
-on_graph("bfs_bounded", with_graph("SELECT page_id, depth FROM tree WHERE depth <= 3", START_SQL, _BFS, recursive=True))(lambda p, l: graph.bfs(graph.edges_of(l), [start_page(l)], max_depth=3).select("page_id", "depth"))
+on_graph("bfs_histogram", with_graph("SELECT depth, count(*) AS n FROM tree WHERE depth > 0 GROUP BY 1", START_SQL, _BFS, recursive=True))(lambda p, l: graph.histograms(graph.edges_of(l), [start_page(l)]).select("depth", "n"))
+on_graph("bfs_bounded", with_graph("SELECT page_id, depth FROM tree WHERE depth <= 3", START_SQL, _BFS, recursive=True))(lambda p, l: graph.reached(graph.edges_of(l), [start_page(l)], max_depth=3).select("page_id", "depth"))
 on_graph("bfs_undirected", with_graph("SELECT page_id, min(depth)::INTEGER AS depth FROM reach GROUP BY 1", START_SQL, "both_ways AS (SELECT page_id, page_link FROM link UNION SELECT page_link, page_id FROM link)",
     "reach(page_id, depth) AS (SELECT page_id, 0 FROM start UNION SELECT e.page_link, depth + 1 FROM reach r JOIN both_ways e ON r.page_id = e.page_id WHERE depth < 25)", recursive=True))(
-    lambda p, l: graph.bfs(graph.edges_of(l, undirected=True), [start_page(l)], max_depth=25).select("page_id", "depth")
+    lambda p, l: graph.reached(graph.edges_of(l, undirected=True), [start_page(l)], max_depth=25).select("page_id", "depth")
 )
-_SOURCES = "sources AS (SELECT page_id FROM (SELECT page_id FROM link GROUP BY 1) ORDER BY md5('0:' || page_id), page_id LIMIT 8)"
-_MULTI = f"""walk(source_id, page_id, depth) AS (SELECT page_id, page_id, 0 FROM sources UNION SELECT source_id, e.page_link, depth + 1 FROM walk w JOIN link e ON w.page_id = e.page_id WHERE depth < {DEPTH}),
-reached AS (SELECT source_id, page_id, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL),
+#: Starts of a sample, as many as the scheduler of statistics asks for.
+STARTS = 200
+_SOURCES = f"sources AS (SELECT page_id FROM (SELECT page_id FROM link GROUP BY 1) ORDER BY md5('0:' || page_id), page_id LIMIT {STARTS})"
+_MULTI = """walk(source_id, page_id, depth) USING KEY (source_id, page_id) AS (SELECT page_id, page_id, 0 FROM sources
+  UNION SELECT w.source_id, e.page_link, w.depth + 1 FROM walk w JOIN link e ON w.page_id = e.page_id ANTI JOIN recurring.walk r ON r.source_id = w.source_id AND r.page_id = e.page_link GROUP BY ALL),
+reached AS (SELECT source_id, page_id, depth FROM walk),
 hist AS (SELECT source_id, depth, count(*) AS n FROM reached WHERE depth > 0 GROUP BY ALL)"""
 _AVERAGE = "average AS (SELECT depth, avg(n / (SELECT count(*) FROM page)::DOUBLE) AS mean, coalesce(stddev_samp(n / (SELECT count(*) FROM page)::DOUBLE), 0) AS std_dev FROM hist GROUP BY 1)"
 
 
+def _starts(link: DataFrame) -> list[int]:
+    return [r[0] for r in sampling.sample_pages(link.select("page_id").distinct(), STARTS).collect()]
+
+
 def _sample(link: DataFrame) -> DataFrame:
     """Breadth-first reach from a sample of sources."""
-    rows = sampling.sample_pages(link.select("page_id").distinct(), 8).collect()
-    return graph.bfs(graph.edges_of(link), [r[0] for r in rows])
+    return graph.reached(graph.edges_of(link), _starts(link))
 
 
 def _average(page: DataFrame, link: DataFrame) -> DataFrame:
-    return sampling.average_histogram(graph.histogram(_sample(link)), page.count())
+    return sampling.average_histogram(graph.histograms(graph.edges_of(link), _starts(link)), page.count())
 
 
-def rounded(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({c: F.round(c, 8) for c in columns})
+def rounded(rows: DataFrame, *columns: str, places: int = 8) -> DataFrame:
+    return rows.withColumns({c: F.round(c, places) for c in columns})
 
 
-on_graph("multi_bfs_hist", with_graph("SELECT * FROM hist", _SOURCES, _MULTI, recursive=True))(lambda p, l: graph.histogram(_sample(l)))
+on_graph("multi_bfs_hist", with_graph("SELECT * FROM hist", _SOURCES, _MULTI, recursive=True))(lambda p, l: graph.histograms(graph.edges_of(l), _starts(l)))
 on_graph("reach_summary", with_graph("SELECT source_id, count(*) FILTER (depth > 0) AS num_visited, max(depth) AS eccentricity, CASE WHEN max(depth) > 0 THEN arg_min(page_id, (-depth, page_id)) END AS deepest FROM reached GROUP BY 1", _SOURCES, _MULTI, recursive=True))(lambda p, l: graph.reach(_sample(l)))
 on_graph("avg_depth_histogram", with_graph("SELECT depth, round(mean, 8) AS mean, round(std_dev, 8) AS std_dev FROM average", _SOURCES, _MULTI, _AVERAGE, recursive=True))(lambda p, l: rounded(_average(p, l), "mean", "std_dev"))
 on_graph("depth_cdf", with_graph("SELECT depth, round(sum(mean) OVER (ORDER BY depth), 8) AS cdf FROM average", _SOURCES, _MULTI, _AVERAGE, recursive=True))(lambda p, l: rounded(sampling.cumulative(_average(p, l)).select("depth", "cdf"), "cdf"))
@@ -218,10 +224,18 @@ FROM (SELECT source_id, n, row_number() OVER (ORDER BY source_id) AS place, coun
 
 def _far_pair(link: DataFrame) -> tuple[int, int]:
     start = start_page(link)
-    row = graph.bfs(graph.edges_of(link), [start], max_depth=6).orderBy(F.desc("depth"), "page_id").first()
+    row = graph.reached(graph.edges_of(link), [start], max_depth=6).orderBy(F.desc("depth"), "page_id").first()
     return start, row["page_id"]
 
 
+def _path_total(link: DataFrame) -> DataFrame:
+    """How many shortest paths there are, without writing one out."""
+    start, end = _far_pair(link)
+    found = graph.meet(graph.edges_of(link), start, end)
+    counts = graph.path_counts(found.dag(), start, found.length())
+    return counts.filter((F.col("page_id") == end) & (F.col("place") == found.length())).select(F.col("n_paths").cast("bigint").alias("n"))
+
+
 _END = "goal AS (SELECT page_id, depth FROM tree WHERE depth <= 6 ORDER BY depth DESC, page_id LIMIT 1)"
 _PATHS = """paths(path, page_id, depth) AS (SELECT [page_id]::BIGINT[], page_id, 0 FROM start UNION ALL
   SELECT list_append(path, t.page_id), t.page_id, t.depth FROM paths p JOIN link e ON e.page_id = p.page_id JOIN tree t ON t.page_id = e.page_link AND t.depth = p.depth + 1 WHERE p.depth < (SELECT depth FROM goal)),
@@ -229,7 +243,8 @@ shortest AS (SELECT path FROM paths WHERE page_id = (SELECT page_id FROM goal))"
 on_graph("shortest_paths_all", with_graph("SELECT list_aggregate(path, 'string_agg', ',') AS path FROM shortest", START_SQL, _BFS, _END, _PATHS, recursive=True))(
     lambda p, l: graph.shortest_paths(graph.edges_of(l), *_far_pair(l)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 )
-on_graph("path_dag", with_graph("SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM shortest, range(1, 20) r(i) WHERE i < len(path)", START_SQL, _BFS, _END, _PATHS, recursive=True))(lambda p, l: graph.path_edges(graph.shortest_paths(graph.edges_of(l), *_far_pair(l))))
+on_graph("path_dag", with_graph("SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM shortest, range(1, 20) r(i) WHERE i < len(path)", START_SQL, _BFS, _END, _PATHS, recursive=True))(lambda p, l: graph.meet(graph.edges_of(l), *_far_pair(l)).dag().select("src", "dst"))
+on_graph("path_total", with_graph("SELECT count(*) AS n FROM shortest", START_SQL, _BFS, _END, _PATHS, recursive=True))(lambda p, l: _path_total(l))
 on_graph("path_nodes", with_graph("""SELECT page_id, depth, (SELECT count(DISTINCT path[depth + 2]) FROM shortest WHERE path[depth + 1] = n.page_id AND depth + 1 < len(path)) AS n_next,
   (SELECT count(*) FROM link e WHERE e.page_id = n.page_id) AS num_links, (SELECT count(*) FROM link e WHERE e.page_link = n.page_id) AS times_linked
 FROM (SELECT path[i] AS page_id, min(i - 1)::INTEGER AS depth FROM shortest, range(1, 20) r(i) WHERE i <= len(path) GROUP BY 1) n""", START_SQL, _BFS, _END, _PATHS, recursive=True))(
@@ -263,7 +278,15 @@ on_graph("category_walk", with_graph("SELECT start_id, array_to_string(arg_max(p
     "walk(start_id, path, page_id) AS (SELECT page_id, [page_id]::BIGINT[], page_id FROM page UNION ALL SELECT start_id, list_append(path, parent), parent FROM walk JOIN up USING (page_id) WHERE page_id <> 1)", recursive=True))(
     lambda p, l: graph.walk_up(graph.edges_of(l).filter("dst < src"), p, 1).withColumn("path", F.array_join("path", ","))
 )
-on_graph("communities")(lambda p, l: graph.communities(graph.edges_of(l), rounds=4))
+on_graph("communities")(lambda p, l: communities.communities(graph.edges_of(l)))
+on_graph("wcc_modularity", with_graph("""SELECT round(sum(inside) / sum(degree) - sum(degree * degree) / pow(sum(degree), 2), 9) AS modularity FROM (
+  SELECT a.component, count(*)::DOUBLE AS degree, (count(*) FILTER (a.component = b.component))::DOUBLE AS inside FROM both_ways e JOIN wcc a ON a.page_id = e.page_id JOIN wcc b ON b.page_id = e.page_link GROUP BY 1)""", _WCC, recursive=True))(
+    lambda p, l: rounded(communities.modularity(graph.edges_of(l), graph.components(graph.edges_of(l))), "modularity", places=9)
+)
+on_graph("wiki_modularity", with_graph("""SELECT round(sum(inside) / sum(degree) - sum(degree * degree) / pow(sum(degree), 2), 9) AS modularity FROM (
+  SELECT a.wiki_name, count(*)::DOUBLE AS degree, (count(*) FILTER (a.wiki_name = b.wiki_name))::DOUBLE AS inside FROM both_ways e JOIN page a ON a.page_id = e.page_id JOIN page b ON b.page_id = e.page_link GROUP BY 1)""", "both_ways AS (SELECT page_id, page_link FROM link UNION SELECT page_link, page_id FROM link)"))(
+    lambda p, l: rounded(communities.modularity(graph.edges_of(l), p.select("page_id", "wiki_name")), "modularity", places=9)
+)
 register("category_subgraph", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), busy AS (SELECT dst AS node FROM e GROUP BY 1 HAVING count(*) > 1)
 SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT node FROM busy) AND dst IN (SELECT node FROM busy)""")(lambda s, d: graph.category_subgraph(table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()))
 

@@ -112,14 +112,13 @@ def test_document_round_trip(spark, hand, tmp_path):
     assert '"local_wiki_sizes":[{"wiki_name":"w","bytes":5}]' in made.first()[0]
 
 
-@pytest.mark.parametrize("small", [graph.SMALL_EDGES, 0])
-def test_hand_bfs(hand, small):
+def test_hand_bfs(hand):
     edges = graph.edges_of(hand[1])
-    found = graph.bfs(edges, [1, 4, 8], small=small).cache()
+    found = graph.bfs(edges, [1, 4, 8]).cache()
     assert rows(graph.histogram(found)) == [(1, 1, 2), (1, 2, 2), (4, 1, 1), (4, 2, 2), (4, 3, 1)]
     assert rows(graph.reach(found).select("source_id", "num_visited", "eccentricity", "deepest").na.fill(-1)) == [(1, 4, 2, 4), (4, 4, 3, 5), (8, 0, 0, -1)]
     assert graph.path_to(found, 4, 5) == [4, 1, 2, 5] and graph.path_to(found, 1, 8) == [8]
-    assert graph.bfs(edges, [1], max_depth=1, small=small).count() == 3
+    assert graph.bfs(edges, [1], max_depth=1).count() == 3
 
 
 def test_hand_paths(hand):
@@ -131,22 +130,13 @@ def test_hand_paths(hand):
         graph.shortest_paths(edges, 1, 4, max_paths=1)
 
 
-@pytest.mark.parametrize("small", [graph.SMALL_EDGES, 0])
-def test_hand_components(hand, small):
+def test_hand_components(hand):
     page, link = hand
-    labels = graph.components(graph.edges_of(link), small=small).cache()
+    labels = graph.components(graph.edges_of(link)).cache()
     assert rows(labels) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6), (9, 6)]
     assert [tuple(r) for r in graph.pruned_components(labels, page).collect()] == [(6, 3, [6, 7, 9])]
 
 
-def test_communities(spark):
-    clique = [(a, b) for group in ([1, 2, 3, 4], [11, 12, 13, 14]) for a in group for b in group if a < b]
-    edges = spark.createDataFrame([*clique, (4, 11)], "src bigint, dst bigint")
-    labels = graph.communities(edges)
-    assert len({r["community"] for r in labels.collect()}) == 2
-    assert graph.modularity(edges, labels) > 0.3
-
-
 def test_sampling(hand):
     found = graph.bfs(graph.edges_of(hand[1]), [1, 6])
     average = sampling.average_histogram(graph.histogram(found), 8)

@@ -198,11 +198,11 @@ def _byte_lists(data) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(numbers), mask=none)
 
 
-def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, pattern: str) -> pa.Table:
+def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, pattern: str, most: int) -> pa.Table:
     """Frequent words (word) with the text of their ids (ids), their decoded bytes (decoded) and their number of ids (n).
 
     They are counted in SAMPLE_DOCS documents at most (all, if there are no
-    more) and folded like any other word. At most MAX_FREQUENT words of
+    more) and folded like any other word. At most ``most`` words of
     FREQUENT_BYTES bytes reach the driver and travel with the tasks. They only
     spare partitions the fold of these words; results are the same without them.
     """
@@ -229,7 +229,7 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
             yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists([x.as_py().encode() for x in batch.column(0)])], names=["word", "data"])
 
     counted = staged(sample.mapInArrow(lean(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
-    least, room = 1, MAX_FREQUENT
+    least, room = 1, most
     for times, words in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
         room -= words
         if room < 0:
@@ -241,7 +241,7 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
     return folded.select("word", joined.alias("ids"), decode_ids(F.col("ids"), ranks).alias("decoded"), F.size("ids").alias("n")).toArrow()
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN, with_ids: bool = False, max_frequent: int = MAX_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (and ids with ``with_ids``).
 
     Every match of ``pattern`` is encoded by itself; a match that is a token
@@ -249,14 +249,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
     commas, decoded_sha256 that of the bytes that the ids decode to. Null and
     empty texts have no ids. Repeated rows and null ids are kept, other columns
     are ignored, an empty table gives an empty table. Memory is bounded by one
-    dictionary of MAX_WORDS words and one Arrow batch.
+    dictionary of MAX_WORDS words and one Arrow batch; ``max_frequent`` words are
+    held by the driver, fewer of them cost time and change no result.
     """
     if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) + 1 >= RankMap.SPAN:
         raise ValueError("all single bytes need a rank, and ranks are below 2 ** 17 - 1")
     kind = docs.schema[id_col].dataType.simpleString()
 
     rank_map = RankMap.of(ranks)
-    frequent = _frequent(docs.select(text_col), ranks, rank_map, pattern)
+    frequent = _frequent(docs.select(text_col), ranks, rank_map, pattern, max_frequent)
     ahead = frequent.num_rows
     give_back()
 

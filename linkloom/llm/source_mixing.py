@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, staged
+from .common import WORD, staged
 from .simhash import ROW_HASH, row_hash
 
 #: Rounds that the SQL of the same mix spells out; here they go on until nothing fits.
@@ -169,7 +169,7 @@ def _mixed(
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     per = source_targets(rows.select("source", "size"), weights, share, cap).withColumn("copies", copies)
     per = per.withColumn("gap", F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("bigint"))
-    state = cut(inclusion(rows, per).withColumn("gap0", F.coalesce("rest", F.lit(0).cast("bigint"))))
+    state = staged(inclusion(rows, per).withColumn("gap0", F.coalesce("rest", F.lit(0).cast("bigint"))), "mix-state")
     chance = F.col("scale") * F.col("x")
     rank = F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(chance, 1 - chance))
     fine = F.floor(rank / (rank + 1) * (1 << BIN_BITS)).cast("bigint")
@@ -188,7 +188,7 @@ def _mixed(
             break
         fresh = _cuts(fitting).select("source", F.col("bin").alias(f"bin{k}"), F.col("cut").alias(f"cut{k}"), "used")
         # a source that fits whole has nothing left to fill
-        state = cut(_with(state, fresh).withColumn(f"gap{k + 1}", F.coalesce(F.col(f"gap{k}") - F.col("used"), F.lit(0).cast("bigint"))).drop("used"))
+        state = staged(_with(state, fresh).withColumn(f"gap{k + 1}", F.coalesce(F.col(f"gap{k}") - F.col("used"), F.lit(0).cast("bigint"))).drop("used"), "mix-state")
         open_ = _with(fitting, state.select("source", f"gap{k}", f"bin{k}", f"cut{k}"), "inner").filter(~taken_in(k)).select("source", "size", "rank", "fine", "x", "above")
         k += 1
     here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)

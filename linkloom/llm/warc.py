@@ -28,6 +28,8 @@ BREAKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Of the first, those that a slash at the end of their tag closes: foreign elements.
+SELF_CLOSING = frozenset(["svg"])
 _NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 # a tag's end and its attributes; a capturing group within a possessive one is beyond the re module
 _TAG = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))*+>""")
@@ -73,7 +75,7 @@ def extract(page: str) -> tuple[str, str, list[str]]:
             continue
         at, kind = _tag_end(page, start), name[2].lower()
         if not name[1]:
-            if kind in _ENDS:
+            if kind in _ENDS and not (kind in SELF_CLOSING and page[at - 2 : at] == "/>"):
                 end = _ENDS[kind].search(page, at)
                 if kind == "title" and not title:
                     title = " ".join(entities.unescape(page[at : end.start() if end else len(page)]).split())
@@ -102,36 +104,96 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, gzip members or plain.
+#: Compressed bytes that are unpacked at once, and bytes of blocks that make a batch of responses.
+STEP, BATCH_BYTES = 1 << 16, 16 << 20
+
+
+def _plain_parts(data: bytes) -> Iterator[bytes]:
+    """The content of gzip members one after the other, or ``data`` itself.
+
+    A view moves over the compressed bytes, so time goes with their number, however many members there are.
+    A damaged member ends the file after what was unpacked before.
+    """
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            step = view[at : at + STEP]
+            try:
+                yield member.decompress(step)
+            except zlib.error:
+                return
+            at += len(step) - len(member.unused_data)
+
+
+class Headers(list):
+    """(name, value) of each header in order, names in lower case, repeated ones too; a name looks up its first value."""
+
+    def __getitem__(self, name):
+        if isinstance(name, str):
+            return next(v for k, v in self if k == name)
+        return super().__getitem__(name)
+
+    def get(self, name: str, default: str = "") -> str:
+        return next((v for k, v in self if k == name), default)
+
+    @classmethod
+    def of(cls, head: str) -> Headers:
+        """Of a record's head; a line that begins with white space goes on with the one before."""
+        found = cls()
+        for line in head.split("\r\n")[1:]:
+            if line[:1] in (" ", "\t") and found:
+                found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}".strip())
+            elif line:
+                name, _, value = line.partition(":")
+                found.append((name.strip().lower(), value.strip()))
+        return found
+
+
+def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """(headers in order, block) of each record, gzip members or plain.
 
     A record without a numeric Content-Length is passed over, a damaged gzip
     member ends the file, and of a truncated one the records that are whole
-    and the rest of the last block are read.
+    and the rest of the last block are read. Of the unpacked file only the
+    record at hand is held.
     """
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            plain = member.decompress(data)
-        except zlib.error:
-            return
-        data = member.unused_data
-        yield from read_records(plain)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", start)
-        if stop < 0:
-            return
-        headers = {}
-        for line in data[start:stop].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
-        if not headers.get("content-length", "").isdecimal():
+    parts, held, at, ended = _plain_parts(data), bytearray(), 0, False
+
+    def more() -> bool:
+        nonlocal ended, at
+        if at:
+            del held[:at]
+            at = 0
+        part = next(parts, None)
+        ended = part is None
+        held.extend(part or b"")
+        return not ended
+
+    while True:
+        while (start := held.find(b"WARC/", at)) < 0:
+            at = max(at, len(held) - 4)
+            if not more():
+                return
+        at = start
+        seen = start
+        while (stop := held.find(b"\r\n\r\n", max(seen, at))) < 0:
+            seen = len(held) - 3 - at
+            if not more():
+                return
+        headers = Headers.of(bytes(held[at:stop]).decode("utf-8", "replace"))
+        size = headers.get("content-length")
+        if not size.isdecimal():
             at = stop + 4
             continue
-        size = int(headers["content-length"])
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        at, need = stop + 4, int(size)
+        while len(held) - at < need and more():
+            pass
+        yield headers, bytes(held[at : at + need])
+        at = min(at + need, len(held))
 
 
 def split_http(block: bytes) -> tuple[str, bytes]:
@@ -222,12 +284,23 @@ def responses_from_warc(spark: SparkSession, path: str) -> DataFrame:
     empty one, gives no rows; absent headers are empty, repeated records repeat.
     """
 
+    def packed(rows):
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "uri", "date", "http", "payload", "source"])
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = [(h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", ""), *split_http(b), "\n".join(f"{k}: {v}" for k, v in h.items())) for h, b in read_records(content.as_py()) if h.get("warc-type") == "response"]
-                kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "uri", "date", "http", "payload", "source"])
+                rows, size = [], 0
+                for headers, block in read_records(content.as_py()):
+                    if headers.get("warc-type") != "response":
+                        continue
+                    rows.append((*(headers.get(n) for n in ("warc-record-id", "warc-target-uri", "warc-date")), *split_http(block), "\n".join(f"{k}: {v}" for k, v in headers)))
+                    size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                yield packed(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "key string, uri string, date string, http string, payload binary, source string")

@@ -17,6 +17,22 @@ def average_histogram(hist: DataFrame, num_pages: int) -> DataFrame:
     return hist.groupBy("depth").agg(F.avg(share).alias("mean"), F.coalesce(F.stddev_samp(share), F.lit(0.0)).alias("std_dev"))
 
 
+def sweep(hist: DataFrame, order: DataFrame, sizes: list[int], num_pages: int) -> DataFrame:
+    """(size, depth, mean, n_samples): the average histogram of nested samples, all sizes in one pass.
+
+    ``order`` (source_id, place) puts the sources of ``hist`` in a seeded
+    order; the sample of a size is its first sources. Sums run along the order
+    once per depth and are read off at each size. A depth that no source of a
+    sample reaches has no row; a size beyond the sources means all of them.
+    """
+    along = Window.partitionBy("depth").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = hist.join(order, "source_id").select("depth", "place", F.sum(F.col("n") / F.lit(float(num_pages))).over(along).alias("total"), F.count("*").over(along).alias("n_samples"))
+    last = [F.max_by(F.struct(F.lit(int(s)).alias("size"), "total", "n_samples"), F.when(F.col("place") <= s, F.col("place"))).alias(f"_{i}") for i, s in enumerate(sizes)]
+    per = rows.groupBy("depth").agg(*last)
+    each = per.select("depth", F.explode(F.array(*(F.col(f"_{i}") for i in range(len(sizes))))).alias("x")).filter("x is not null")
+    return each.select("x.size", "depth", (F.col("x.total") / F.col("x.n_samples")).alias("mean"), "x.n_samples")
+
+
 def cumulative(average: DataFrame) -> DataFrame:
     return average.withColumn("cdf", F.sum("mean").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, communities, graph, history, ingest, sampling, serve, stats
-from ..sources import files
+from ..operators import checks, communities, graph, history, ingest, sampling, serve, stats, tables, trees
+from ..sources import files, index, search
 from ..streaming import ingest as streams
 from .adapters import PAGE_SQL, SNAPSHOT_SQL, START_SQL, WIKI_SQL, links, orders_graph, pages, snapshots, start_page, table, wiki_links, wiki_pages, with_graph, with_wikis
 
@@ -290,6 +290,87 @@ on_graph("wiki_modularity", with_graph("""SELECT round(sum(inside) / sum(degree)
 register("category_subgraph", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), busy AS (SELECT dst AS node FROM e GROUP BY 1 HAVING count(*) > 1)
 SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT node FROM busy) AND dst IN (SELECT node FROM busy)""")(lambda s, d: graph.category_subgraph(table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()))
 
+# Stored trees, the index of links, sweeps over sample sizes, search in a dump
+
+_POPULAR = "sources AS (SELECT page_link AS page_id FROM link GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)"
+_TREE = """trees AS (SELECT t.source_id, t.page_id, t.depth, min(p.page_id) AS previous_id FROM reached t
+  LEFT JOIN link e ON e.page_link = t.page_id AND t.depth > 0 LEFT JOIN reached p ON p.source_id = t.source_id AND p.page_id = e.page_id AND p.depth = t.depth - 1 GROUP BY ALL)"""
+
+
+def _stored_trees(link: DataFrame) -> DataFrame:
+    """Trees of the five most linked pages, stored by two runs of which the second finds some sources done."""
+    spark, store = link.sparkSession, tables.fresh_path(link.sparkSession, "trees")
+    popular = [r[0] for r in link.groupBy("page_link").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "page_link").limit(5).collect()]
+    trees.precompute(graph.edges_of(link), popular[:2], store)
+    trees.precompute(graph.edges_of(link), popular, store)
+    return trees.read_trees(spark, store)
+
+
+on_graph("tree_store", with_graph("SELECT source_id, page_id, depth::INTEGER AS depth, previous_id::DOUBLE AS previous_id FROM trees", _POPULAR, _MULTI, _TREE, recursive=True))(lambda p, l: as_doubles(_stored_trees(l), "previous_id"))
+on_graph("tree_stats", with_graph("""SELECT wiki_name, s.page_id AS source_id, page_title, coalesce(num_visited, 0) AS num_visited, coalesce(hist, '') AS hist, coalesce(longest, '') AS longest
+FROM sources s LEFT JOIN page USING (page_id) LEFT JOIN (SELECT source_id, count(*) FILTER (depth > 0) AS num_visited FROM trees GROUP BY 1) v ON v.source_id = s.page_id
+LEFT JOIN (SELECT source_id, string_agg(depth || ':' || n, ',' ORDER BY depth) AS hist FROM hist GROUP BY 1) h ON h.source_id = s.page_id
+LEFT JOIN (SELECT source_id, string_agg(page_title, '|' ORDER BY depth) AS longest FROM up LEFT JOIN page USING (page_id) WHERE depth > 0 GROUP BY 1) u ON u.source_id = s.page_id""", _POPULAR, _MULTI, _TREE,
+    "up(source_id, page_id, depth, previous_id) AS (SELECT * FROM (SELECT DISTINCT ON (source_id) * FROM trees ORDER BY source_id, depth DESC, page_id) UNION ALL SELECT t.* FROM up JOIN trees t ON t.source_id = up.source_id AND t.page_id = up.previous_id)", recursive=True))(
+    lambda p, l: _tree_stats(p, l)
+)
+
+
+def _tree_stats(page: DataFrame, link: DataFrame) -> DataFrame:
+    """Statistics of the stored trees, upserted twice and read back, maps and lists as text."""
+    spark, path = link.sparkSession, tables.fresh_path(link.sparkSession, "tree-stats")
+    found = tables.cut(trees.tree_stats(_stored_trees(link), page))
+    trees.upsert_stats(found, path)
+    trees.upsert_stats(found.orderBy("source_id").limit(1), path)
+    entries = F.transform(F.array_sort(F.map_entries("depth_histogram")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
+    return trees.read_stats(spark, path).select("wiki_name", "source_id", "page_title", "num_visited", F.array_join(entries, ",").alias("hist"), F.array_join("longest_path", "|").alias("longest"))
+
+
+_SIZES = [1, 5, 20, 100, 200]
+on_graph("sample_sweep", with_graph("""SELECT size, depth, round(avg(n / (SELECT count(*) FROM page)::DOUBLE), 8) AS mean, count(*) AS n_samples
+FROM hist JOIN (SELECT page_id, row_number() OVER (ORDER BY md5('0:' || page_id), page_id) AS place FROM sources) o ON o.page_id = source_id JOIN (SELECT unnest([1, 5, 20, 100, 200])::INTEGER AS size) ON place <= size GROUP BY 1, 2""", _SOURCES, _MULTI, recursive=True))(lambda p, l: _sweep(p, l))
+
+
+def _sweep(page: DataFrame, link: DataFrame) -> DataFrame:
+    starts = _starts(link)
+    order = link.sparkSession.createDataFrame([(s, i + 1) for i, s in enumerate(starts)], "source_id bigint, place int")
+    return rounded(sampling.sweep(graph.histograms(graph.edges_of(link), starts), order, _SIZES, page.count()), "mean")
+
+
+def _link_index(link: DataFrame) -> index.LinkIndex:
+    path = tables.fresh_path(link.sparkSession, "index")
+    return index.build(link, "links_" + path[-32:], path, buckets=16)
+
+
+on_graph("neighbours_indexed", ORACLE_SQL["neighbours_ranked"])(lambda p, l: index.neighbours(l.sparkSession, _link_index(l), p, start_page(l)))
+on_graph("degrees_indexed", with_graph("SELECT n.page_id, (SELECT count(*) FROM link WHERE page_id = n.page_id) AS num_links, (SELECT count(*) FROM link WHERE page_link = n.page_id) AS times_linked FROM (SELECT DISTINCT page_link AS page_id FROM link WHERE page_id = (SELECT page_id FROM start)) n", START_SQL))(
+    lambda p, l: _degrees_indexed(l)
+)
+
+
+def _degrees_indexed(link: DataFrame) -> DataFrame:
+    """Degrees of the start page's neighbours, a page of links as the server shows it."""
+    spark, found = link.sparkSession, _link_index(link)
+    return index.degrees_of(spark, found, [r[0] for r in index.links_from(spark, found, start_page(link)).collect()])
+
+
+on_graph("hot_links", with_graph("SELECT wiki_name, page_id, page_link FROM link WHERE page_id IN (SELECT page_id FROM link GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50)"))(lambda p, l: index.hot_links(l, 50))
+on_graph("links_of_keys", with_graph("SELECT page_link, list_sort(list(page_id))::VARCHAR AS neighbours FROM link WHERE page_link IN (SELECT page_id FROM page WHERE is_redirect) GROUP BY 1"))(
+    lambda p, l: index.links_of_keys(l, p.filter("is_redirect").select("page_id"), incoming=True).withColumn("neighbours", F.concat(F.lit("["), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ", "), F.lit("]")))
+)
+
+
+def _raw_pagelinks(spark: SparkSession, d: str) -> DataFrame:
+    """The orders as statements of a pagelinks dump, a thousand tuples or so each."""
+    cell = F.format_string("(%d,%d,%d)", F.col("o_orderkey"), F.col("o_orderkey") % 3, F.col("o_custkey"))
+    rows = table(spark, d, "orders").groupBy(F.expr("o_orderkey div 1000").alias("part")).agg(F.array_join(F.collect_list(cell), ",").alias("tuples"))
+    return rows.select(F.concat(F.lit("INSERT INTO `pagelinks` VALUES "), "tuples").alias("value"))
+
+
+register("dump_search", "SELECT o_orderkey AS pl_from, (o_orderkey % 3)::INTEGER AS pl_from_namespace, o_custkey AS pl_target_id FROM orders WHERE o_totalprice > 300000")(
+    lambda s, d: search.links_of_pages(_raw_pagelinks(s, d), table(s, d, "orders").filter("o_totalprice > 300000").select("o_orderkey"))[0]
+)
+
 # History and sizes
 
 register("trend_lag", f"""WITH {SNAPSHOT_SQL}, t AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY wiki_name, stat ORDER BY dump_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM snapshot)

@@ -28,5 +28,6 @@ LINK = _struct(("wiki_name", S), ("page_id", L), ("page_link", L))
 CATEGORY = _struct(("wiki_name", S), ("page_id_from", L), ("category_name", S), ("category_type", S))
 INFO = _struct(("wiki_name", S), ("dump_date", S), ("is_done", B), ("insertion_time_s", D), ("is_validated", B), ("num_pages_validated", I), ("validation_time_s", D))
 BFS_TREE = _struct(("source_id", L), ("page_id", L), ("depth", I), ("previous_id", L))
+TREE_STAT = _struct(("wiki_name", S), ("source_id", L), ("page_title", S), ("longest_path", T.ArrayType(S)), ("num_visited", L), ("depth_histogram", T.MapType(I, L)))
 TASK = _struct(("name", S), ("dump_date", S), ("status", S), ("started_at", T.TimestampType()), ("finished_at", T.TimestampType()), ("message", S))
 STAT = _struct(("dump_date", S), ("wiki_name", S), ("stat", S), ("value", L), ("page_id", L), ("page_title", S))

@@ -18,9 +18,10 @@ def ingest_pages(spark: SparkSession, inbox: str, store: str, checkpoint: str, *
     """Appends the pages of new page dumps in ``inbox`` to ``store`` and ends.
 
     A rerun reads only files that came since; the checkpoint knows the others.
+    Statements of other tables in a file are passed over.
     """
-    lines = spark.readStream.schema("value string").text(inbox)
-    rows = ingest.pages(dump.parse_tuples(lines, schemas.DUMP["page"])).withColumn("wiki_name", F.lit(wiki_name))
+    parts = spark.readStream.schema("value string").option("lineSep", ";\n").text(inbox)
+    rows = ingest.pages(dump.parse_tuples(dump.statements_of(parts, "page"), schemas.DUMP["page"], "page")).withColumn("wiki_name", F.lit(wiki_name))
     writer = rows.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint)
     return writer.partitionBy("wiki_name").trigger(availableNow=True).start()
 

@@ -34,6 +34,7 @@ def underscores(title: Column) -> Column:
 
 #: Units of sizes and their bytes (fixed values).
 SIZE_UNITS = {"B": 1, "Bytes": 1, "b": 1, "bytes": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12}
+#: Names of powers of 1024 (fixed values).
 BINARY_UNITS = ["Bytes", "KB", "MB", "GB", "TB", "PB", "EB"]
 
 
@@ -41,12 +42,13 @@ def parse_size(text: Column) -> Column:
     """Bytes of a size such as ``26.7 GB`` (decimal units), null if it is none.
 
     Number and unit stand apart, units are spelled as in SIZE_UNITS, and what
-    follows the unit does not count.
+    follows the unit does not count. A size beyond a long counts as its end.
     """
     parts = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     factor = F.create_map(*(F.lit(x) for pair in SIZE_UNITS.items() for x in pair))[F.get(parts, F.lit(1))]
     # decimals keep 26.7 GB exact
-    return F.floor(F.get(parts, F.lit(0)).try_cast("decimal(18,6)") * factor.cast("decimal(19,0)")).cast("bigint")
+    size = F.floor(F.get(parts, F.lit(0)).try_cast("decimal(18,6)") * factor.cast("decimal(19,0)"))
+    return F.when(size.isNotNull(), F.least(size, F.lit((1 << 63) - 1).cast("decimal(19,0)"))).cast("bigint")
 
 
 def format_bytes(n: Column) -> Column:

@@ -14,14 +14,16 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .serve import of_dump
 from .tables import cut, cut_counting
 
 #: Sources that share one bitmask; the sign bit stays free.
 LANE = 63
 
 
-def edges_of(link: DataFrame, *, undirected: bool = False) -> DataFrame:
-    rows = link.select(F.col("page_id").alias("src"), F.col("page_link").alias("dst"))
+def edges_of(link: DataFrame, *, undirected: bool = False, **dump: str | None) -> DataFrame:
+    """(src, dst) of links, of one wiki (wiki_name) and dump (dump_date) where these are named."""
+    rows = of_dump(link, **dump).select(F.col("page_id").alias("src"), F.col("page_link").alias("dst"))
     return rows.union(rows.select("dst", "src")).distinct() if undirected else rows
 
 

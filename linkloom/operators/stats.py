@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 GLOBAL = "global"
 KEYS = ("dump_date", "wiki_name")
 
@@ -111,13 +113,20 @@ def top_lists(page: DataFrame, link: DataFrame, by: str, k: int = 10) -> DataFra
     return lists.withColumn("pages", F.transform(F.slice("l", 1, k), lambda x: x["e"])).drop("l")
 
 
-def longest_titles(page: DataFrame, *, redirects: bool = True) -> DataFrame:
-    """Per wiki the longest title by characters, and over all wikis the longest of these by bytes."""
+def _longest(page: DataFrame, redirects: bool) -> DataFrame:
+    """``longest_titles`` with the title's own wiki (of_wiki), which differs where all wikis are meant."""
     rows = page if redirects else page.filter("not is_redirect")
     first = F.max_by(F.struct("page_id", "page_title"), F.struct(F.length("page_title"), -F.col("page_id")))
-    per = rows.groupBy("wiki_name").agg(first.alias("p")).select("wiki_name", "p.page_id", "p.page_title")
-    best = per.orderBy(F.octet_length("page_title").desc(), "page_id", "wiki_name").limit(1).withColumn("wiki_name", F.lit(GLOBAL))
-    return per.union(best)
+    per = rows.groupBy(*keys(page)).agg(first.alias("p")).select(*keys(page), "p.page_id", "p.page_title", F.col("wiki_name").alias("of_wiki"))
+    dates = [k for k in keys(page) if k != "wiki_name"]
+    best = F.min_by(F.struct("page_id", "page_title", "of_wiki"), F.struct(-F.octet_length("page_title"), "page_id", "wiki_name"))
+    over_all = per.groupBy(*dates).agg(best.alias("p")).filter("p is not null").select(*dates, F.lit(GLOBAL).alias("wiki_name"), "p.page_id", "p.page_title", "p.of_wiki")
+    return per.union(over_all)
+
+
+def longest_titles(page: DataFrame, *, redirects: bool = True) -> DataFrame:
+    """Per wiki the longest title by characters, and over all wikis (of a dump date) the longest of these by bytes."""
+    return _longest(page, redirects).drop("of_wiki")
 
 
 def degree_histogram(link: DataFrame, by: str = "page_id") -> DataFrame:
@@ -134,12 +143,13 @@ def summary(page: DataFrame, link: DataFrame) -> DataFrame:
 
 
 def extremes(summary: DataFrame, stat: str) -> DataFrame:
-    """Wikis with the most and the least of a statistic, the total left out."""
+    """Wikis with the most and the least of a statistic (of each dump date, if there is one), the total left out."""
     rows = summary.filter(F.col("wiki_name") != GLOBAL)
     most = F.min_by(F.struct("wiki_name", F.col(stat).alias("value")), F.struct(-F.col(stat), F.col("wiki_name")))
     least = F.min_by(F.struct("wiki_name", F.col(stat).alias("value")), F.struct(F.col(stat), F.col("wiki_name")))
-    rows = rows.agg(most.alias("most"), least.alias("least"))
-    return rows.select(F.lit(stat).alias("stat"), F.col("most.wiki_name").alias("max_wiki"), F.col("most.value").alias("max_value"), F.col("least.wiki_name").alias("min_wiki"), F.col("least.value").alias("min_value"))
+    dates = [k for k in keys(summary) if k != "wiki_name"]
+    rows = rows.groupBy(*dates).agg(most.alias("most"), least.alias("least"))
+    return rows.select(*dates, F.lit(stat).alias("stat"), F.col("most.wiki_name").alias("max_wiki"), F.col("most.value").alias("max_value"), F.col("least.wiki_name").alias("min_wiki"), F.col("least.value").alias("min_value"))
 
 
 # Names of a document's counts, and the columns of a summary that they have (fixed values of the format).
@@ -172,9 +182,11 @@ def document(
     Counts, top lists and longest names are maps from wiki to value.
     ``bfs_samples`` and ``pair_samples`` have wiki_name and a struct column
     sample; sizes have wiki_name and byte counts, and tables they were summed
-    over; what is not given is null.
+    over; what is not given is null. An extreme is an array of wiki and value.
+    Of tables with a dump_date only the rows of ``dump_date`` count.
     """
-    total = summary(page, link)
+    page, link = (rows.filter(F.col("dump_date") == dump_date).drop("dump_date") if "dump_date" in rows.columns else rows for rows in (page, link))
+    total = cut(summary(page, link))
     wikis = F.sort_array(F.collect_set(F.when(F.col("wiki_name") != GLOBAL, F.col("wiki_name"))))
 
     def by_wiki(name: str, value: Column) -> Column:
@@ -183,34 +195,38 @@ def document(
     counts = [by_wiki(name, F.col(column)) for name, column in DOCUMENT_COUNTS.items()]
     found = total.agg(*counts, wikis.alias("wikis"))
     for stat in ("num_pages", "num_links"):
-        pair = lambda side: F.struct(F.col(f"{side}_wiki").alias("wiki_name"), F.col(f"{side}_value").alias("value"))
+        pair = lambda side: F.array(F.col(f"{side}_wiki"), F.col(f"{side}_value").cast("string"))
         found = found.crossJoin(extremes(total, stat).select(pair("max").alias(f"max_{stat}"), pair("min").alias(f"min_{stat}")))
     for name, by in (("most_linked", "page_link"), ("most_links", "page_id")):
         found = found.crossJoin(top_lists(page, link, by, k).agg(by_wiki(name, F.col("pages"))))
     for name, redirects in (("longest_name", True), ("longest_name_no_redirect", False)):
-        found = found.crossJoin(longest_titles(page, redirects=redirects).agg(by_wiki(name, F.struct("page_id", "page_title"))))
+        found = found.crossJoin(_longest(page, redirects).agg(by_wiki(name, F.struct("page_id", "page_title", F.col("of_wiki").alias("wiki_name")))))
     for name, samples in (("bfs_sample_stats", bfs_samples), ("bi_bfs_sample_stats", pair_samples)):
         found = found.withColumn(name, F.lit(None)) if samples is None else found.crossJoin(samples.agg(by_wiki(name, F.col("sample"))))
     for name, sizes in (("web_wiki_sizes", web_sizes), ("local_wiki_sizes", local_sizes)):
         found = found.withColumn(name, F.lit(None)) if sizes is None else found.crossJoin(sizes.agg(F.sort_array(F.collect_list(F.struct(*sizes.columns))).alias(name)))
     found = found.withColumns({"created_at": F.unix_timestamp(F.lit(created_at).cast("timestamp")), "dump_date": F.lit(dump_date), "seconds_taken": F.lit(seconds_taken)})
-    return found.select(F.to_json(F.struct(*found.columns)).alias("value"))
+    # an extreme's number stands beside a name in one array, which no column type can say
+    text = F.regexp_replace(F.to_json(F.struct(*found.columns)), r'"((?:max|min)_num_(?:pages|links))":\[("(?:[^"\\]|\\.)*"),"(\d+)"\]', '"$1":[$2,$3]')
+    return found.select(text.alias("value"))
 
 
 _ENTRY = "struct<page_id:bigint,page_title:string,wiki_name:string,count:bigint>"
+EXTREMES = ("max_num_pages", "min_num_pages", "max_num_links", "min_num_links")
 #: What ``read_document`` finds in a document.
 DOCUMENT_SCHEMA = ", ".join([
     *(f"{name} map<string,bigint>" for name in DOCUMENT_COUNTS),
     *(f"{name} map<string,array<{_ENTRY}>>" for name in ("most_linked", "most_links")),
-    *(f"{name} map<string,struct<page_id:bigint,page_title:string>>" for name in ("longest_name", "longest_name_no_redirect")),
-    *(f"{name} struct<wiki_name:string,value:bigint>" for name in ("max_num_pages", "min_num_pages", "max_num_links", "min_num_links")),
+    *(f"{name} map<string,struct<page_id:bigint,page_title:string,wiki_name:string>>" for name in ("longest_name", "longest_name_no_redirect")),
+    *(f"{name} array<string>" for name in EXTREMES),
     "created_at bigint", "dump_date string", "wikis array<string>", "seconds_taken bigint",
 ])
 
 
 def read_document(documents: DataFrame) -> DataFrame:
-    """The fields of documents in column value."""
-    return documents.select(F.from_json("value", DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    """The fields of documents in column value; extremes as (wiki_name, value)."""
+    fields = documents.select(F.from_json("value", DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    return fields.withColumns({name: F.struct(F.get(name, F.lit(0)).alias("wiki_name"), F.get(name, F.lit(1)).cast("bigint").alias("value")) for name in EXTREMES})
 
 
 def document_rows(documents: DataFrame) -> DataFrame:
@@ -221,7 +237,7 @@ def document_rows(documents: DataFrame) -> DataFrame:
     rows = [plain(name, lambda v: v.cast("string")) for name in DOCUMENT_COUNTS]
     rows += [plain(name, listed) for name in ("most_linked", "most_links")]
     rows += [plain(name, lambda v: v["page_title"]) for name in ("longest_name", "longest_name_no_redirect")]
-    rows += [F.array(F.struct(F.lit(name).alias("stat"), F.col(name)["wiki_name"].alias("wiki_name"), F.col(name)["value"].cast("string").alias("value"))) for name in ("max_num_pages", "min_num_pages", "max_num_links", "min_num_links")]
+    rows += [F.array(F.struct(F.lit(name).alias("stat"), F.col(name)["wiki_name"].alias("wiki_name"), F.col(name)["value"].cast("string").alias("value"))) for name in EXTREMES]
     return fields.select(F.explode(F.concat(*rows)).alias("r")).select("r.*")
 
 

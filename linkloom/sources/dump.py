@@ -76,8 +76,9 @@ def statements_of(parts: DataFrame, table: str) -> DataFrame:
     before = F.when(place > 0, F.expr("substring(value, 1, instr(concat('\\n', value), '\\nINSERT INTO') - 1)")).otherwise(F.col("value"))
     open_ = F.length(before) - F.length(F.replace(before, F.lit("/*"), F.lit("/"))) > F.length(before) - F.length(F.replace(before, F.lit("*/"), F.lit("/")))
     lost = F.col("value").contains(f"INSERT INTO `{table}`") & ((place == 0) | open_)
-    sound = F.when(lost, F.raise_error(F.concat(F.lit("an INSERT that cannot be read: "), F.substring("value", 1, 80)))).otherwise(F.col("value"))
-    return parts.select(sound.alias("value"), place.alias("place")).filter((F.col("place") > 0) & F.col("value").isNotNull()).select(F.expr("substring(value, place)").alias("value"))
+    sound = F.when(lost, F.raise_error(F.concat(F.lit("an INSERT that cannot be read: "), F.substring("value", 1, 80)))).when(place > 0, F.expr("substring(value, instr(concat('\\n', value), '\\nINSERT INTO'))"))
+    # the filter is on the checked value itself, so no part escapes the check
+    return parts.select(sound.alias("value")).filter("value is not null")
 
 
 def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:

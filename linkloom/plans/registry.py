@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, communities, graph, history, ingest, sampling, serve, stats, tables, trees
-from ..sources import files, index, search
+from ..operators import checks, communities, graph, history, ingest, sampling, serve, stats, tables, trees, validation
+from ..sources import api, files, index, search
 from ..streaming import ingest as streams
 from .adapters import PAGE_SQL, SNAPSHOT_SQL, START_SQL, WIKI_SQL, links, orders_graph, pages, snapshots, start_page, table, wiki_links, wiki_pages, with_graph, with_wikis
 
@@ -371,6 +371,52 @@ register("dump_search", "SELECT o_orderkey AS pl_from, (o_orderkey % 3)::INTEGER
     lambda s, d: search.links_of_pages(_raw_pagelinks(s, d), table(s, d, "orders").filter("o_totalprice > 300000").select("o_orderkey"))[0]
 )
 
+# Saved answers of the API, and validation against them
+
+_ANSWER_ROWS = """numbered AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as titles that customers link to, saved in answers of four; of each seventh customer the second answer was not saved."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("title"), F.expr("cast((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) div 4 AS int)").alias("part"), F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    entries = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('{"ns":0,"title":"'), "title", F.lit('"}')))), ",")
+    parts = rows.groupBy("o_custkey", "part").agg(entries.alias("entries"), F.first("n").alias("n"))
+    more = F.when((F.col("part") + 1) * 4 < F.col("n"), F.concat(F.lit('"continue":{"plcontinue":"p'), (F.col("part") + 1).cast("string"), F.lit('"},'))).otherwise("")
+    value = F.concat(F.lit("{"), more, F.lit('"query":{"pages":[{"pageid":'), F.col("o_custkey").cast("string"), F.lit(',"links":['), "entries", F.lit("]}]}}"))
+    saved = parts.filter("NOT (o_custkey % 7 = 0 AND part = 1)")
+    return saved.select(F.col("o_custkey").alias("request"), F.when(F.col("part") > 0, F.concat(F.lit("p"), F.col("part").cast("string"))).alias("token"), value.alias("value"))
+
+
+register("api_links", f"WITH {_ANSWER_ROWS} SELECT o_custkey AS request, o_orderkey::VARCHAR AS title, NOT (o_custkey % 7 = 0 AND (SELECT count(*) FROM orders o WHERE o.o_custkey = n.o_custkey) > 4) AS complete FROM numbered n WHERE o_custkey % 7 <> 0 OR place <= 4")(
+    lambda s, d: api.link_titles(_answers(s, d))
+)
+
+
+def _validation_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(stored, live, pages, evidence): orders as links, some missing on either side, with evidence for a part of them."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").cast("string").alias("title"), (F.col("o_orderkey") % 2 == 0).alias("outgoing"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    stored, live = rows.filter("key % 11 <> 0"), rows.filter("key % 13 <> 0")
+    evidence = rows.filter("key % 3 <> 0").select("page_id", "title", "outgoing", F.col("at").alias("added_at"), F.lit(None).cast("timestamp").alias("created_at"), F.col("at").alias("deleted_at"), (F.col("key") % 4 == 0).alias("in_old_revision"))
+    return stored, live, rows.filter("page_id % 5 <> 0").select("page_id"), evidence
+
+
+_VALIDATION = """rows AS (SELECT o_custkey AS page_id, o_orderkey::VARCHAR AS title, o_orderkey % 2 = 0 AS outgoing, o_orderkey AS key, o_orderdate AS day FROM orders WHERE o_custkey % 5 <> 0),
+post AS (SELECT page_id, title, outgoing, CASE WHEN key % 11 = 0 THEN 'missing' ELSE 'outdated' END AS change FROM rows WHERE (key % 11 = 0) <> (key % 13 = 0)
+  AND NOT (key % 3 <> 0 AND (day > TIMESTAMP '1996-01-01 00:00:00' OR (key % 11 = 0 AND key % 4 <> 0) OR (key % 13 = 0 AND key % 4 = 0))))"""
+register("post_validation", f"WITH {_VALIDATION} SELECT * FROM post")(lambda s, d: (lambda t: validation.post_validation(*t, "19960101"))(_validation_tables(s, d)))
+register("validation_gate", f"WITH {_VALIDATION} SELECT count(*) AS num_post, count(*) FILTER (NOT outgoing) AS num_new, count(*) FILTER (NOT outgoing) = 0 AS is_validated FROM post")(lambda s, d: _validation_gate(s, d))
+
+
+def _validation_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The load's differences against those that the raw dump has already."""
+    stored, live, sample, evidence = _validation_tables(spark, d)
+    pre = validation.pre_validation(stored.filter("outgoing"), live, sample, evidence, "19960101", verify_recency=False)
+    return validation.accepted(validation.post_validation(stored, live, sample, evidence, "19960101"), pre)
+
+
 # History and sizes
 
 register("trend_lag", f"""WITH {SNAPSHOT_SQL}, t AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY wiki_name, stat ORDER BY dump_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM snapshot)

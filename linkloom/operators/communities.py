@@ -91,18 +91,18 @@ def _quality(arcs: DataFrame, state: DataFrame, total: float, resolution: float)
 
 
 def _local_moves(arcs: DataFrame, state: DataFrame, total: float, resolution: float, turns: int, first_turn: int) -> tuple[DataFrame, float]:
-    """The best state of up to ``turns`` turns of moves, and its quality."""
-    best, best_quality, quiet = state, _quality(arcs, state, total, resolution), 0
+    """The best state seen in up to ``turns`` turns of moves, looked at every third turn, and its quality."""
+    best, best_quality, quiet, fresh = state, _quality(arcs, state, total, resolution), 0, False
     for turn in range(first_turn, first_turn + turns):
         state, moved = _moved(arcs, state, total, resolution, turn)
-        if moved:
-            quality = _quality(arcs, state, total, resolution)
-            if quality > best_quality:
-                best, best_quality, quiet = state, quality, 0
-                continue
-        quiet += 1
+        quiet, fresh = (0, True) if moved else (quiet + 1, fresh)
         # two turns in a row draw most nodes at least once
-        if quiet == 3:
+        last = quiet == 2 or turn == first_turn + turns - 1
+        if fresh and (last or (turn - first_turn) % 3 == 2):
+            quality, fresh = _quality(arcs, state, total, resolution), False
+            if quality > best_quality:
+                best, best_quality = state, quality
+        if last:
             break
     return best, best_quality
 

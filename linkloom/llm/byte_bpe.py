@@ -96,9 +96,9 @@ class RankMap:
     shifted so that their entries do not meet. ``starts`` has the id of each byte.
     """
 
-    shift: list[int]
-    slots: list[int]
-    starts: list[int]
+    shift: np.ndarray
+    slots: np.ndarray
+    starts: np.ndarray
     SPAN = 1 << 17
 
     @classmethod
@@ -121,12 +121,13 @@ class RankMap:
             taken[places] = True
             values[places] = [a * cls.SPAN + rank for _, rank in row]
             shift[a] = int(places[0] - columns[0])
-        return cls(shift, values.tolist(), [ranks[bytes([b])] for b in range(256)])
+        return cls(np.array(shift), values, np.array([ranks[bytes([b])] for b in range(256)]))
 
 
-def _longs(values: list[int]) -> Column:
-    """An array literal that Spark folds once from one string."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _longs(values: np.ndarray) -> Column:
+    """An array literal that Spark folds once from one string, which is put together piece by piece to spare the driver."""
+    pieces = (",".join(map(str, values[at : at + 4096].tolist())) for at in range(0, len(values), 4096))
+    return F.split(F.lit(",".join(pieces)), ",").cast("array<bigint>")
 
 
 def _long(value: int) -> Column:
@@ -256,6 +257,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
         raise ValueError("all single bytes need a rank, and ranks are below 2 ** 17 - 1")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    give_back()  # what earlier work has left on the driver
     rank_map = RankMap.of(ranks)
     frequent = _frequent(docs.select(text_col), ranks, rank_map, pattern, max_frequent)
     ahead = frequent.num_rows

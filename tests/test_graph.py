@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from linkloom.operators import communities, graph
+from linkloom.operators import communities, graph, tables
 
 
 def random_edges(seed, nodes, n):
@@ -153,3 +153,24 @@ def test_communities_of_odd_graphs(spark):
     label = {r["page_id"]: r["community"] for r in communities.communities(table(spark, [*clique, (4, 11), (11, 4), (4, 4)])).collect()}
     assert label == {**dict.fromkeys([1, 2, 3, 4], 1), **dict.fromkeys([11, 12, 13, 14], 11)}
     assert communities.modularity(table(spark, []), spark.createDataFrame([], "page_id bigint, community bigint")).first()[0] == 0
+
+
+def test_summaries_name_only_the_deepest_nodes(spark, monkeypatch):
+    """Against every node reached by name; several passes, a source twice and one that reaches nothing."""
+    monkeypatch.setattr(graph, "WIDE", 1, raising=False)
+    edges, sources = random_edges(5, 80, 150), [*range(66), 5, 1000]
+    found = {r["source_id"]: (r["num_visited"], r["eccentricity"], r["deepest"]) for r in graph.summaries(table(spark, edges), sources).collect()}
+    expected = {}
+    for source in sources:
+        depth = depths_from(edges, source)
+        most = max(depth.values())
+        expected[source] = (len(depth) - 1, most, min(n for n, d in depth.items() if d == most) if most else None)
+    assert found == expected
+
+
+def test_dealt_tables_join_in_place(spark):
+    rows = spark.range(1000).selectExpr("id AS a", "id * 7 % 13 AS v")
+    one, other = tables.dealt(rows, "a"), tables.dealt(rows.withColumnRenamed("a", "b"), "b")
+    both = one.join(other.hint("shuffle_hash"), one["a"] == other["b"], "full_outer")
+    assert both.count() == 1000
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()

@@ -21,8 +21,6 @@ SCALE = 1024
 SMOOTHING = 10.0
 #: Nats per n-gram below which a document is rejected.
 THRESHOLD = -0.1
-#: Trusted documents that the target model is fitted on (the least by a hash of the id).
-MAX_TRUSTED = 50_000
 WINDOW = 5
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -51,15 +49,14 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     """One integer log-ratio (units of 1 / SCALE) for each bucket.
 
     The raw model counts the n-grams of all ``docs``, the target model those of
-    the documents whose id is in ``trusted.id`` (at most MAX_TRUSTED of them,
-    which is what is broadcast). A bucket's ratio is shrunk to 0 by SMOOTHING
-    expected occurrences. Without trusted documents all weights are 0. Counts
-    are summed before the shuffle; BUCKETS rows reach the driver, whatever
-    the input.
+    all documents whose id is in ``trusted.id``; the planner broadcasts these
+    ids where they are few and joins by shuffle where they are many. A bucket's
+    ratio is shrunk to 0 by SMOOTHING expected occurrences. Without trusted
+    documents all weights are 0. Counts are summed before the shuffle; BUCKETS
+    rows reach the driver, whatever the input.
     """
     ids = trusted.select(F.col("id").alias("_trusted")).filter("_trusted is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(MAX_TRUSTED)
-    rows = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("_trusted"), "left")
+    rows = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_trusted"), "left")
     rows = _prepared(rows, [F.col("_trusted").isNotNull().alias("_good")], text_col)
     found = rows.select("_good", F.explode(_grams()).alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("raw"), F.count_if("_good").alias("target"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS

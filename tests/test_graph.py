@@ -174,3 +174,18 @@ def test_dealt_tables_join_in_place(spark):
     both = one.join(other.hint("shuffle_hash"), one["a"] == other["b"], "full_outer")
     assert both.count() == 1000
     assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_move_pairs_once_a_half_round(spark, monkeypatch):
+    plans, real = [], graph.dealt
+
+    def noted(df, key, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, key, **how)
+
+    monkeypatch.setattr(graph, "dealt", noted)
+    found = graph.components(table(spark, [(i + 1, i) for i in range(5, 12)] + [(50, 50), (7, 7)])).collect()
+    assert sorted(tuple(r) for r in found) == [*((n, 5) for n in range(5, 13)), (50, 50)]
+    assert len(plans) > 2
+    assert all("Broadcast" not in p for p in plans)
+    assert all(p.count("Exchange hashpartitioning") == 1 for p in plans[1:])

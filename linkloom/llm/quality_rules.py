@@ -13,12 +13,17 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import discard, staged
 
 #: Buckets of the hashed n-grams; the weights of all buckets travel as one literal.
 BUCKETS = 1 << 16
 SCALE = 1024
 #: Expected occurrences that a bucket needs before its ratio counts half.
 SMOOTHING = 10.0
+#: Rows of marked ids (some 40 bytes each; one for 64 neighbouring integer ids) up to which they are broadcast.
+BROADCAST_MARKS = 4_000_000
 #: Nats per n-gram below which a document is rejected.
 THRESHOLD = -0.1
 WINDOW = 5
@@ -45,23 +50,44 @@ def _grams() -> Column:
     return F.concat(single, pairs)
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text, _good) of all ``docs``, and the staged marks of ``trusted.id`` that tell which are good.
+
+    Integer ids are marked by one bit each of a long for 64 neighbours, so the
+    marks of numbered documents stay far smaller than their ids and travel to
+    the texts instead of the texts to them. Ids of other types have a row each.
+    """
+    whole = all(isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for df, c in ((docs, id_col), (trusted, "id")))
+
+    def place(c: Column) -> tuple[Column, Column]:
+        return (F.shiftright(c.cast("bigint"), 6), c.cast("bigint").bitwiseAND(F.lit(63)).cast("int")) if whole else (c, F.lit(0))
+
+    key, bit = place(F.col("id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    marks = staged(trusted.filter("id is not null").select(key.alias("_key"), one.alias("_bit")).groupBy("_key").agg(F.bit_or("_bit").alias("_bits")), "trusted-marks")
+    few = F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks
+    key, bit = place(F.col(id_col))
+    good = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return docs.select(id_col, text_col).join(few, key == F.col("_key"), "left").select(id_col, text_col, good.alias("_good")), marks
+
+
 def gram_weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """One integer log-ratio (units of 1 / SCALE) for each bucket.
 
     The raw model counts the n-grams of all ``docs``, the target model those of
-    all documents whose id is in ``trusted.id``; the planner broadcasts these
-    ids where they are few and joins by shuffle where they are many. A bucket's
+    all documents whose id is in ``trusted.id``, which are broadcast as bits;
+    only beyond BROADCAST_MARKS rows of them are texts shuffled. A bucket's
     ratio is shrunk to 0 by SMOOTHING expected occurrences. Without trusted
     documents all weights are 0. Counts are summed before the shuffle; BUCKETS
     rows reach the driver, whatever the input.
     """
-    ids = trusted.select(F.col("id").alias("_trusted")).filter("_trusted is not null").distinct()
-    rows = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_trusted"), "left")
-    rows = _prepared(rows, [F.col("_trusted").isNotNull().alias("_good")], text_col)
+    rows, marks = _marked(docs, trusted, id_col, text_col)
+    rows = _prepared(rows, [F.col("_good")], text_col)
     found = rows.select("_good", F.explode(_grams()).alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("raw"), F.count_if("_good").alias("target"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for row in found.collect():
         raw[row[0]], target[row[0]] = row[1], row[2]
+    discard(marks)
     share = sum(target) / max(sum(raw), 1)
     return [round(SCALE * math.log((t + SMOOTHING) / (share * r + SMOOTHING))) if share else 0 for r, t in zip(raw, target, strict=True)]
 

@@ -262,3 +262,24 @@ def test_all_trusted_documents_fit_the_model(spark, monkeypatch):
     share, smooth = sum(target) / sum(raw), quality_rules.SMOOTHING
     expected = [round(quality_rules.SCALE * math.log((t + smooth) / (share * r + smooth))) for r, t in zip(raw, target, strict=True)]
     assert quality_rules.gram_weights(docs, trusted) == expected
+
+
+def test_trusted_ids_travel_to_the_texts(spark):
+    """The planner's limit moves no text; marks are right across words of 64 ids, below zero, for nulls, repeats and strings."""
+    ids = [-130, -65, -64, -1, 0, 1, 63, 64, 127, 128, 2**40, -(2**63), 2**63 - 1, None, None, 5, 5]
+    good = {-130, -64, -1, 0, 63, 128, -(2**63), 2**63 - 1, 5}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kind, name in (("bigint", lambda x: x), ("string", lambda x: None if x is None else str(x))):
+            docs = spark.createDataFrame([(name(i), f"text {i}") for i in ids], f"doc_id {kind}, text string")
+            trusted = spark.createDataFrame([(name(i),) for i in [*good, 0, 77, None]], f"id {kind}")
+            rows, _ = quality_rules._marked(docs, trusted, "doc_id", "text")
+            assert sorted((str(r[0]), r[2]) for r in rows.collect()) == sorted((str(name(i)), i in good) for i in ids)
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        few = spark.createDataFrame([(i,) for i in range(640)], "id int")
+        docs = spark.createDataFrame([(i, "x") for i in range(700)], "doc_id int, text string")
+        rows, marks = quality_rules._marked(docs, few, "doc_id", "text")
+        assert rows.filter("_good").count() == 640 and marks.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

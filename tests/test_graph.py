@@ -146,6 +146,19 @@ def test_communities_by_modularity(spark):
     assert all(together[n] == label[n] for n in label)
 
 
+def test_communities_broadcast_no_table_of_nodes(spark, monkeypatch):
+    """Every table that a level writes is joined by shuffles, however small the planner finds its sides."""
+    plans = []
+    for name in ("cut", "cut_counting"):
+        real = getattr(communities, name)
+        monkeypatch.setattr(communities, name, lambda df, real=real, **more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, **more))
+    edges = table(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3)])
+    label = communities.communities(edges, max_levels=1, turns=2)
+    plans.append(communities.modularity(edges, label)._jdf.queryExecution().executedPlan().toString())
+    assert sum("ShuffledHashJoin" in p for p in plans) >= 5
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_communities_of_odd_graphs(spark):
     assert communities.communities(table(spark, [])).count() == 0
     assert communities.communities(table(spark, [(3, 3)])).count() == 0

@@ -12,8 +12,11 @@ import functools
 import os
 import re
 import struct
+import sys
 import zlib
-from itertools import chain, filterfalse, islice
+from array import array
+from collections.abc import Iterable
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,18 @@ LONG = 1 << 20
 PLAIN = re.compile("[^\\x00-\\xff]")
 SPLIT = re.compile(LATIN_WORDS)
 
+#: Whether this machine's own arrays are not little-endian unsigned 32-bit integers.
+SWAPPED = sys.byteorder != "little" or array("I").itemsize != 4
+
+
+def _byte_names() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: themselves where they print, else the next ones from U+0100 on."""
+    prints, spare = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}, count(0x100)
+    return {b: chr(b if b in prints else next(spare)) for b in range(256)}
+
+
+BYTE_NAMES = _byte_names()
+
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
@@ -51,29 +66,29 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, lists: list[list[str]]) -> None:
-        """Remember every word of the lists; the library encodes new ones in one call."""
-        young, old = self.young, self.old
-        fresh = dict.fromkeys(filterfalse(young.__contains__, chain.from_iterable(lists)))
-        if len(young) > MEMO_ENTRIES:
-            self.old, self.young = young, {}
-            young, old = self.young, young
-            fresh = dict.fromkeys(chain.from_iterable(lists))
-        missing = []
-        for word in fresh:
+    def _learn(self, words: Iterable[str]) -> None:
+        """Remember ``words``, which are not among the young; the library's model encodes those that are not among the old either."""
+        if len(self.young) > MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
+        young, old, tokenize = self.young, self.old, self.library.model.tokenize
+        for word in words:
             known = old.get(word)
             if known is None:
-                missing.append(word)
-            else:
-                young[word] = known
-        for word, got in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            ids = got.ids
-            young[word] = struct.pack(f"<{len(ids)}I", *ids)
+                # a word is one match of the splitting pattern, so all that is left to do before the model is to name its bytes
+                ids = [x.id for x in tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))]
+                known = struct.pack(f"<{len(ids)}I", *ids) if SWAPPED else array("I", ids).tobytes()
+            young[word] = known
 
     def _join(self, lists: list[list[str]]) -> list[bytes]:
-        self._learn(lists)
-        known = self.young.__getitem__
-        return [b"".join(map(known, words)) for words in lists]
+        """Ids of texts given as their words; every word is looked up once, unless it is new."""
+        found = [list(map(self.young.get, words)) for words in lists]
+        gaps = [[i for i, ids in enumerate(one) if ids is None] for one in found]
+        fresh = dict.fromkeys(words[i] for words, places in zip(lists, gaps, strict=True) for i in places)
+        self._learn(fresh)
+        for words, one, places in zip(lists, found, gaps, strict=True):
+            for i in places:
+                one[i] = self.young[words[i]]
+        return list(map(b"".join, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""

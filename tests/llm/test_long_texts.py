@@ -57,3 +57,30 @@ def test_token_output(spark, docs, texts, tmp_path):
         ids = [*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_words_go_to_the_model_alone(monkeypatch):
+    """New words of plain texts skip the library's splitting and are encoded once; ids stay those of the library, over generations of the memory too."""
+    monkeypatch.setattr(token_output, "MEMO_ENTRIES", 40)
+    encoder = token_output.WordEncoder(vocabulary("byte_bpe_50k.json").decode())
+    library, rng = encoder.library, random.Random(5)
+
+    class ModelOnly:
+        def __init__(self):
+            self.seen = []
+            self.model = self
+
+        def tokenize(self, word):
+            self.seen.append(word)
+            return library.model.tokenize(word)
+
+    encoder.library = only = ModelOnly()
+    letters = [*map(chr, range(256)), "e", "t", " ", " "]
+    plain = ["".join(rng.choices(letters, k=k)) for k in (0, 1, 2, 30, 300) for _ in range(20)] + ["".join(map(chr, range(256))), "it's  they'll\r\n\x85 \xa0x"]
+    for texts in (plain[:60], plain[60:], plain):
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert found == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(token_output, "MEMO_ENTRIES", 1000)
+    before = len(only.seen)
+    encoder.encode(["again again again", " again again"])
+    assert len(only.seen) - before <= 2

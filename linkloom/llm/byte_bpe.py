@@ -20,7 +20,6 @@ import heapq
 import random
 import re
 from dataclasses import dataclass
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ MAX_WORDS = 300_000
 FOLD_BYTES = 1024
 #: Words that are folded once ahead because they are frequent, their length in bytes, and the documents in which they are counted.
 MAX_FREQUENT, FREQUENT_BYTES, SAMPLE_DOCS = 250_000, 64, 50_000
+#: Characters of a plan's text that Spark keeps: the ranks are literals of plans, and the driver keeps the texts of all plans that ran.
+PLAN_TEXT = 1 << 16
 #: Longer texts are split piece by piece instead of all at once.
 LONG = 1 << 20
 
@@ -87,6 +88,19 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Numbers(dict):
+    """Words by number; a word that is asked for the first time gets the next one and waits in ``fresh``."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 @dataclass
 class RankMap:
     """All pairs of tokens that form a token, as literal arrays.
@@ -200,7 +214,7 @@ def _byte_lists(data) -> pa.ListArray:
 
 
 def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, pattern: str, most: int) -> pa.Table:
-    """Frequent words (word) with the text of their ids (ids), their decoded bytes (decoded) and their number of ids (n).
+    """Frequent words (word) with the text of their ids (ids) and their decoded bytes (decoded).
 
     They are counted in SAMPLE_DOCS documents at most (all, if there are no
     more) and folded like any other word. At most ``most`` words of
@@ -236,10 +250,11 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
         if room < 0:
             least = times + 1
             break
+    give_back(texts.sparkSession)
     top = counted.filter(F.col("n") >= least).select("word").mapInArrow(lean(as_bytes), "word string, data array<int>")
     folded = top.select("word", fold_merges(F.col("data"), rank_map).alias("ids"))
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary")
-    return folded.select("word", joined.alias("ids"), decode_ids(F.col("ids"), ranks).alias("decoded"), F.size("ids").alias("n")).toArrow()
+    return folded.select("word", joined.alias("ids"), decode_ids(F.col("ids"), ranks).alias("decoded")).toArrow()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN, with_ids: bool = False, max_frequent: int = MAX_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,30 +266,34 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
     empty texts have no ids. Repeated rows and null ids are kept, other columns
     are ignored, an empty table gives an empty table. Memory is bounded by one
     dictionary of MAX_WORDS words and one Arrow batch; ``max_frequent`` words are
-    held by the driver, fewer of them cost time and change no result.
+    held by the driver, fewer of them cost time and change no result. The
+    session's plan texts are cut to PLAN_TEXT characters from then on.
     """
     if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) + 1 >= RankMap.SPAN:
         raise ValueError("all single bytes need a rank, and ranks are below 2 ** 17 - 1")
     kind = docs.schema[id_col].dataType.simpleString()
 
-    give_back()  # what earlier work has left on the driver
+    spark = docs.sparkSession
+    give_back(spark)  # what earlier work has left on the driver
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     rank_map = RankMap.of(ranks)
     frequent = _frequent(docs.select(text_col), ranks, rank_map, pattern, max_frequent)
     ahead = frequent.num_rows
-    give_back()
+    give_back(spark)
 
     def split(batches):
         words = frequent.column("word").to_pylist()
-        known = dict(zip(words, range(ahead), strict=True))
+        known = Numbers(words)
         for batch in batches:
             id_type, rows = batch.schema.field(0).type, []
             for own, value in zip(batch.column(0), batch.column(1), strict=True):
                 if len(known) > ahead + MAX_WORDS:
-                    known = dict(zip(words, range(ahead), strict=True))
+                    known = Numbers(words)
                     rows.append((None, None, None, True, None, False))
                 found = list(words_of(value.as_py() or "", pattern))
-                for word in dict.fromkeys(filterfalse(known.__contains__, found)):
-                    known[word] = len(known)
+                codes = np.fromiter(map(known.__getitem__, found), np.int32, count=len(found)).tobytes()
+                for word in known.fresh:
                     data = word.encode()
                     direct = ranks.get(data)
                     if direct is not None:
@@ -283,7 +302,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
                         rows.append((None, merge_long(data, ranks), None, False, None, False))
                     else:
                         rows.append((data, None, None, False, None, False))
-                codes = np.fromiter(map(known.__getitem__, found), np.int32, count=len(found)).tobytes()
+                known.fresh = []
                 rows.append((None, None, codes, False, own.as_py(), True))
                 if len(rows) > 8192:
                     yield packed(rows, id_type)
@@ -297,19 +316,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
         return pa.RecordBatch.from_arrays([_byte_lists(data), *(pa.array(c, t) for c, t in zip(others, types, strict=True))], names=["data", "given", "codes", "restart", id_col, "is_doc"])
 
     def join(batches):
-        texts, pieces, counts = (frequent.column(c).to_pylist() for c in ("ids", "decoded", "n"))
+        texts, pieces = (frequent.column(c).to_pylist() for c in ("ids", "decoded"))
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             ids, decoded = batch.column(0), batch.column(1).to_pylist()
             offsets, numbers = np.asarray(ids.offsets), np.asarray(ids.values)
             for k, (codes, restart, is_doc) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 if restart:
-                    del texts[ahead:], pieces[ahead:], counts[ahead:]
+                    del texts[ahead:], pieces[ahead:]
                 elif is_doc:
                     places = np.frombuffer(codes.as_py(), np.int32).tolist()
                     joined = b",".join(map(texts.__getitem__, places))
                     out[0].append(batch.column(4)[k].as_py())
-                    out[1].append(sum(map(counts.__getitem__, places)))
+                    out[1].append(joined.count(b",") + 1 if places else 0)
                     out[2].append(hashlib.sha256(joined).hexdigest())
                     out[3].append(hashlib.sha256(b"".join(map(pieces.__getitem__, places))).hexdigest())
                     if with_ids:
@@ -318,7 +337,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
                     own = numbers[offsets[k] : offsets[k + 1]].tolist()
                     texts.append(",".join(map(str, own)).encode())
                     pieces.append(decoded[k])
-                    counts.append(len(own))
             types = (batch.schema.field(4).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             n = 5 if with_ids else 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:n])
@@ -329,5 +347,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
     rows = rows.select("ids", decode_ids(F.col("ids"), ranks).alias("decoded"), "codes", "restart", id_col, "is_doc")
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     found = rows.mapInArrow(lean(join), schema)
-    give_back()  # the literals' texts
+    give_back(spark)  # the literals' texts
     return found

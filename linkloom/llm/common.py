@@ -61,8 +61,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def give_back() -> None:
-    """Return freed memory of this Python process to the system."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return freed memory of this Python process to the system, and with ``spark`` that of the driver's JVM.
+
+    The JVM's heap grows with what planning leaves behind long before it is
+    full; collected between the steps of a job, it shrinks to what is in use.
+    """
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # not in every C library

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, give_back, staged
 from .simhash import ROW_HASH, row_hash
 
 #: Rounds that the SQL of the same mix spells out; here they go on until nothing fits.
@@ -191,6 +191,7 @@ def _mixed(
         state = staged(_with(state, fresh).withColumn(f"gap{k + 1}", F.coalesce(F.col(f"gap{k}") - F.col("used"), F.lit(0).cast("bigint"))).drop("used"), "mix-state")
         open_ = _with(fitting, state.select("source", f"gap{k}", f"bin{k}", f"cut{k}"), "inner").filter(~taken_in(k)).select("source", "size", "rank", "fine", "x", "above")
         k += 1
+        give_back(docs.sparkSession)  # each round plans some joins more than the last
     here = _with(rows, state).withColumn("rank", rank).withColumn("fine", fine)
     chosen = certain
     for j in range(k):

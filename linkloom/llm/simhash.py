@@ -53,6 +53,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def majority(digests: np.ndarray) -> int:
+    """The fingerprint of shingles given by their hashes, repeats included (0: none)."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(digests), BLOCK):
+        ones += np.unpackbits(digests[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(digests), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp) for every row; fp is the unsigned fingerprint's bits as a long."""
     kind = docs.schema[id_col].dataType.simpleString()

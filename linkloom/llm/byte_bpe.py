@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Texts are split into words in Python, which hands every distinct word of a
-partition to the JVM once, as an array of its bytes, followed by the documents
-as arrays of word numbers. Words that are frequent in a bounded sample are
-folded once ahead and known to all partitions, which saves time and changes
-nothing else. A higher-order fold merges each word: the pair
+partition to the JVM once, as an array of its bytes, in rows of many words,
+followed by the documents as arrays of word numbers. Words that are frequent in
+a bounded sample are folded once ahead and known to all partitions, which saves
+time and changes nothing else. A higher-order fold merges each word: the pair
 of the lowest rank, the leftmost of equals, until no neighbours form a token.
-Ranks come from a literal map of token pairs. Decoding concatenates the binary
-pieces of a word's ids. A second Python step puts documents together again; as
-rows of a partition keep their order, nothing is shuffled.
+Ranks come from a map of token pairs that each row of words brings along as
+columns; as literals it filled the driver with copies. Decoding concatenates
+the binary pieces of a word's ids. A second Python step puts documents together
+again; as rows of a partition keep their order, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 import random
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,9 @@ MAX_WORDS = 300_000
 FOLD_BYTES = 1024
 #: Words that are folded once ahead because they are frequent, their length in bytes, and the documents in which they are counted.
 MAX_FREQUENT, FREQUENT_BYTES, SAMPLE_DOCS = 250_000, 64, 50_000
-#: Characters of a plan's text that Spark keeps: the ranks are literals of plans, and the driver keeps the texts of all plans that ran.
+#: Words, bytes of them, and bytes of word numbers after which a row is full.
+ROW_WORDS, ROW_BYTES, ROW_CODES = 8192, 1 << 20, 1 << 22
+#: Characters of a plan's text that Spark keeps, as the driver keeps the texts of all plans that ran.
 PLAN_TEXT = 1 << 16
 #: Longer texts are split piece by piece instead of all at once.
 LONG = 1 << 20
@@ -103,17 +109,28 @@ class Numbers(dict):
 
 @dataclass
 class RankMap:
-    """All pairs of tokens that form a token, as literal arrays.
+    """All pairs of tokens that form a token, as arrays.
 
     The pair (a, b) is looked up at place ``shift[a] + b`` of ``slots``, where
-    it is found as a * SPAN + rank if it exists. Rows of different a are
-    shifted so that their entries do not meet. ``starts`` has the id of each byte.
+    it is found as a * SPAN + rank, shifted to RANK_AT, if it exists. Rows of
+    different a are shifted so that their entries do not meet. ``starts`` has
+    the id of each byte, ``end`` is an id that pairs with nothing.
     """
 
     shift: np.ndarray
     slots: np.ndarray
     starts: np.ndarray
+    end: int
     SPAN = 1 << 17
+    #: What rows of words bring along: the three arrays, and all pieces by id in hexadecimal digits.
+    KINDS = "shift array<bigint>, slots array<bigint>, starts array<bigint>, pieces array<string>"
+
+    def columns(self, ranks: dict[bytes, int]) -> list[pa.Array]:
+        """The values of KINDS."""
+        by_id = [""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            by_id[i] = piece.hex()
+        return [*(pa.array(x, pa.int64()) for x in (self.shift, self.slots, self.starts)), pa.array(by_id, pa.string())]
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> RankMap:
@@ -125,7 +142,7 @@ class RankMap:
                     rows.setdefault(a, []).append((b, rank))
         width = max(ranks.values()) + 2
         taken = np.zeros(4 * sum(map(len, rows.values())) + 2 * width, bool)
-        values = np.full(len(taken), -1, np.int64)
+        values = np.full(len(taken), NO_PAIR, np.int64)
         shift, draw = [0] * width, random.Random(0)
         for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
             columns = np.array([b for b, _ in row])
@@ -133,15 +150,9 @@ class RankMap:
             while taken[places := columns + draw.randrange(len(taken) - width)].any():
                 pass
             taken[places] = True
-            values[places] = [a * cls.SPAN + rank for _, rank in row]
+            values[places] = [(a * cls.SPAN + rank) << RANK_AT for _, rank in row]
             shift[a] = int(places[0] - columns[0])
-        return cls(np.array(shift), values, np.array([ranks[bytes([b])] for b in range(256)]))
-
-
-def _longs(values: np.ndarray) -> Column:
-    """An array literal that Spark folds once from one string, which is put together piece by piece to spare the driver."""
-    pieces = (",".join(map(str, values[at : at + 4096].tolist())) for at in range(0, len(values), 4096))
-    return F.split(F.lit(",".join(pieces)), ",").cast("array<bigint>")
+        return cls(np.array(shift), values, np.array([ranks[bytes([b])] for b in range(256)]), width - 1)
 
 
 def _long(value: int) -> Column:
@@ -153,13 +164,20 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-# A symbol of a word is one long: from bit RANK_AT on the rank that it forms with the next one (SPAN: none), then its place, then its id.
-RANK_AT, PLACE_AT = 45, 17
-_ID, _PLACE, _REST = (1 << PLACE_AT) - 1, (1 << RANK_AT) - (1 << PLACE_AT), (1 << RANK_AT) - 1
+# A symbol of a word is one long: from bit RANK_AT on the rank that it forms with the next one (SPAN or more: none), then its place, then its id.
+RANK_AT, PLACE_AT = 28, 17
+_ID, _REST = (1 << PLACE_AT) - 1, (1 << RANK_AT) - 1
+_PLACE = _REST - _ID
+#: An empty slot, which differs from every a in its upper bits.
+NO_PAIR = ((1 << 18) - 1) << (RANK_AT + 17)
+
 
+#: Names of RankMap.KINDS.
+TABLES = ("shift", "slots", "starts", "pieces")
 
-def fold_merges(data: Column, ranks: RankMap) -> Column:
-    """Ids of a word given as an array of its bytes.
+
+def fold_merges(words: Column, end_id: int) -> Column:
+    """Ids of words that are given as an array of arrays of their bytes, by the columns of a RankMap in the same row.
 
     The state is the array of symbols between two ends that pair with nothing.
     A symbol's number begins with the rank of its pair and goes on with its
@@ -167,42 +185,58 @@ def fold_merges(data: Column, ranks: RankMap) -> Column:
     Every step of the fold merges one pair; a word of n bytes takes at most
     n - 1 of them.
     """
-    tables = F.struct(_longs(ranks.shift).alias("shift"), _longs(ranks.slots).alias("slots"), _longs(ranks.starts).alias("starts"))
-    end, far = _long(len(ranks.shift) - 1), F.lit(1 << 29)
+    end, far, none = _long(end_id), F.lit(1 << 29), _long(RankMap.SPAN << RANK_AT)
+
+    def together(*parts: Column) -> Column:
+        return F.flatten(F.array(*parts))
 
     def folded(tables: Column) -> Column:
         def pair(a: Column, b: Column) -> Column:
-            # an entry of another row differs from a in its upper bits, so it is SPAN or more
-            found = F.get(tables["slots"], F.get(tables["shift"], a) + b) - F.shiftleft(a, 17)
-            return F.shiftleft(F.least(found.bitwiseAND(_long((1 << 35) - 1)), _long(RankMap.SPAN)), RANK_AT)
+            # an entry of another row, or none, differs from a in its upper bits, so it is SPAN or more
+            return F.get(tables["slots"], F.get(tables["shift"], a) + b).bitwiseXOR(F.shiftleft(a, RANK_AT + 17))
 
         def merged(state: Column, low: Column) -> Column:
             def at(i: Column) -> Column:
                 left, right, fresh = F.get(state, i - 2), F.get(state, i + 1), F.shiftright(low, RANK_AT)
                 before = pair(left.bitwiseAND(_long(_ID)), fresh).bitwiseOR(left.bitwiseAND(_long(_REST)))
                 here = pair(fresh, right.bitwiseAND(_long(_ID))).bitwiseOR(low.bitwiseAND(_long(_PLACE))).bitwiseOR(fresh)
-                return F.concat(F.slice(state, F.lit(1), i - 2), F.array(before, here), F.slice(state, i + 2, far))
+                return together(F.slice(state, F.lit(1), i - 2), F.array(before, here), F.slice(state, i + 2, far))
 
             return _let(F.array_position(state, low).cast("int"), at)
 
         def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state), lambda low: F.when(low < _long(RankMap.SPAN << RANK_AT), merged(state, low)).otherwise(state))
+            return _let(F.array_min(state), lambda low: F.when(low < none, merged(state, low)).otherwise(state))
+
+        def word(data: Column) -> Column:
+            ids = together(F.array(end), F.transform(data, lambda b: F.get(tables["starts"], b)), F.array(end))
+            symbol = lambda x: lambda a, i: pair(a, F.coalesce(F.get(x, i + 1), end)).bitwiseOR(F.shiftleft(i.cast("bigint"), PLACE_AT)).bitwiseOR(a)
+            first = _let(ids, lambda x: F.transform(x, symbol(x)))
+            return F.aggregate(F.slice(data, F.lit(2), far), first, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(_long(_ID)).cast("int")))
 
-        ids = F.concat(F.array(end), F.transform(data, lambda b: F.get(tables["starts"], b)), F.array(end))
-        symbol = lambda x: lambda a, i: pair(a, F.coalesce(F.get(x, i + 1), end)).bitwiseOR(F.shiftleft(i.cast("bigint"), PLACE_AT)).bitwiseOR(a)
-        first = _let(ids, lambda x: F.transform(x, symbol(x)))
-        return F.aggregate(F.slice(data, F.lit(2), far), first, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(_long(_ID)).cast("int")))
+        return F.transform(words, word)
 
-    return _let(tables, folded)
+    return _let(F.struct("shift", "slots", "starts"), folded)
 
 
-def decode_ids(ids: Column, pieces: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: their binary pieces, one after the other."""
-    by_id = [""] * (max(pieces.values()) + 1)
-    for piece, i in pieces.items():
-        by_id[i] = piece.hex()
-    table = F.split(F.lit(",".join(by_id)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+def id_texts(words: Column) -> Column:
+    """Each array of ids in decimal digits, joined by commas."""
+    return F.transform(words, lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").cast("binary"))
+
+
+def decode_ids(words: Column, pieces: Column) -> Column:
+    """The bytes of each array of ids: their binary pieces, one after the other."""
+    return F.transform(words, lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
+
+
+def _listed(lists, kind: pa.DataType) -> pa.ListArray:
+    """Lists or numpy arrays as one array of lists."""
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[0] if len(lists) == 1 else list(itertools.chain(*lists)), kind))
+
+
+def _leading(values: pa.Array, others: int) -> pa.ListArray:
+    """One row with all ``values`` and ``others`` empty ones."""
+    return pa.ListArray.from_arrays(pa.array([0] + [len(values)] * (1 + others), pa.int32()), values)
 
 
 def _byte_lists(data) -> pa.ListArray:
@@ -240,8 +274,12 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
         return pa.RecordBatch.from_arrays([pa.array(few, pa.string()), pa.array(few.values(), pa.int64())], names=["word", "n"])
 
     def as_bytes(batches):
+        tables = [_leading(x, 0) for x in rank_map.columns(ranks)]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists([x.as_py().encode() for x in batch.column(0)])], names=["word", "data"])
+            for at in range(0, batch.num_rows, ROW_WORDS):
+                words = batch.column(0).slice(at, ROW_WORDS)
+                data = _byte_lists([x.as_py().encode() for x in words])
+                yield pa.RecordBatch.from_arrays([_leading(pa.array(words.to_pylist(), pa.string()), 0), _leading(data, 0), *tables], names=["word", "data", *TABLES])
 
     counted = staged(sample.mapInArrow(lean(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
     least, room = 1, most
@@ -251,10 +289,10 @@ def _frequent(texts: DataFrame, ranks: dict[bytes, int], rank_map: RankMap, patt
             least = times + 1
             break
     give_back(texts.sparkSession)
-    top = counted.filter(F.col("n") >= least).select("word").mapInArrow(lean(as_bytes), "word string, data array<int>")
-    folded = top.select("word", fold_merges(F.col("data"), rank_map).alias("ids"))
-    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary")
-    return folded.select("word", joined.alias("ids"), decode_ids(F.col("ids"), ranks).alias("decoded")).toArrow()
+    top = counted.filter(F.col("n") >= least).select("word").mapInArrow(lean(as_bytes), f"word array<string>, data array<array<int>>, {RankMap.KINDS}")
+    folded = top.select("word", fold_merges(F.col("data"), rank_map.end).alias("ids"), "pieces")
+    found = folded.select("word", id_texts(F.col("ids")).alias("ids"), decode_ids(F.col("ids"), F.col("pieces")).alias("decoded")).toArrow()
+    return pa.table({c: pc.list_flatten(found.column(c)) for c in found.column_names})
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN, with_ids: bool = False, max_frequent: int = MAX_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,68 +322,76 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, pattern: str = PATTERN,
 
     def split(batches):
         words = frequent.column("word").to_pylist()
-        known = Numbers(words)
+        known, tables = Numbers(words), rank_map.columns(ranks)
+        restart, codes, own, room = False, [], [], ROW_CODES
+        data: list[bytes] = []
+        given: list[list[int]] = []
+        size = 0
+
+        def packed():
+            head = bool(data or restart)
+            row = [pa.array([restart] * head + [False] * len(own)), _byte_lists(data), _listed(given, pa.int32())]
+            row[1:] = [_leading(x, len(own)).slice(not head) for x in row[1:]]
+            full = [_leading(x if data else x.slice(0, 0), len(own)).slice(not head) for x in tables]
+            return pa.RecordBatch.from_arrays([*row, pa.array([None] * head + codes, pa.binary()), pa.array([None] * head + own, id_type), pa.array([False] * head + [True] * len(own)), *full], names=["restart", "data", "given", "codes", id_col, "is_doc", *TABLES])
+
         for batch in batches:
-            id_type, rows = batch.schema.field(0).type, []
-            for own, value in zip(batch.column(0), batch.column(1), strict=True):
+            id_type = batch.schema.field(0).type
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 if len(known) > ahead + MAX_WORDS:
+                    yield packed()
                     known = Numbers(words)
-                    rows.append((None, None, None, True, None, False))
-                found = list(words_of(value.as_py() or "", pattern))
-                codes = np.fromiter(map(known.__getitem__, found), np.int32, count=len(found)).tobytes()
+                    restart, codes, own, data, given, room, size = True, [], [], [], [], ROW_CODES, 0
+                text = value.as_py() or ""
+                found = array("i", map(known.__getitem__, words_of(text, pattern))).tobytes()
                 for word in known.fresh:
-                    data = word.encode()
-                    direct = ranks.get(data)
-                    if direct is not None:
-                        rows.append((None, [direct], None, False, None, False))
-                    elif len(data) > FOLD_BYTES:
-                        rows.append((None, merge_long(data, ranks), None, False, None, False))
-                    else:
-                        rows.append((data, None, None, False, None, False))
+                    if len(data) >= ROW_WORDS or size >= ROW_BYTES:
+                        yield packed()
+                        restart, codes, own, data, given, room, size = False, [], [], [], [], ROW_CODES, 0
+                    plain = word.encode()
+                    direct = ranks.get(plain)
+                    long = direct is None and len(plain) > FOLD_BYTES
+                    given.append([direct] if direct is not None else merge_long(plain, ranks) if long else [])
+                    data.append(b"" if given[-1] else plain)
+                    size += len(plain)
                 known.fresh = []
-                rows.append((None, None, codes, False, own.as_py(), True))
-                if len(rows) > 8192:
-                    yield packed(rows, id_type)
-                    rows = []
-            if rows:
-                yield packed(rows, id_type)
-
-    def packed(rows, id_type):
-        data, *others = zip(*rows, strict=True)
-        types = (pa.list_(pa.int32()), pa.binary(), pa.bool_(), id_type, pa.bool_())
-        return pa.RecordBatch.from_arrays([_byte_lists(data), *(pa.array(c, t) for c, t in zip(others, types, strict=True))], names=["data", "given", "codes", "restart", id_col, "is_doc"])
+                codes.append(found)
+                own.append(key.as_py())
+                room -= len(found)
+                if room < 0 or len(own) >= ROW_WORDS:
+                    yield packed()
+                    restart, codes, own, data, given, room, size = False, [], [], [], [], ROW_CODES, 0
+            if own:
+                yield packed()
+                restart, codes, own, data, given, room, size = False, [], [], [], [], ROW_CODES, 0
 
     def join(batches):
         texts, pieces = (frequent.column(c).to_pylist() for c in ("ids", "decoded"))
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            ids, decoded = batch.column(0), batch.column(1).to_pylist()
-            offsets, numbers = np.asarray(ids.offsets), np.asarray(ids.values)
-            for k, (codes, restart, is_doc) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                if restart:
+            words, joined_words, codes, restarts, is_doc = batch.column(1), batch.column(0), batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            for k in range(batch.num_rows):
+                if restarts[k]:
                     del texts[ahead:], pieces[ahead:]
-                elif is_doc:
-                    places = np.frombuffer(codes.as_py(), np.int32).tolist()
-                    joined = b",".join(map(texts.__getitem__, places))
-                    out[0].append(batch.column(4)[k].as_py())
-                    out[1].append(joined.count(b",") + 1 if places else 0)
-                    out[2].append(hashlib.sha256(joined).hexdigest())
-                    out[3].append(hashlib.sha256(b"".join(map(pieces.__getitem__, places))).hexdigest())
-                    if with_ids:
-                        out[4].append([int(x) for x in joined.split(b",")] if joined else [])
-                else:
-                    own = numbers[offsets[k] : offsets[k + 1]].tolist()
-                    texts.append(",".join(map(str, own)).encode())
-                    pieces.append(decoded[k])
+                if not is_doc[k]:
+                    texts += joined_words[k].as_py()
+                    pieces += words[k].as_py()
+                    continue
+                places = np.frombuffer(codes[k].as_py(), np.int32).tolist()
+                joined = b",".join(map(texts.__getitem__, places))
+                out[0].append(batch.column(4)[k].as_py())
+                out[1].append(joined.count(b",") + 1 if places else 0)
+                out[2].append(hashlib.sha256(joined).hexdigest())
+                out[3].append(hashlib.sha256(b"".join(map(pieces.__getitem__, places))).hexdigest())
+                if with_ids:
+                    out[4].append([int(x) for x in joined.split(b",")] if joined else [])
             types = (batch.schema.field(4).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             n = 5 if with_ids else 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:n])
 
-    rows = docs.select(id_col, text_col).mapInArrow(lean(split), f"data array<int>, given array<int>, codes binary, restart boolean, {id_col} {kind}, is_doc boolean")
-    ids = F.when(F.col("data").isNotNull(), fold_merges(F.col("data"), rank_map)).otherwise(F.col("given"))
-    rows = rows.select(ids.alias("ids"), "codes", "restart", id_col, "is_doc")
-    rows = rows.select("ids", decode_ids(F.col("ids"), ranks).alias("decoded"), "codes", "restart", id_col, "is_doc")
+    rows = docs.select(id_col, text_col).mapInArrow(lean(split), f"restart boolean, data array<array<int>>, given array<array<int>>, codes binary, {id_col} {kind}, is_doc boolean, {RankMap.KINDS}")
+    ids = F.zip_with(fold_merges(F.col("data"), rank_map.end), "given", lambda merged, given: F.when(F.size(given) > 0, given).otherwise(merged))
+    rows = rows.select(ids.alias("ids"), "codes", "restart", id_col, "is_doc", "pieces")
+    rows = rows.select(id_texts(F.col("ids")).alias("ids"), decode_ids(F.col("ids"), F.col("pieces")).alias("decoded"), "codes", "restart", id_col, "is_doc")
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    found = rows.mapInArrow(lean(join), schema)
-    give_back(spark)  # the literals' texts
-    return found
+    return rows.mapInArrow(lean(join), schema)

@@ -309,3 +309,30 @@ def test_op3_byte_bpe_pipeline_plans_keep_no_ranks_as_text(spark):
     assert found.count() == 1
     formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     assert len(found._jdf.queryExecution().explainString(formatted)) < 2 * byte_bpe.PLAN_TEXT
+
+
+def test_op3_byte_bpe_ranks_are_no_literals_and_rows_of_words_may_end_anywhere(spark, monkeypatch):
+    import hashlib
+
+    from linkloom.llm import byte_bpe
+    from linkloom.llm.queries import vocabulary
+
+    ranks = byte_bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    texts = ["some unseenwordings, foldedagain  andagain", None, "", " x\n\nqwzxv" + "ab" * 700, "some unseenwordings zzzyq qqqzzté世界 foldedagain", "qwzxv qqqzzt"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    for words, size, most in ((2, 1 << 20, 4), (8192, 10, 100), (8192, 1 << 20, 100)):
+        for name, value in {"ROW_WORDS": words, "ROW_BYTES": size, "MAX_WORDS": most}.items():
+            monkeypatch.setattr(byte_bpe, name, value)
+        found = byte_bpe.encode(docs, ranks, with_ids=True, max_frequent=1)
+        for r in found.collect():
+            text = texts[r["doc_id"]] or ""
+            ids = [i for w in byte_bpe.words_of(text) for i in ([ranks[w.encode()]] if w.encode() in ranks else byte_bpe.merge_long(w.encode(), ranks))]
+            assert (r["n_tokens"], r["ids"], r["decoded_sha256"]) == (len(ids), ids, hashlib.sha256(text.encode()).hexdigest())
+        assert found.count() == len(texts)
+    kept = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 27))  # nothing is cut from the plan's text
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended")
+    found = byte_bpe.encode(docs, ranks, max_frequent=1)
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 27))
+    assert len(found._jdf.queryExecution().explainString(formatted)) < 200_000
+    spark.conf.set("spark.sql.maxPlanStringLength", kept)

@@ -159,6 +159,42 @@ def test_communities_broadcast_no_table_of_nodes(spark, monkeypatch):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_communities_move_arcs_once_a_turn(spark, monkeypatch):
+    """A turn has one exchange of arcs and three of nodes, and parts are sought once, after the last level, not on each."""
+    plans, sought = [], []
+    counting, parts = communities.cut_counting, communities.components
+    monkeypatch.setattr(communities, "cut_counting", lambda df, **more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or counting(df, **more))
+    monkeypatch.setattr(communities, "components", lambda edges: sought.append(edges) or parts(edges))
+    edges = table(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3)])
+    assert communities.communities(edges, max_levels=1, turns=2).count() == 6
+    assert plans and all(p.count("Exchange hashpartitioning") <= 4 for p in plans)
+    assert len(sought) == 1
+
+
+def test_refinement_keeps_communities_connected(spark):
+    """Also: the modularity that a turn tells is that of the state it began with."""
+    edges = random_edges(6, 40, 60)
+    nodes = sorted({n for a, b in edges if a != b for n in (a, b)})
+    pairs = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b}
+    degree = collections.Counter(a for a, _ in pairs)
+    arcs = spark.createDataFrame([*((a, b, 1.0, float(degree[a])) for a, b in pairs), *((n, n, 0.0, float(degree[n])) for n in nodes)], "src bigint, dst bigint, weight double, degree double")
+    graph_, total = tables.dealt(arcs, "dst"), float(len(pairs))
+    state = spark.createDataFrame([(n, float(degree[n]), n) for n in nodes], "node bigint, degree double, community bigint").selectExpr("*", "xxhash64(node) AS seed")
+    label, merged = {n: n for n in nodes}, 0
+    for _ in range(3):
+        state, moved, quality = communities._moved(graph_, state, total, 1.0, refine=True)
+        assert quality == pytest.approx(modularity_of(edges, label))
+        label, before = {r["node"]: r["community"] for r in state.collect()}, label
+        assert moved == sum(label[n] != before[n] for n in nodes)
+        merged += moved
+        inside = [(a, b) for a, b in pairs if label[a] == label[b]]
+        together = weakly_connected([*inside, *((n, n) for n in nodes)])
+        assert len(set(together.values())) == len(set(label.values()))
+    assert merged > 5
+    assert communities._quality(graph_, state, total, 1.0) == pytest.approx(modularity_of(edges, label))
+    tables.forget(graph_)
+
+
 def test_communities_of_odd_graphs(spark):
     assert communities.communities(table(spark, [])).count() == 0
     assert communities.communities(table(spark, [(3, 3)])).count() == 0
